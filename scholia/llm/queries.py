@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, decontaminate, exact_dedup, secret_scan, simhash, toxicity
+from scholia.llm import bpe, chunk_dedup, decontaminate, exact_dedup, langid, preference, secret_scan, simhash, suffix_dedup, toxicity
 from scholia.llm.common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = chunk_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_shared", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -46,6 +56,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select(
+        "doc_id", (crc_mod("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.reply_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -56,10 +77,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_preference_format": op9_preference_format,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -101,4 +126,20 @@ its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op9_preference_format": """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+a AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
+b AS (SELECT n.conv_id, max(i) AS prev FROM n JOIN a USING (conv_id) WHERE role = 'assistant' AND i < last GROUP BY n.conv_id),
+c AS (SELECT a.conv_id, last, l.text AS good, coalesce(p.text, '') AS bad FROM a JOIN n l ON l.conv_id = a.conv_id AND l.i = last
+      LEFT JOIN b ON b.conv_id = a.conv_id LEFT JOIN n p ON p.conv_id = a.conv_id AND p.i = prev),
+s AS (SELECT *, CASE WHEN good = bad THEN last ELSE last - 1 END AS shared FROM c),
+p AS (SELECT s.conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i) AS prompt
+      FROM s JOIN n ON n.conv_id = s.conv_id AND i <= shared GROUP BY s.conv_id),
+r AS (SELECT conv_id, shared, CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
+             CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected FROM s)
+SELECT r.conv_id, shared::INTEGER AS n_shared, coalesce(prompt, '') AS prompt, chosen, rejected,
+       CASE WHEN chosen = '' THEN '' ELSE '0:' || length(chosen) END AS chosen_mask,
+       CASE WHEN rejected = '' THEN '' ELSE '0:' || length(rejected) END AS rejected_mask
+FROM r LEFT JOIN p USING (conv_id)""",
 }
