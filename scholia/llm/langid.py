@@ -134,16 +134,20 @@ def build(samples: dict[str, bytes]) -> Model:
     tables, roots, at = [], [], 0
     for lang in langs:
         states = SuffixAutomaton(samples[lang]).next
-        root = np.full(len(seen) + 2, at, np.int32)  # after a break the byte is matched from the root again
+        # after a break the byte is matched from the root again; one that the sample lacks is a
+        # phrase of its own, for which there is a last state without any matches
+        lone = at + len(states)
+        root = np.full(len(seen) + 2, lone, np.int32)
         for c, q in states[0].items():
             root[classes[c]] = at + q
-        table = np.repeat((-1 - root)[None, :], len(states), 0)
+        table = np.repeat((-1 - root)[None, :], len(states) + 1, 0)
+        table[0] = root
         for k, edges in enumerate(states):
             for c, q in edges.items():
                 table[k, classes[c]] = at + q
         tables.append(table)
         roots.append(at)
-        at += len(states)
+        at += len(table)
     weight = np.array([np.log2(len(samples[k]) + 1) for k in langs])
     table = np.concatenate(tables) if tables else np.zeros((0, 2), np.int32)
     return Model(langs, classes, table, np.array(roots, np.int64), weight)

@@ -93,7 +93,7 @@ def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, r
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
-    prior = float(np.clip(prior, 1e-3, 0.5))
+    prior = float(np.clip(prior, 1e-3, 0.49))  # without evidence a text is not toxic
     bias = float(np.log(prior / (1 - prior)))
     if not pos or not any(len(p) for p in pos):
         return Model({}, bias)
