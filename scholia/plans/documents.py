@@ -224,7 +224,7 @@ def ranges(d):
 add("x20_chapter_start_lines", lambda d, *_: ch.chapter_start_lines(bodies(d), lines_of(dressed(d)), slack=0).select("doc_id", "ord", "start_line"), CHAP + " SELECT doc_id, i::INTEGER AS ord, (n + 1 + 2 * (i - 1))::INTEGER AS start_line FROM c WHERE length(title) >= 3")
 add("x21_chapter_ranges", lambda d, *_: ranges(d)[0].select("doc_id", "ord", "start_line", "end_line"))
 add("x22_chapter_contents", lambda d, *_: ch.chapter_contents(*ranges(d)).select("doc_id", "ord", F.md5("content").alias("digest")))
-add("x23_chapter_content_by_title", lambda d, *_: ch.chapter_content_by_title(bodies(d), dressed(d), [r"\n第\d+章 ", r"\n参考文献"]).select("doc_id", "ord", F.length("content").alias("n")))
+add("x23_chapter_content_by_title", lambda d, *_: ch.chapter_content_by_title(bodies(d), dressed(d), [r"\n第\d+章 ", r"\n参考文献"], least=1).select("doc_id", "ord", F.length("content").alias("n")))
 scalar("x24_is_content_fragment", lambda c: ch.is_content_fragment(F.substring_index(c, "\n", 1)), f"length({FIRST_LINE}) > 50 OR regexp_matches({FIRST_LINE}, '[，,；;]$') OR length(regexp_replace({FIRST_LINE}, '[^，,；;。]', '', 'g')) >= 2")
 LIB = (("contents", "^目录", "^参考文献", 1, 1_000_000), ("references", "^参考文献", "^致谢", 1, 100_000))
 add("x14_find_sections", lambda d, *_: ch.find_sections(dressed(d), LIB).select("doc_id", "name", "start_line", "end_line"), f"""
