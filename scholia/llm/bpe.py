@@ -22,8 +22,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-#: pre-tokens a task remembers before it starts anew.
-MEMO = 200_000
+#: pre-tokens of a generation of a worker's memo; it has two.
+MEMO = 250_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -90,54 +90,74 @@ class PerfectHash:
 class Encoder:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, pattern
-        self.rank = {t: k for k, t in enumerate(tokens)}
         self.index = PerfectHash(tokens)
+        self._prepare()
+
+    def _prepare(self) -> None:
+        rank = {t: k for k, t in enumerate(self.tokens)}
+        self.byte_id = [rank.get(bytes([b]), -1) for b in range(256)]
+        #: (left id, right id) -> id of the two joined, for all that the vocabulary has
+        self.pair = {
+            (x << 32) | y: k
+            for t, k in rank.items()
+            for i in range(1, len(t))
+            if (x := rank.get(t[:i])) is not None and (y := rank.get(t[i:])) is not None
+        }
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return {"tokens": self.tokens, "pattern": self.pattern, "index": self.index}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.rank = {t: k for k, t in enumerate(self.tokens)}
-        self.memo = {}
+        self._prepare()
 
     def split(self, text: str) -> list[str]:
         return regex.findall(self.pattern, text)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a piece by merging: a heap of pairs over doubly linked parts."""
-        part: list[bytes | None] = [piece[k : k + 1] for k in range(len(piece))]
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        end, rank = len(part), self.rank
-        heap = [(r, k, 2) for k in range(end - 1) if (r := rank.get(part[k] + part[k + 1])) is not None]
+        """Ids of a piece by merging: a heap of pairs (rank, place) over doubly linked parts."""
+        part = [self.byte_id[b] for b in piece]
+        end, pair = len(part), self.pair
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [r << 40 | k for k in range(end - 1) if (r := pair.get(part[k] << 32 | part[k + 1])) is not None]
         heapify(heap)
         while heap:
-            _, k, width = heappop(heap)
-            if part[k] is None or (j := after[k]) >= end or len(part[k]) + len(part[j]) != width:
+            x = heappop(heap)
+            k, r = x & 0xFFFFFFFFFF, x >> 40
+            left, j = part[k], after[k]
+            if left < 0 or j >= end or pair.get(left << 32 | part[j]) != r:
                 continue  # one of the two has been merged since
-            part[k], part[j] = part[k] + part[j], None
-            after[k] = after[j]
-            if after[k] < end:
-                before[after[k]] = k
-                if (r := rank.get(part[k] + part[after[k]])) is not None:
-                    heappush(heap, (r, k, len(part[k]) + len(part[after[k]])))
-            if (i := before[k]) >= 0 and (r := rank.get(part[i] + part[k])) is not None:
-                heappush(heap, (r, i, len(part[i]) + len(part[k])))
-        return tuple(rank[p] for p in part if p is not None)
+            part[k], part[j] = r, -1
+            after[k] = j = after[j]
+            if j < end:
+                before[j] = k
+                if (m := pair.get(r << 32 | part[j])) is not None:
+                    heappush(heap, m << 40 | k)
+            if (i := before[k]) >= 0 and (m := pair.get(part[i] << 32 | r)) is not None:
+                heappush(heap, m << 40 | i)
+        return tuple([p for p in part if p >= 0])
 
     def _resolve(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
+        tokens, memo, merge = self.tokens, self.memo, self.merge
         for p, b, k in zip(pieces, raw, self.index.find(raw).tolist()):
-            self.memo[p] = (k,) if self.tokens[k] == b else self.merge(b)
+            memo[p] = (k,) if tokens[k] == b else merge(b)
 
     def encode(self, text: str) -> np.ndarray:
         pieces = self.split(text)
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        if fresh := [p for p in set(pieces) if p not in self.memo]:
+        if len(self.memo) > MEMO:  # two generations: what is still in use is carried over
+            self.memo, self.older = {}, self.memo
+        memo, older, fresh = self.memo, self.older, []
+        for p in set(pieces).difference(memo):
+            if (known := older.get(p)) is not None:
+                memo[p] = known
+            else:
+                fresh.append(p)
+        if fresh:
             self._resolve(fresh)
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, pieces)), "<u4")
+        return np.array(list(chain.from_iterable(map(memo.__getitem__, pieces))), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
