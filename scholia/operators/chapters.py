@@ -33,21 +33,29 @@ LIBRARY = (
 )
 
 
+def marked_ranges(lines: DataFrame, line: Column, marks: list[tuple[str, str, str]]) -> DataFrame:
+    """doc_id, name, start_line (the first line with a mark's start pattern), stop_line (the next with its stop
+    pattern, or null), last (the document's last line).  One shuffle on doc_id serves all marks."""
+    every = Window.partitionBy("doc_id")
+    told = lines.withColumns({f"s{k}": F.min(F.when(line.rlike(start), F.col("line_no"))).over(every) for k, (_, start, _) in enumerate(marks)})
+    ends = [F.min(F.when((F.col("line_no") > F.col(f"s{k}")) & line.rlike(stop), F.col("line_no"))).alias(f"e{k}") for k, (_, _, stop) in enumerate(marks)]
+    per_doc = told.groupBy("doc_id").agg(F.max("line_no").alias("last"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(len(marks))], *ends)
+    found = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"s{k}").alias("start_line"), F.col(f"e{k}").alias("stop_line")) for k, (n, _, _) in enumerate(marks)])
+    return per_doc.select("doc_id", "last", F.explode(found).alias("x")).select("doc_id", "x.*", "last").where("start_line IS NOT NULL")
+
+
 def find_sections(docs: DataFrame, library=LIBRARY) -> DataFrame:
     """doc_id, name, start_line, end_line, content: from the first line with a section's start pattern to the line
     before the next with its stop pattern (or the end), if its length is within bounds."""
-    spark = docs.sparkSession
-    marks = spark.createDataFrame(list(library), "name string, start string, stop string, least int, most int")  # a fixed few rows
-    lines = lines_of(docs).withColumn("t", strip("line"))
-    told = lines.join(F.broadcast(marks), F.expr("length(start) > 0"))
-    per = Window.partitionBy("doc_id", "name")
-    hit = F.when(F.expr("t rlike start"), F.col("line_no"))
-    told = told.withColumn("s", F.min(hit).over(per)).where("line_no >= s")
-    told = told.withColumn("e", F.min(F.when((F.col("line_no") > F.col("s")) & F.expr("t rlike stop"), F.col("line_no"))).over(per))
-    body = told.where("e IS NULL OR line_no < e").groupBy("doc_id", "name", "least", "most").agg(
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.array_join(in_order(F.col("line"), "line_no"), "\n").alias("content")
-    )
-    return body.where("length(content) BETWEEN least AND most").drop("least", "most")
+    lines = lines_of(docs)
+    found = marked_ranges(lines, strip("line"), [(n, start, stop) for n, start, stop, _, _ in library])
+    found = found.withColumn("end_line", F.coalesce(F.col("stop_line") - 1, "last")).select("doc_id", "name", "start_line", "end_line")
+    inner = found.join(lines, "doc_id").where("line_no BETWEEN start_line AND end_line")
+    body = inner.groupBy("doc_id", "name", "start_line", "end_line").agg(F.array_join(in_order(F.col("line"), "line_no"), "\n").alias("content"))
+    fits = F.lit(False)
+    for n, _, _, least, most in library:
+        fits = fits | ((F.col("name") == n) & F.length("content").between(least, most))
+    return body.where(fits)
 
 
 def section_bounds(sections: DataFrame, docs: DataFrame) -> DataFrame:
@@ -254,11 +262,7 @@ MARKERS = (
 def sections_by_marker(docs: DataFrame, markers=MARKERS) -> DataFrame:
     """doc_id, section, start_line, end_line: from the first line with a start word to before the first later line with an end word,
     at most so many lines."""
-    marks = docs.sparkSession.createDataFrame(list(markers), "section string, start string, stop string, look int")  # a fixed few rows
-    lines = lines_of(docs).withColumn("t", F.lower("line")).join(F.broadcast(marks), F.expr("t rlike start OR t rlike stop"))
-    size = docs.select("doc_id", (F.size(F.split("text", "\n")) - 1).alias("last"))
-    per = Window.partitionBy("doc_id", "section")
-    told = lines.withColumn("s", F.min(F.when(F.expr("t rlike start"), F.col("line_no"))).over(per)).where("s IS NOT NULL")
-    ends = told.groupBy("doc_id", "section", "look", "s").agg(F.min(F.when(F.expr("line_no > s AND t rlike stop"), F.col("line_no"))).alias("e"))
-    end = F.least(F.coalesce(F.col("e") - 1, F.col("last")), F.col("s") + F.col("look"), F.col("last"))
-    return ends.join(size, "doc_id").select("doc_id", "section", F.col("s").alias("start_line"), end.alias("end_line"))
+    found = marked_ranges(lines_of(docs), F.lower("line"), [(n, start, stop) for n, start, stop, _ in markers])
+    look = F.coalesce(*[F.when(F.col("name") == n, k) for n, _, _, k in markers])
+    end = F.least(F.coalesce(F.col("stop_line") - 1, F.col("last")), F.col("start_line") + look, F.col("last"))
+    return found.select("doc_id", F.col("name").alias("section"), "start_line", end.alias("end_line"))
