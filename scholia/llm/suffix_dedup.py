@@ -20,8 +20,8 @@ built in one task, so the strings are first dealt out so that equal ones meet:
    common prefix of neighbours one more than the least between them.  A window is
    repeated if its suffix shares RANGE symbols (the core counting as one) with a
    neighbour.  The columns of a task come from Spark's sorted shuffle files, in blocks.
-   A core that more than HOT rows share is cut into ranges of one window, so that equal
-   rows collapse before they meet.
+   The rows of a core that more than HOT rows share are cut into half ranges with longer
+   cores, until they part.
 4. The repeated windows are joined back to all places of their segments, gathered by
    document, and cut from the text.
 
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from scholia.llm.common import materialise, text_or_empty
 
 WIDTH, ANCHOR = 200, 64
-#: window starts of a range (a mask of them fits a long), and rows of a core from which it is cut finer.
-RANGE, HOT = 46, 250
+#: window starts of a range (a mask of them fits a long), and rows of a core from which they are cut finer.
+RANGE, HOT = 46, 20_000
 #: bytes of a text that are worked on at a time, and rows that are built into columns at a time.
 BLOCK, ROWS = 1 << 20, 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -55,13 +55,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _power_arrays(n: int):
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    global _powers
+    if len(_powers[0]) < n:
+        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
+        up, down = np.full(n, _B, np.uint64), np.full(n, inverse, np.uint64)
+        up[0] = down[0] = 1
+        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def rolling(raw: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k-byte substring (k a power of two), by doubling."""
-    h, reach = raw.astype(np.uint64) + np.uint64(1), 1
-    while reach < k:
-        h = _mix(h[:-reach] * _B + h[reach:])
-        reach *= 2
-    return h
+    """A hash of each k-byte substring: differences of prefix sums of bytes times powers, mixed."""
+    up, down = _power_arrays(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    n = len(raw) - k + 1
+    return _mix((sums[k:] - sums[:n]) * down[:n])
 
 
 def least(h: np.ndarray, n: int) -> np.ndarray:
@@ -129,13 +143,25 @@ def segment_table(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> Data
     return texts.select("id", "h", "text").mapInArrow(run, "id long, h long, t0 int, t1 int, p int, a long, s long")
 
 
+ROW_SCHEMA = "key binary, core binary, left binary, right binary"
+
+
+def _digest(*parts: bytes, salt: bytes = b"") -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16, salt=salt).digest()
+
+
+def _key(core: bytes, left: bytes, right: bytes) -> bytes:
+    """Stands for all that a row holds."""
+    return _digest(core, len(left).to_bytes(2, "little"), left, right)
+
+
 def range_rows(picked: DataFrame, step: int, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
-    """a, s, u (first start of the range, relative to the anchor), core (digest), left, right
+    """a, s, u (first start of the range, relative to the anchor), key, core (digest), left, right
     (bytes next to the core), for the segments in picked.segs (t0, t1, p, a, s) of picked.text."""
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("a", "s", "u", "core", "left", "right")}
+            out = {c: [] for c in ("a", "s", "u", "key", "core", "left", "right")}
             for i in range(len(b)):
                 data = b.column("text")[i].as_py().encode()
                 for g in b.column("segs")[i].as_py():
@@ -144,20 +170,16 @@ def range_rows(picked: DataFrame, step: int, width: int = WIDTH, k: int = ANCHOR
                         v = u + step - 1  # the range's last start
                         if p + u > t1 or p + v < t0:
                             continue
-                        core = hashlib.blake2b(data[p + v : p + u + width], digest_size=16, salt=str(u).encode()).digest()
-                        for c, x in zip(out, (
-                            g["a"], g["s"], u, core, data[max(t0, p + u) : p + v], data[p + u + width : min(t1, p + v) + width],
-                        )):
+                        core = _digest(data[p + v : p + u + width], salt=str(u).encode())
+                        left, right = data[max(t0, p + u) : p + v], data[p + u + width : min(t1, p + v) + width]
+                        for c, x in zip(out, (g["a"], g["s"], u, _key(core, left, right), core, left, right)):
                             out[c].append(x)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["a"], pa.int64()), pa.array(out["s"], pa.int64()), pa.array(out["u"], pa.int32()),
-                    *[pa.array(out[c], pa.binary()) for c in ("core", "left", "right")],
-                ],
+                [pa.array(out["a"], pa.int64()), pa.array(out["s"], pa.int64()), pa.array(out["u"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("key", "core", "left", "right")]],
                 names=list(out),
             )
 
-    return picked.select("text", "segs").mapInArrow(run, "a long, s long, u int, core binary, left binary, right binary")
+    return picked.select("text", "segs").mapInArrow(run, f"a long, s long, u int, {ROW_SCHEMA}")
 
 
 def between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -228,17 +250,15 @@ def shared_windows(group: np.ndarray, left: list[bytes], right: list[bytes], ste
 
 
 def build_columns(rows: DataFrame, step: int) -> DataFrame:
-    """a, s, u, mask for rows (a, s, u, core, left, right) that lie sorted by core."""
+    """key, mask for rows (key, core, left, right) that lie sorted by core."""
 
     def flush(part: pa.Table) -> pa.RecordBatch:
         core = part.column("core").to_pylist()
         group = np.cumsum([0, *[x != y for x, y in zip(core, core[1:])]])
-        part = part.take(np.flatnonzero(np.bincount(group)[group] > 1))  # a core alone shares nothing
-        group = group[np.bincount(group)[group] > 1]
+        some = np.bincount(group)[group] > 1  # a core alone shares nothing
+        part, group = part.filter(pa.array(some)), group[some]
         mask = shared_windows(group, part.column("left").to_pylist(), part.column("right").to_pylist(), step)
-        return pa.RecordBatch.from_arrays(
-            [*[part.column(c).combine_chunks() for c in ("a", "s", "u")], pa.array(mask, pa.int64())], names=["a", "s", "u", "mask"]
-        )
+        return pa.RecordBatch.from_arrays([part.column("key").combine_chunks(), pa.array(mask, pa.int64())], names=["key", "mask"])
 
     def run(batches):
         held, count = [], 0
@@ -258,32 +278,71 @@ def build_columns(rows: DataFrame, step: int) -> DataFrame:
         if count:
             yield flush(pa.concat_tables(held).combine_chunks())
 
-    return rows.mapInArrow(run, "a long, s long, u int, mask long")
+    return rows.select("key", "core", "left", "right").mapInArrow(run, "key binary, mask long")
 
 
-def single_windows(rows: DataFrame, step: int) -> DataFrame:
-    """Ranges of one window: a, s, u, j, core, where core stands for the whole window."""
+def halved(rows: DataFrame, step: int) -> DataFrame:
+    """Rows of ranges of `step` starts as rows of the first and the last `half` of them, each with a longer
+    core: parent (their key), by (starts left out before), key, core, left, right.  A half that the
+    row has no window of is left out."""
+    half = (step + 1) // 2
+    rest = step - half
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("a", "s", "u", "j", "core")}
+            out = {c: [] for c in ("parent", "by", "key", "core", "left", "right")}
             for r in b.to_pylist():
-                for j in range(len(r["left"]) + 1):
-                    if len(r["right"]) < step - 1 - j:
-                        continue  # the segment ends before this window does
-                    whole = r["left"][len(r["left"]) - j :] + r["core"] + r["right"][: step - 1 - j]
-                    for c, x in zip(out, (r["a"], r["s"], r["u"], j, hashlib.blake2b(whole, digest_size=16, salt=bytes([j])).digest())):
-                        out[c].append(x)
+                left, core, right = r["left"], r["core"], r["right"]
+                made = []
+                if len(left) >= rest:
+                    at = len(left) - rest
+                    made.append((0, _digest(left[at:], core, salt=b"l" + bytes([step])), left[:at], right[: half - 1]))
+                if len(right) >= rest:
+                    made.append((rest, _digest(core, right[:rest], salt=b"r" + bytes([step])), left[max(0, len(left) - half + 1) :], right[rest:]))
+                for by, c, x, y in made:
+                    for name, value in zip(out, (r["key"], by, _key(c, x, y), c, x, y)):
+                        out[name].append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["a"], pa.int64()), pa.array(out["s"], pa.int64()), pa.array(out["u"], pa.int32()), pa.array(out["j"], pa.int32()),
-                 pa.array(out["core"], pa.binary())], names=list(out),
+                [pa.array(out["parent"], pa.binary()), pa.array(out["by"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("key", "core", "left", "right")]],
+                names=list(out),
             )
 
-    return rows.select("a", "s", "u", "core", "left", "right").mapInArrow(run, "a long, s long, u int, j int, core binary")
+    return rows.select("key", "core", "left", "right").mapInArrow(run, f"parent binary, by int, {ROW_SCHEMA}")
+
+
+def masks_of(rows: DataFrame, step: int, hot: int) -> DataFrame:
+    """key, by, step, mask: the windows of each row that another row has too; window j of a mask starts
+    by + step - 1 - j after the row's first start.
+
+    Equal rows collapse first; all windows of one that occurs twice are shared.  Cores of up
+    to `hot` different rows are built into columns.  The rows of other cores are halved, again and
+    again: most part from each other at once, since a longer core takes in where they differ.
+    """
+    held = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.first("core").alias("core"), F.first("left").alias("left"), F.first("right").alias("right")
+    )
+    held = materialise(held, "sa-contents")
+    whole = held.where("n > 1").select(
+        "key", F.lit(0).alias("by"), F.lit(step).alias("step"),
+        F.expr(f"shiftleft(1L, length(left) + 1) - shiftleft(1L, greatest({step - 1} - length(right), 0))").alias("mask"),
+    )
+    if step == 1:
+        return whole
+    crowded = materialise(held.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("core"), "sa-crowded")
+    few = held.join(crowded, "core", "left_anti").repartition("core").sortWithinPartitions("core")
+    built = build_columns(few, step).where("mask != 0").select("key", F.lit(0).alias("by"), F.lit(step).alias("step"), "mask")
+    out = whole.unionByName(built)
+    if crowded.isEmpty():
+        return out
+    parts = materialise(halved(held.join(crowded, "core", "left_semi"), step), "sa-halves")
+    found = materialise(masks_of(parts.select("key", "core", "left", "right"), (step + 1) // 2, hot).withColumnRenamed("by", "more"), "sa-masks")
+    return out.unionByName(
+        parts.select("parent", "by", "key").join(found, "key").select(F.col("parent").alias("key"), (F.col("by") + F.col("more")).alias("by"), "step", "mask")
+    )
 
 
 def repeated(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, hot: int = HOT, step: int = RANGE) -> DataFrame:
-    """id, h, from, to, p, u, mask: where mask is null, all windows that start in [from, to)
+    """id, h, from, to, p, u, step, mask: where mask is null, all windows that start in [from, to)
     are repeated; else those at p + u + step - 1 - j for the bits j of the mask."""
     places = segment_table(texts, width, k)
     anchors = materialise(
@@ -291,7 +350,7 @@ def repeated(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, hot: int = H
         "sa-anchors",
     )
     found = materialise(places.join(anchors, "a"), "sa-places")
-    none = [F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("u"), F.lit(None).cast("long").alias("mask")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("p", "int"), ("u", "int"), ("step", "int"), ("mask", "long"))]
     ends = [F.col("t0").alias("from"), (F.col("t1") + 1).alias("to")]
     plain = found.where("NOT mixed").select("id", "h", *ends, *none)
 
@@ -300,42 +359,40 @@ def repeated(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, hot: int = H
         mixed.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "t0", "t1", "p")).alias("at")), "sa-kinds"
     )
     by_row = kinds.groupBy("at.id", "at.h").agg(F.collect_list(F.struct("at.t0", "at.t1", "at.p", "a", "s")).alias("segs"))
-    rows = materialise(range_rows(texts.join(by_row, ["id", "h"]), step, width, k).distinct(), "sa-rows")
-    crowded = materialise(
-        rows.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("core"), "sa-crowded"
-    )
-    masks = build_columns(rows.join(crowded, "core", "left_anti").repartition("core").sortWithinPartitions("core"), step)
-    if not crowded.isEmpty():
-        fine = materialise(single_windows(rows.join(crowded, "core", "left_semi"), step), "sa-windows")
-        many = materialise(fine.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core"), "sa-many")
-        masks = masks.unionByName(
-            fine.join(many, "core").groupBy("a", "s", "u").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
-        )
+    rows = materialise(range_rows(texts.join(by_row, ["id", "h"]), step, width, k), "sa-rows")
+    masks = materialise(masks_of(rows.select("key", "core", "left", "right"), step, hot), "sa-masks")
     # a segment that occurs more than once is repeated whole
     known = materialise(
-        kinds.where("n > 1").select("a", "s", F.lit(None).cast("int").alias("u"), F.lit(None).cast("long").alias("mask"))
-        .unionByName(masks.where("mask != 0")),
-        "sa-masks",
+        kinds.where("n > 1").select("a", "s", F.lit(None).cast("int").alias("u"), F.lit(None).cast("int").alias("step"), F.lit(None).cast("long").alias("mask"))
+        .unionByName(rows.select("a", "s", "u", "key").join(masks, "key").select("a", "s", (F.col("u") + F.col("by")).alias("u"), "step", "mask")),
+        "sa-known",
     )
-    return plain.unionByName(mixed.join(known, ["a", "s"]).select("id", "h", *ends, "p", "u", "mask"))
-
-
-def covers(x: dict, width: int, step: int):
-    """The byte spans that a row of `repeated` stands for."""
-    if x["mask"] is None:
-        return [(x["from"], x["to"] + width - 1)]
-    last = x["p"] + x["u"] + step - 1
-    return [(last - j, last - j + width) for j in range(step) if x["mask"] >> j & 1]
-
-
-def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for x, y in sorted(spans):
-        if out and x <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], y)
-        else:
-            out.append([x, y])
-    return out
+    return plain.unionByName(mixed.join(known, ["a", "s"]).select("id", "h", *ends, "p", "u", "step", "mask"))
+
+
+def removed_runs(spans: pa.ListArray, width: int):
+    """(owner, start, end) arrays of the maximal runs of bytes that the spans of each list cover, in order."""
+    owner = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    got = {c: flat.field(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k, c in enumerate(("from", "to", "p", "u", "step", "mask"))}
+    masked = got["step"] > 0
+    starts, ends, owners = [got["from"][~masked]], [got["to"][~masked] + width - 1], [owner[~masked]]
+    if masked.any():
+        m = {c: v[masked] for c, v in got.items()}
+        bits = (m["mask"][:, None] >> np.arange(int(m["step"].max()))) & 1
+        row, j = np.nonzero(bits)
+        at = m["p"][row] + m["u"][row] + m["step"][row] - 1 - j
+        starts, ends, owners = [*starts, at], [*ends, at + width], [*owners, owner[masked][row]]
+    start, end, owner = map(np.concatenate, (starts, ends, owners))
+    order = np.lexsort((start, owner))
+    start, end, owner = start[order], end[order], owner[order]
+    if not len(start):
+        return owner, start, end
+    reach = np.maximum.accumulate(end + (owner << 40))  # lists do not meet
+    first = np.ones(len(start), bool)
+    first[1:] = start[1:] + (owner[1:] << 40) > reach[:-1]
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(start) - 1)
+    return owner[first], start[first], reach[last] - (owner[last] << 40)
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR, hot: int = HOT, step: int = RANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,21 +402,23 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR, hot: int =
         {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h": F.xxhash64("text")}
     )
     spans = repeated(texts, width, k, hot, step).groupBy("id", "h").agg(
-        F.collect_list(F.struct("from", "to", "p", "u", "mask")).alias("spans")
+        F.collect_list(F.struct("from", "to", "p", "u", "step", "mask")).alias("spans")
     )
 
     def run(batches):
         for b in batches:
             cols = [[], [], [], []]
+            owner, start, end = removed_runs(b.column("spans"), width)
+            edges = np.searchsorted(owner, np.arange(len(b) + 1))
             for i in range(len(b)):
                 data, kept, upto = b.column("text")[i].as_py().encode(), [], 0
-                cut = merged([y for x in b.column("spans")[i].as_py() or [] for y in covers(x, width, step)])
-                for x, y in cut:
+                x0, x1 = start[edges[i] : edges[i + 1]].tolist(), end[edges[i] : edges[i + 1]].tolist()
+                for x, y in zip(x0, x1):
                     kept.append(data[upto:x])
                     upto = y
                 kept.append(data[upto:])
                 rest = b"".join(kept)
-                for c, x in zip(cols, (len(data), len(data) - len(rest), len(cut), rest)):
+                for c, x in zip(cols, (len(data), len(data) - len(rest), len(x0), rest)):
                     c.append(x)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())],
