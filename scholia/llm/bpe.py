@@ -96,13 +96,16 @@ class Encoder:
     def _prepare(self) -> None:
         rank = {t: k for k, t in enumerate(self.tokens)}
         self.byte_id = [rank.get(bytes([b]), -1) for b in range(256)]
+        self.two = {t: k for t, k in rank.items() if len(t) == 2}
         #: (left id, right id) -> id of the two joined, for all that the vocabulary has
+        self.wide = len(self.tokens).bit_length()
         self.pair = {
-            (x << 32) | y: k
+            x << self.wide | y: k
             for t, k in rank.items()
             for i in range(1, len(t))
             if (x := rank.get(t[:i])) is not None and (y := rank.get(t[i:])) is not None
         }
+        self.find_all = regex.compile(self.pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -114,29 +117,32 @@ class Encoder:
         self._prepare()
 
     def split(self, text: str) -> list[str]:
-        return regex.findall(self.pattern, text)
+        return self.find_all(text)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece by merging: a heap of pairs (rank, place) over doubly linked parts."""
+        end, wide, joined = len(piece), self.wide, self.pair.get
+        shift = 12 if end < 4096 else 40  # small numbers are faster
+        places = (1 << shift) - 1
+        two = self.two.get
+        heap = [r << shift | k for k in range(end - 1) if (r := two(piece[k : k + 2])) is not None]
+        heapify(heap)
         part = [self.byte_id[b] for b in piece]
-        end, pair = len(part), self.pair
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        heap = [r << 40 | k for k in range(end - 1) if (r := pair.get(part[k] << 32 | part[k + 1])) is not None]
-        heapify(heap)
         while heap:
             x = heappop(heap)
-            k, r = x & 0xFFFFFFFFFF, x >> 40
+            k, r = x & places, x >> shift
             left, j = part[k], after[k]
-            if left < 0 or j >= end or pair.get(left << 32 | part[j]) != r:
+            if left < 0 or j >= end or joined(left << wide | part[j]) != r:
                 continue  # one of the two has been merged since
             part[k], part[j] = r, -1
             after[k] = j = after[j]
             if j < end:
                 before[j] = k
-                if (m := pair.get(r << 32 | part[j])) is not None:
-                    heappush(heap, m << 40 | k)
-            if (i := before[k]) >= 0 and (m := pair.get(part[i] << 32 | r)) is not None:
-                heappush(heap, m << 40 | i)
+                if (m := joined(r << wide | part[j])) is not None:
+                    heappush(heap, m << shift | k)
+            if (i := before[k]) >= 0 and (m := joined(part[i] << wide | r)) is not None:
+                heappush(heap, m << shift | i)
         return tuple([p for p in part if p >= 0])
 
     def _resolve(self, pieces: list[str]) -> None:
