@@ -121,9 +121,7 @@ def first_level_chapters(chapters: DataFrame) -> DataFrame:
     """Chapters by number, by a main title, or of level 1 without a sub-number or a section word."""
     n, t = F.col("number"), F.col("title")
     numbered = n.rlike(r"(?i)^第[一二三四五六七八九十\d]+章|^Chapter\s+\d+")
-    main = F.lit(False)
-    for m in MAIN_TITLES:
-        main = main | t.contains(m) | F.lit(m).contains(t)
+    main = t.rlike("|".join(MAIN_TITLES)) | F.exists(F.array(*map(F.lit, MAIN_TITLES)), lambda m: m.contains(t))
     plain = (F.col("level") == 1) & ~n.rlike(SUBSECTION) & ~t.rlike("|".join(SUB_TITLES))
     return chapters.where(numbered | main | plain)
 

