@@ -127,10 +127,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("row", F.unhex(F.sha2("text", 256)))
     found = find_windows(rows, benchmark, width).groupBy("row", "at", "n").agg(F.first("items").alias("items"))
-    per_text = found.groupBy("row").agg(
+    # written first: the join below then stands between two plain shuffles, which Spark can split
+    per_text = materialise(found.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    ).select("row", covered(F.col("spans")).alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    ).select("row", covered(F.col("spans")).alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items")), "hits")
     n_words = F.size(words("text")).cast("long")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select("doc_id", "row", n_words.alias("n_words")).join(per_text, "row", "left").select(
