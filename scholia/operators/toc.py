@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
-from scholia.operators.lines import doc_window, in_order, lines_of
+from scholia.operators.lines import doc_window, lines_of
 
 # Fixed patterns of entries: type, level, confidence, pattern.  Special ones come first, then chapters, then sections.
 SPECIAL = (
