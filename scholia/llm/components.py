@@ -14,13 +14,13 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -29,13 +29,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(u, v): the least node reachable.
 
     Each round writes its edges to the shared folder; the number of rounds grows
-    with the logarithm of the graph.  Hubs are met by pre-aggregated minima and
-    joins that Spark can split.
+    with the logarithm of the graph.  Hubs are met by pre-aggregated minima, which are
+    written first, so that Spark can split the joins with them.
     """
     now = materialise(edges.select("u", "v").where("u != v").distinct(), "cc-edges")
     state = _state(now)
     while state[0]:
-        now = materialise(_small_star(_large_star(now)).distinct(), "cc-edges")
+        wide = materialise(_large_star(now), "cc-wide")
+        now = materialise(_small_star(wide).distinct(), "cc-edges")
         if (new := _state(now)) == state:
             break
         state = new
