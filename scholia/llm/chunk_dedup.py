@@ -24,8 +24,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialise
-
 MIN_CHUNK, AVERAGE_EXTRA, MAX_CHUNK = 32, 32, 512
 _RANDOM = random.Random(20_240_229)
 GEAR = np.array([_RANDOM.getrandbits(32) for _ in range(256)], np.uint32)
