@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +15,8 @@ from scholia.functions.text import blank_to_null, strip
 
 # Fixed words of the composite score.
 NATIONAL_FUNDS = ("国家自然科学基金", "国家重点研发")
+#: rows of a block of theses, rows of a slice of papers where all pairs or the best are kept, papers scored at a time.
+THESES, PAIR_PAPERS, BEST_PAPERS, STEP = 256, 4_096, 32_768, 256
 KNOWN_INSTITUTIONS = ("清华", "北大", "中科院", "复旦", "上海交大", "浙大", "中南大学", "华中科技")
 
 
@@ -49,6 +57,94 @@ def top_papers(similar: DataFrame, n: int = 30, keys=("thesis_id", "lang")) -> D
     return similar.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows padded with zeros, their norms and lengths; the length of a null vector, or of one with a null, is -1."""
+    flat, size = pc.list_flatten(vectors), pc.list_value_length(vectors).to_numpy()
+    if len(size) and not vectors.null_count and not flat.null_count and (size == size[0]).all():
+        out = flat.to_numpy().astype(float).reshape(len(size), size[0])
+        return out, np.sqrt(_dots(out, out, each=True)), size
+    rows = vectors.to_pylist()
+    size = np.array([-1 if v is None or None in v else len(v) for v in rows], np.int64)
+    out = np.zeros((len(rows), max(size.max(initial=0), 0)))
+    for k, v in enumerate(rows):
+        if size[k] > 0:
+            out[k, : size[k]] = v
+    return out, np.sqrt(_dots(out, out, each=True)), size
+
+
+def _dots(a: np.ndarray, b: np.ndarray, each: bool = False) -> np.ndarray:
+    """Sums of products, added from the left as `dot` does: equal vectors give equal sums wherever they stand."""
+    out = np.zeros(len(a) if each else (len(a), len(b)))
+    for k in range(min(a.shape[1], b.shape[1])):
+        out += a[:, k] * b[:, k] if each else a[:, k, None] * b[None, :, k]
+    return out
+
+
+def _scored(theses: pa.Table, papers: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, similarities and where they are null, of all theses to STEP papers at a time."""
+    (t, tn, ts), (p, pn, ps) = _matrix(theses["v"]), _matrix(papers["v"])
+    for at in range(0, len(p), STEP):
+        part = slice(at, at + STEP)
+        norms = tn[:, None] * pn[None, part]
+        null = (norms == 0) | (ts[:, None] != ps[None, part]) | (ts[:, None] < 0)
+        with np.errstate(all="ignore"):
+            yield at, np.where(null, 0.0, _dots(t, p[part]) / norms), null
+
+
+def _by_blocks(theses: DataFrame, papers: DataFrame, slice_rows: int, score: Callable, schema: str, vector: str) -> DataFrame:
+    """score(theses, papers) of each block of theses and each slice of papers.  Blocks and slices are of bounded size,
+    as their numbers follow the rows counted; papers are repeated once a block, theses once a slice."""
+    blocks, slices = math.ceil(theses.count() / THESES) or 1, math.ceil(papers.count() / slice_rows) or 1
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = theses.select("thesis_id", F.col(vector).alias("v"), dealt("thesis_id", blocks).alias("b"), every(slices).alias("s"))
+    p = papers.select("paper_id", "lang", F.col(vector).alias("v"), dealt("paper_id", slices).alias("s"), every(blocks).alias("b"))
+    return t.groupBy("b", "s").cogroup(p.groupBy("b", "s")).applyInArrow(score, schema)
+
+
+def all_similarities(theses: DataFrame, papers: DataFrame, vector: str = "embedding") -> DataFrame:
+    """D3 without candidate lists: thesis_id, paper_id, lang, similarity of every thesis (thesis_id, embedding) to every
+    paper (paper_id, lang, embedding)."""
+    tk, pk, lk = theses.schema["thesis_id"].dataType.simpleString(), papers.schema["paper_id"].dataType.simpleString(), papers.schema["lang"].dataType.simpleString()
+
+    def score(t: pa.Table, p: pa.Table) -> pa.Table:
+        t, p, parts = t.combine_chunks(), p.combine_chunks(), []
+        for at, sim, null in _scored(t, p):
+            n = sim.shape[1]
+            row, col = np.repeat(np.arange(len(t)), n), np.tile(np.arange(at, at + n), len(t))
+            parts.append(pa.table({"thesis_id": t["thesis_id"].take(row), "paper_id": p["paper_id"].take(col), "lang": p["lang"].take(col), "similarity": pa.array(sim.ravel(), mask=null.ravel())}))
+        return pa.concat_tables(parts) if parts and len(t) else pa.table({"thesis_id": t["thesis_id"][:0], "paper_id": p["paper_id"][:0], "lang": p["lang"][:0], "similarity": pa.array([], pa.float64())})
+
+    return _by_blocks(theses, papers, PAIR_PAPERS, score, f"thesis_id {tk}, paper_id {pk}, lang {lk}, similarity double", vector)
+
+
+def all_top_papers(theses: DataFrame, papers: DataFrame, n: int = 30, vector: str = "embedding") -> DataFrame:
+    """D4 without candidate lists: the n papers of each language most similar to each thesis, as top_papers ranks them.
+    A slice keeps n of each language and thesis while it goes along, so only those are shuffled."""
+    tk, pk, lk = theses.schema["thesis_id"].dataType.simpleString(), papers.schema["paper_id"].dataType.simpleString(), papers.schema["lang"].dataType.simpleString()
+
+    def score(t: pa.Table, p: pa.Table) -> pa.Table:
+        t, p = t.combine_chunks(), p.combine_chunks().sort_by("paper_id")
+        parts = [pa.table({"thesis_id": t["thesis_id"][:0], "paper_id": p["paper_id"][:0], "lang": p["lang"][:0], "similarity": pa.array([], pa.float64())})]
+        names = p["lang"].combine_chunks().dictionary_encode(null_encoding="encode") if len(p) else None
+        for k in range(len(names.dictionary) if len(p) and len(t) else 0):
+            mine = p.take(np.flatnonzero(names.indices.to_numpy() == k))
+            where, best = np.zeros((len(t), 0), np.int64), np.zeros((len(t), 0))
+            for at, sim, null in _scored(t, mine):
+                # nulls go last, NaN first, as Spark sorts; a stable sort leaves ties by paper_id
+                order = np.where(null, np.inf, np.where(np.isnan(sim), -np.inf, -sim))
+                where = np.hstack([where, np.broadcast_to(np.arange(at, at + sim.shape[1]), sim.shape)])
+                best = np.hstack([best, order])
+                first = np.argsort(best, axis=1, kind="stable")[:, :n]
+                where, best = np.take_along_axis(where, first, 1), np.take_along_axis(best, first, 1)
+            row, col, b = np.repeat(np.arange(len(t)), where.shape[1]), where.ravel(), best.ravel()
+            parts.append(pa.table({"thesis_id": t["thesis_id"].take(row), "paper_id": mine["paper_id"].take(col), "lang": mine["lang"].take(col), "similarity": pa.array(np.where(b == -np.inf, np.nan, -b), mask=b == np.inf)}))
+        return pa.concat_tables(parts)
+
+    near = _by_blocks(theses, papers, BEST_PAPERS, score, f"thesis_id {tk}, paper_id {pk}, lang {lk}, similarity double", vector)
+    return top_papers(near, n)
+
+
 def search_papers(queries: DataFrame, papers: DataFrame, fields: dict[str, list[str]], n: int = 50, default_cutoff: str = "20220101") -> DataFrame:
     """Qid, paper pos, rank: papers of the query's language, published by its cut-off, whose field holds all of
     `all`, one of `any` (if given) and none of `none`; newest first, n a query.

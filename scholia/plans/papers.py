@@ -162,6 +162,19 @@ SELECT * FROM (SELECT thesis_id, lang, paper_id, CAST(row_number() OVER (PARTITI
 add("p29_similarity_band", lambda p, s, d: _vectors(s, d).select(fp.similarity_band(F.round("similarity", 6)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")), SIM + """
 SELECT CASE WHEN round(sim, 6) >= 0.8 THEN 'high' WHEN round(sim, 6) >= 0.6 THEN 'medium' WHEN round(sim, 6) >= 0.4 THEN 'low' END AS band, count(*) AS n FROM v GROUP BY 1""", papers=False)
 
+
+
+def _pairs(s, d):
+    """Theses: every row whose id is divisible by 20; papers: all rows."""
+    v = load(s, d, "embeddings")
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("thesis_id"), "embedding"), v.select(F.col("vec_id").alias("paper_id"), F.col("label").cast("string").alias("lang"), "embedding")
+
+
+SIM_ALL = SIM.replace("t.vec_id < 5 AND e.vec_id >= 5", "t.vec_id % 20 = 0")
+add("d3_cosine_similarity_all", lambda p, s, d: r.all_similarities(*_pairs(s, d)).select("thesis_id", "paper_id", F.round("similarity", 6).alias("similarity")), SIM_ALL + " SELECT thesis_id, paper_id, round(sim, 6) AS similarity FROM v", papers=False)
+add("d4_top_papers_all", lambda p, s, d: r.all_top_papers(*_pairs(s, d)).select("thesis_id", "lang", "paper_id", "rank", F.round("similarity", 6).alias("similarity")), ORACLE_SQL["d4_top_papers"].replace(SIM, SIM_ALL), papers=False)
+add("p29_similarity_band_all", lambda p, s, d: r.all_similarities(*_pairs(s, d)).select(fp.similarity_band(F.round("similarity", 6)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")), ORACLE_SQL["p29_similarity_band"].replace(SIM, SIM_ALL), papers=False)
+
 SEARCH = [
     ("q1", 1, "Chinese", "19970101", "SU", ["promo"], ["brass", "steel"], []), ("q2", 1, "English", None, "KY", ["economy"], [], ["tin"]),
     ("q3", 2, "English", "19950601", "TI", [], ["urgent", "high"], ["low"]), ("q4", 2, "Chinese", None, "AB", ["building", "zzz"], [], []),
@@ -280,6 +293,7 @@ SELECT thesis_id, papers, layers, round(score, 9) AS score, CASE WHEN score >= 8
 add("a23_relevance_level", lambda p, s, d: q.relevance_level(_vectors(s, d), least=0.1), SIM + """,
 g AS (SELECT thesis_id, round(avg((sim >= 0.1)::INTEGER), 9) AS share FROM v GROUP BY 1)
 SELECT thesis_id, share, CASE WHEN share >= 0.8 THEN 'high' WHEN share >= 0.6 THEN 'fair' WHEN share >= 0.4 THEN 'partial' ELSE 'weak' END AS level FROM g""", papers=False)
+add("a23_relevance_level_all", lambda p, s, d: q.relevance_level(r.all_similarities(*_pairs(s, d)), least=0.1), ORACLE_SQL["a23_relevance_level"].replace(SIM, SIM_ALL), papers=False)
 TIME = """,
 g AS (SELECT thesis_id, count(*) AS n, avg((1998 - y <= 5)::INTEGER) AS r, avg((1998 - y <= 2)::INTEGER) AS v, round(avg(1998 - y), 9) AS mean_age FROM yy GROUP BY 1)
 SELECT thesis_id, n, round(r, 9) AS recent, round(v, 9) AS latest, mean_age, CASE WHEN r >= 0.6 AND v >= 0.3 THEN 'excellent' WHEN r >= 0.4 AND v >= 0.2 THEN 'good' WHEN r >= 0.3 THEN 'fair' ELSE 'weak' END AS level FROM g"""

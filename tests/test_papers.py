@@ -119,3 +119,19 @@ def test_paper_files(spark, tmp_path):
     assert (inventory["n_files"], inventory["has_top"], inventory["has_extraction"]) == (3, True, False)
     (tmp_path / "d.md").write_text("# x\ny")
     assert io.read_documents(spark, str(tmp_path)).first()["text"] == "# x\ny"
+
+
+def test_all_similarities_and_best_over_several_blocks(spark, monkeypatch):
+    for name in ("THESES", "PAIR_PAPERS", "BEST_PAPERS", "STEP"):
+        monkeypatch.setattr(ranking, name, 7)
+    # ids that do not start at 0, one vector many times, a zero, a null and a short one
+    rows = [(k, [float(k * k % 11 - 5), float(k % 7 - 3), 0.1 * (k % 3)] if k % 5 else [0.3, 0.1, 0.7], str(k % 2)) for k in range(100, 200)]
+    rows += [(200, [0.0, 0.0, 0.0], "0"), (201, None, "1"), (202, [1.0], "0")]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, lang string")
+    t, p = v.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "thesis_id").select("thesis_id", "embedding"), v.withColumnRenamed("vec_id", "paper_id")
+    pairs = t.select("thesis_id").crossJoin(p.select("paper_id", "lang", "embedding"))
+    want = ranking.cosine_similarity(t, pairs, keys=("thesis_id",)).join(p.select("paper_id", "lang"), "paper_id").select("thesis_id", "paper_id", "lang", "similarity")
+    assert sorted(map(str, ranking.all_similarities(t, p).collect())) == sorted(map(str, want.collect()))
+    best = ranking.top_papers(want, 9)
+    assert sorted(map(str, ranking.all_top_papers(t, p, 9).select(best.columns).collect())) == sorted(map(str, best.collect()))
+    assert best.select("thesis_id").distinct().count() == 26
