@@ -99,6 +99,11 @@ add("p31_extract_json", lambda d, s, x: load(s, x, "events").select("event_id",
 add("p32_parse_json_lenient", lambda d, s, x: load(s, x, "events").select("event_id", t.parse_json_lenient(F.concat(F.lit('{"kind": "'), "event_type", F.when(F.col("event_id") % 3 == 0, F.lit("\n")).otherwise(""), F.lit('", "id": "'), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, F.lit('", broken')).otherwise(F.lit('"}'))), ["kind", "id"]).alias("s"))
     .select("event_id", F.trim("s.kind").alias("kind"), "s.id"), "SELECT event_id, event_type AS kind, CAST(event_id AS VARCHAR) AS id FROM events")
 scalar("p33_mark_headings", lambda c: F.md5(t.mark_headings(F.concat(F.lit("第一章 x\n1.1 part\n"), F.substring(c, 1, 500)))), "md5('## 第一章 x' || chr(10) || '### 1.1 part' || chr(10) || substr(text, 1, 500))")
+# the three operators above over whole texts
+scalar("p10_normalize_chapter_title_whole", lambda c: F.md5(t.normalize_chapter_title(F.concat(F.lit("第 三 章 Chapter   4 "), c))), "md5('第三章 Chapter 4 ' || text)")
+scalar("p13_split_keywords_whole", lambda c: F.md5(t.format_keywords(t.split_keywords(F.concat(F.lit("Keywords: "), c)), F.lit("english"))),
+       r"md5(array_to_string(list_filter(regexp_split_to_array(text, '[,，;；\s\x0b]+'), lambda w: w <> ''), ', '))")
+scalar("p33_mark_headings_whole", lambda c: F.md5(t.mark_headings(F.concat(F.lit("第一章 x\n1.1 part\n"), c))), "md5('## 第一章 x' || chr(10) || '### 1.1 part' || chr(10) || text)")
 MD = "'# T ' || source || chr(10) || '**关键词**：' || lang || ', x' || chr(10) || '## 摘要' || chr(10) || string_split(text, chr(10))[1] || chr(10) || '## Next' || chr(10) || '日期：' || chr(10) || '2021年3月4日'"
 
 
@@ -314,9 +319,10 @@ q AS (SELECT *, (lang IS NOT NULL)::INTEGER + (source IS NOT NULL)::INTEGER + (g
 SELECT doc_id, filled, round(filled / 3, 9) AS confidence, round(filled / 3 * 0.6::DOUBLE + CASE WHEN grade IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN doc_id % 20 > 10 THEN 0.2::DOUBLE ELSE 0 END, 9) AS quality FROM q""")
 
 
-def told_sections(d):
-    return lines_of(d, 8).select("doc_id", F.col("line_no").alias("ord"), F.concat(F.lit("s"), F.col("line_no").cast("string")).alias("section"), (F.length("line") % 10).alias("score"),
-                                 F.split(F.substring("line", 1, 30), " ").alias("strengths"), F.when(F.length("line") > 100, F.array(F.lit("shorter"))).alias("suggestions"))
+def told_sections(d, lines: int | None = 8, chars: int | None = 30):
+    words = F.col("line") if chars is None else F.substring("line", 1, chars)
+    return lines_of(d, lines).select("doc_id", F.col("line_no").alias("ord"), F.concat(F.lit("s"), F.col("line_no").cast("string")).alias("section"), (F.length("line") % 10).alias("score"),
+                                 F.split(words, " ").alias("strengths"), F.when(F.length("line") > 100, F.array(F.lit("shorter"))).alias("suggestions"))
 
 
 add("a26_section_insights", lambda d, *_: quality.section_insights(told_sections(d)), f"""
@@ -324,6 +330,8 @@ WITH {LINES}, l AS (SELECT * FROM d WHERE line_no < 8),
 i AS (SELECT doc_id, line_no, 0 AS g, k, 'strength' AS kind, string_split(substr(line, 1, 30), ' ')[k] AS insight FROM l, range(1, least(2, len(string_split(substr(line, 1, 30), ' '))) + 1) AS q(k)
  UNION ALL SELECT doc_id, line_no, 1, 1, 'suggestion', 'shorter' FROM l WHERE length(line) > 100 UNION ALL SELECT doc_id, line_no, 2, 1, 'low_score', CAST(length(line) % 10 AS VARCHAR) FROM l WHERE length(line) % 10 < 6)
 SELECT doc_id, line_no::INTEGER AS ord, 's' || line_no AS section, kind, insight, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, g, k) AS rank FROM i) WHERE rank <= 10""")
+add("a26_section_insights_whole", lambda d, *_: quality.section_insights(told_sections(d, None, None)),
+    ORACLE_SQL["a26_section_insights"].replace("WHERE line_no < 8", "").replace("substr(line, 1, 30)", "line"))
 add("a30_validate_fields", lambda d, *_: quality.validate_fields(d.withColumn("first", F.substring_index("text", "\n", 1)), "source", "lang", "first"), f"""
 SELECT doc_id, false AS number_ok, true AS author_ok, NOT (trim({FIRST_LINE}) <> '' AND length({FIRST_LINE}) < 10) AS title_ok,
   CASE WHEN trim({FIRST_LINE}) <> '' AND length({FIRST_LINE}) < 10 THEN 'number,title' ELSE 'number' END AS failed FROM documents""")

@@ -1,10 +1,14 @@
 """Sections, references, contents lists and chapters on hand-written documents."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import chapters, references, sections, toc
+from scholia import plans
+from scholia.operators import chapters, quality, references, sections, toc
 from scholia.operators.lines import lines_of
+from scholia.plans import documents
 
 STANDARD = """第五章 结论
 参考文献
@@ -145,3 +149,20 @@ def test_hierarchy(spark):
 def test_empty_and_null(spark, make):
     make(docs(spark, None, "")).collect()
     assert make(docs(spark, "x").limit(0)).count() == 0
+
+
+def test_headings_keywords_titles_and_sections_far_into_a_text(spark, tmp_path):
+    plain = "\n".join(f"plain words of line {k}" for k in range(300)) + "\n"
+    end = "第二章 late\n第 二 章 Chapter   7; word"
+    spark.createDataFrame([(1, plain + end), (2, "\n" * 20 + "aaaaaaaaaaaaaaa bbbbbbbbbbbbbbb")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {r["doc_id"]: r["value"] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert run("p33_mark_headings_whole")[1] == md5("## 第一章 x\n### 1.1 part\n" + plain + end.replace("第二章 late", "## 第二章 late"))
+    assert run("p13_split_keywords_whole")[1] == md5(", ".join((plain + end).replace(";", " ").split()))
+    assert run("p10_normalize_chapter_title_whole")[1] == md5("第三章 Chapter 4 " + plain + "第二章 late\n第二章 Chapter 7; word")
+    rows = plans.QUERIES["a26_section_insights_whole"](spark, str(tmp_path)).where("doc_id = 2").collect()
+    # empty lines have a blank strength and a score of 0 each, so the first five lines give ten
+    assert {(r["ord"], r["kind"]) for r in rows} == {(k, x) for k in range(5) for x in ("strength", "low_score")}
+    late = spark.createDataFrame([(1, "\n".join(["x" * 8 + " " + "y" * 30] + ["x" * 9] * 12))], "doc_id long, text string")
+    got = quality.section_insights(documents.told_sections(late, None, None)).orderBy("rank").collect()
+    assert got[1]["insight"] == "y" * 30 and max(r["ord"] for r in got) == 8
