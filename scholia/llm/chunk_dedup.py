@@ -9,8 +9,10 @@ first in the text) stays and the others are removed.
 Digests are counted with partial aggregates and joined back by joins that Spark can
 split, so a chunk that a third of all documents hold is no hot spot.
 
-Defined results: null texts are empty and have no chunks; rows that repeat an id are
-judged as one document; null ids come before all others; a chunk that occurs once
+Defined results: null texts are empty and have no chunks; places belong to an id and a hash
+of the text, so rows that share an id (or have none) are judged apart; of equal rows one is
+judged and its result given once a row, the first with its first places and the others as
+copies; null ids come before all others; a chunk that occurs once
 stays; empty tables give no rows; extra columns are ignored.
 """
 
@@ -73,7 +75,7 @@ def _signed(x: int) -> int:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, at, size, d1, d2 (halves of the digest), first (whether the document has it there first)."""
+    """doc_id, h, copies (as given), at, size, d1, d2 (halves of the digest), first (whether the document has it there first)."""
 
     def run(batches):
         for b in batches:
@@ -92,29 +94,32 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.repeat(b.column("doc_id")[k], n), pa.array(begins, pa.int32()),
+                        *[pa.repeat(b.column(c)[k], n) for c in ("doc_id", "h", "copies")], pa.array(begins, pa.int32()),
                         pa.array([y - x for x, y in zip(begins, ends)], pa.int32()),
                         pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.bool_()),
                     ],
-                    names=["doc_id", "at", "size", "d1", "d2", "first"],
+                    names=["doc_id", "h", "copies", "at", "size", "d1", "d2", "first"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, at int, size int, d1 long, d2 long, first boolean")
+    return docs.mapInArrow(run, "doc_id long, h long, copies long, at int, size int, d1 long, d2 long, first boolean")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, at, size, removed for each place of a chunk that occurs more than once."""
+    """doc_id, h, at, size, removed for each place of a chunk that occurs more than once."""
     chunks = chunk_table(docs)
-    shared = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")).where("n > 1")
+    row = F.struct("doc_id", "h")
+    shared = chunks.groupBy("d1", "d2").agg(F.sum("copies").alias("n"), F.min(row).alias("owner")).where("n > 1")
     met = chunks.join(shared, ["d1", "d2"])
-    return met.select("doc_id", "at", "size", (~(F.col("first") & (F.col("doc_id") == F.col("owner")))).alias("removed"))
+    return met.select("doc_id", "h", "at", "size", (~(F.col("first") & (row == F.col("owner")))).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_shared (bytes in chunks that occur elsewhere too), n_removed, n_spans, kept (binary)."""
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    places = repeated_chunks(texts).groupBy("doc_id").agg(F.collect_set(F.struct("at", "size", "removed")).alias("places"))
-    met = texts.join(places, "doc_id", "left")
+    texts = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    # equal rows are one row with their number
+    texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    places = repeated_chunks(texts).groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "size", "removed")).alias("places"))
+    met = texts.join(places, ["doc_id", "h"], "left")
 
     def run(batches):
         for b in batches:
@@ -137,9 +142,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 for c, x in zip(cols, (len(data), shared, len(data) - len(rest), len(spans), rest)):
                     c.append(x)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())],
-                names=["doc_id", "n_bytes", "n_shared", "n_removed", "n_spans", "kept"],
+                [b.column("doc_id"), b.column("copies"), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())],
+                names=["doc_id", "copies", "n_bytes", "n_shared", "n_removed", "n_spans", "kept"],
             )
 
-    out = met.mapInArrow(run, "doc_id long, n_bytes long, n_shared long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    out = met.mapInArrow(run, "doc_id long, copies long, n_bytes long, n_shared long, n_removed long, n_spans long, kept binary")
+    # a row's further copies lose all their bytes
+    other = F.col("k") > 1
+    out = out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(
+        F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "n_bytes",
+        *[F.when(other, F.col("n_bytes")).otherwise(F.col(c)).alias(c) for c in ("n_shared", "n_removed")],
+        F.when(other, (F.col("n_bytes") > 0).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
+        F.when(other, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+    )
