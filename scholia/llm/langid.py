@@ -18,14 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.common import crc_mod, materialise
 
 FOLDS, HELD_OUT = 3, 1
-#: the training sample of a language: documents (by least hash of the id), characters of each, bytes in all.
+#: the training sample of a language: distinct texts (by least digest), characters of each in SLICES slices, bytes in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 96, 600, 40_000
+SLICES = 6
 #: bytes of a block, and blocks parsed in lock step.
 BLOCK, LANES = 512, 8_192
 _LETTER, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
@@ -153,16 +154,27 @@ def build(samples: dict[str, bytes]) -> Model:
     return Model(langs, classes, table, np.array(roots, np.int64), weight)
 
 
+def sampled(text: str, key: str) -> Column:
+    """SAMPLE_CHARS characters of a text as SLICES slices, one of each equal part of it, at places chosen by hash."""
+    size, part = SAMPLE_CHARS // SLICES, (F.length(text) / SLICES).cast("int")
+    at = lambda k: k * part + F.pmod(F.xxhash64(F.col(key), k), F.greatest(part - size + 1, F.lit(1))).cast("int") + 1
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda k: F.col(text).substr(at(k), F.lit(size)))
+    return F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.array_join(slices, " "))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from the training folds; at most SAMPLE_DOCS documents of a language are read for it."""
-    known = docs.where((crc_mod(id_col, FOLDS) != HELD_OUT) & F.col(lang_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
+    """A model from the training folds; at most SAMPLE_DOCS distinct texts of a language are read for it."""
+    rows = docs.where((crc_mod(id_col, FOLDS) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    # one row of each text, however many copies it has; digests choose at random
+    known = rows.groupBy("lang", F.sha2("text", 256).alias("digest")).agg(F.min("id").alias("id"))
+    first = Window.partitionBy("lang").orderBy("digest")
     chosen = materialise(
-        known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("id", "lang", "r"), "langid-sample"
+        known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("id", "lang", "r", "digest"), "langid-sample"
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "id")
+    met = rows.join(F.broadcast(chosen), ["id", "lang"]).where(F.sha2("text", 256) == F.col("digest"))
+    texts = met.select("lang", "r", sampled("text", "digest").alias("text")).distinct()
     samples: dict[str, bytes] = {}
     for row in texts.orderBy("lang", "r", "text").collect():
         if row["text"]:

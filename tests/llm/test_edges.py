@@ -142,3 +142,14 @@ def test_chunk_dedup_of_rows_that_share_an_id(spark):
         # a passage of two rows without an id stays in one of them
         got = chunk_dedup.deduplicate(spark.createDataFrame([(key, a + b), (key, word(50) + a)], "doc_id long, text string")).collect()
         assert sum(r["n_removed"] > 0 for r in got) == 1
+
+
+def test_langid_trains_on_distinct_texts_and_all_parts_of_them(spark, monkeypatch):
+    head, seen = "licence " * 100, {}
+    rows = [(k, "same text", "a") for k in range(3_000)] + [(k, None, "a") for k in range(3_000, 3_600)]
+    rows += [(k, head + f"rest of number {k} " * 200, "a") for k in range(3_600, 3_640)]
+    monkeypatch.setattr(langid, "build", seen.update)
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sample = seen["a"].decode()
+    assert sample.count("same text") == 1
+    assert sample.count("rest of number") > 10 * sample.count("licence") / 6 and len(sample) > 10_000
