@@ -145,9 +145,9 @@ def all_top_papers(theses: DataFrame, papers: DataFrame, n: int = 30, vector: st
     return top_papers(near, n)
 
 
-def search_papers(queries: DataFrame, papers: DataFrame, fields: dict[str, list[str]], n: int = 50, default_cutoff: str = "20220101") -> DataFrame:
-    """Qid, paper pos, rank: papers of the query's language, published by its cut-off, whose field holds all of
-    `all`, one of `any` (if given) and none of `none`; newest first, n a query.
+def matching_papers(queries: DataFrame, papers: DataFrame, fields: dict[str, list[str]], default_cutoff: str = "20220101") -> DataFrame:
+    """qid, pos, pub_date: papers of the query's language, published by its cut-off, whose field holds all of `all`,
+    one of `any` (if given) and none of `none`; every one, without a rank.
 
     queries: qid, lang, cutoff, field, all, any, none.  fields maps a field code to the columns it searches.
     The join is by language; a query table is small by nature, and is broadcast only if Spark finds it so.
@@ -160,12 +160,18 @@ def search_papers(queries: DataFrame, papers: DataFrame, fields: dict[str, list[
     has = lambda w: F.instr(hay, F.lower(w)) > 0
     terms = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     ok = F.forall(terms("all"), has) & ((F.size(terms("any")) == 0) | F.exists(terms("any"), has)) & ~F.exists(terms("none"), has)
+    return met.where(ok).select("qid", "pos", "pub_date")
+
+
+def search_papers(queries: DataFrame, papers: DataFrame, fields: dict[str, list[str]], n: int = 50, default_cutoff: str = "20220101") -> DataFrame:
+    """Qid, paper pos, rank: the matching papers, newest first, n a query."""
     newest = Window.partitionBy("qid").orderBy(F.col("pub_date").desc(), "pos")
-    return met.where(ok).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n).select("qid", "pos", "rank")
+    met = matching_papers(queries, papers, fields, default_cutoff)
+    return met.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n).select("qid", "pos", "rank")
 
 
 def query_verdict(queries: DataFrame, results: DataFrame, most: int = 200) -> DataFrame:
-    """Qid, n, verdict: expand if nothing was found, narrow if over `most`, else valid."""
+    """Qid, n, verdict from all matches (qid): expand if nothing was found, narrow if over `most`, else valid."""
     n = results.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     told = queries.select("qid").distinct().join(n, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
     return told.withColumn("verdict", F.when(F.col("n") == 0, "expand").when(F.col("n") > most, "narrow").otherwise("valid"))

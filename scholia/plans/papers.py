@@ -199,7 +199,7 @@ def _search_sql() -> str:
 
 
 add("d5_search_papers", lambda p, s, d: r.search_papers(_queries(s), p, FIELDS), " " + _search_sql())
-add("d6_query_verdict", lambda p, s, d: r.query_verdict(_queries(s), r.search_papers(_queries(s), p, FIELDS, n=10_000_000)), ",\nf AS (" + _search_sql().replace("rank <= 50", "true") + """),
+add("d6_query_verdict", lambda p, s, d: r.query_verdict(_queries(s), r.matching_papers(_queries(s), p, FIELDS)), ",\nf AS (" + _search_sql().replace("rank <= 50", "true") + """),
 q AS (SELECT unnest(['q1', 'q2', 'q3', 'q4']) AS qid)
 SELECT q.qid, count(f.pos) AS n, CASE WHEN count(f.pos) = 0 THEN 'expand' WHEN count(f.pos) > 200 THEN 'narrow' ELSE 'valid' END AS verdict FROM q LEFT JOIN f ON q.qid = f.qid GROUP BY q.qid""")
 add("d7_rounds_until", lambda p, s, d: r.rounds_until(_rounds(p), most=6), """,

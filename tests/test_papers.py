@@ -135,3 +135,10 @@ def test_all_similarities_and_best_over_several_blocks(spark, monkeypatch):
     best = ranking.top_papers(want, 9)
     assert sorted(map(str, ranking.all_top_papers(t, p, 9).select(best.columns).collect())) == sorted(map(str, best.collect()))
     assert best.select("thesis_id").distinct().count() == 26
+
+
+def test_query_verdict_counts_matches_without_ranking_them(spark):
+    from scholia import plans
+
+    plan = plans.QUERIES["d6_query_verdict"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "10000000" not in plan
