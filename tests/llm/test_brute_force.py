@@ -238,22 +238,47 @@ def test_contamination_against_brute_force(spark):
         assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == plain_contamination(texts[r["doc_id"]], items)
 
 
-def test_phrases_are_greedy_longest_matches():
-    model = langid.build({"a": b"abracadabra", "b": b"xyzzy"})
-
-    def greedy(text, sample):
-        n, at = 0, 0
-        while at < len(text):
-            size = 1
-            while at + size < len(text) and text[at : at + size + 1] in sample:
-                size += 1
-            at, n = at + size, n + 1
-        return n
-
-    for t in (b"abra", b"cadabraabracad", b"qqq", b"xyzzyabra", b"zyxab"):
-        assert model.phrases([t])[0].tolist() == [greedy(t, b"abracadabra"), greedy(t, b"xyzzy")]
-    long = b"abra" * 400
-    assert model.phrases([long, b"", b"q"])[0].tolist() == [sum(greedy(long[k : k + langid.BLOCK], s) for k in range(0, len(long), langid.BLOCK)) for s in (b"abracadabra", b"xyzzy")]
+def greedy_phrases(text, sample):
+    """(phrases, bits) by trying every longer match."""
+    n, bits, at = 0, 0.0, 0
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        bits += np.log2(len(sample) + 1) + 2 * np.log2(size + 1) if size else 9
+        at, n = at + max(size, 1), n + 1
+    return n, bits
+
+
+@pytest.mark.parametrize("few", [0, 3, 1_000])
+def test_phrases_are_greedy_longest_matches_of_whole_texts(few, monkeypatch):
+    monkeypatch.setattr(langid, "FEW_LANES", few)
+    rnd = random.Random(5)
+    samples = {"a": b"abracadabra", "b": b"xyzzy", "c": bytes(rnd.choice(b"abxyz ") for _ in range(3_000))}
+    model = langid.build(samples)
+    texts = [b"abra", b"cadabraabracad", b"qqq", b"xyzzyabra", b"zyxab", b"", b"abra" * 700, b"q" + b"xyzzy" * 300 + b"\xff"]
+    texts += [bytes(rnd.choice(b"abcdxyz q") for _ in range(rnd.randrange(400))) for _ in range(40)]
+    count, bits = model.phrases(texts)
+    want = [[greedy_phrases(t, s) for s in samples.values()] for t in texts]
+    assert count.tolist() == [[n for n, _ in row] for row in want]
+    assert np.allclose(bits, [[x for _, x in row] for row in want])
+
+
+def test_a_tiny_sample_wins_nothing(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.where("lang IS NOT NULL").orderBy("doc_id").limit(120).collect()
+    by_lang = {}
+    for r in rows:
+        by_lang.setdefault(r["lang"], []).append(r["text"])
+    samples = {k: b" ".join(langid.normalised(t) for t in v[:-5]) for k, v in by_lang.items()}
+    some = sorted(samples)[0]
+    unequal = samples | {some: samples[some][:3_000], "tiny": b"q ", "letters": b"e n r i t a s o d l u"}
+    model = langid.build(unequal)
+    texts = [(k, t) for k, v in by_lang.items() for t in v[-5:] if len(t) > 200]
+    got, _ = model.predict([t for _, t in texts])
+    assert len(texts) > 8 and not {"tiny", "letters"} & set(got)
+    assert sum(g == k for g, (k, _) in zip(got, texts)) / len(texts) > 0.9
 
 
 def test_language_id_on_held_out(spark):

@@ -144,12 +144,12 @@ def test_chunk_dedup_of_rows_that_share_an_id(spark):
         assert sum(r["n_removed"] > 0 for r in got) == 1
 
 
-def test_langid_trains_on_distinct_texts_and_all_parts_of_them(spark, monkeypatch):
-    head, seen = "licence " * 100, {}
+def test_langid_trains_on_distinct_whole_texts_within_bounds(spark, monkeypatch):
+    long, seen = "word " * 5_000, {}
     rows = [(k, "same text", "a") for k in range(3_000)] + [(k, None, "a") for k in range(3_000, 3_600)]
-    rows += [(k, head + f"rest of number {k} " * 200, "a") for k in range(3_600, 3_640)]
+    rows += [(k, f"number {'x' * (k % 97)} " * 600, "a") for k in range(3_600, 3_640)] + [(5_001, long, "a"), (5_001, long, "b"), (5_003, long, "b"), (None, "d'autres mots", "c")]
     monkeypatch.setattr(langid, "build", seen.update)
     langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    sample = seen["a"].decode()
-    assert sample.count("same text") == 1
-    assert sample.count("rest of number") > 10 * sample.count("licence") / 6 and len(sample) > 10_000
+    assert seen["a"].decode().count("same text") <= 1 and seen["a"].count(b"word ") == 0
+    assert langid.SAMPLE_BYTES < len(seen["a"]) < langid.SAMPLE_BYTES + langid.LONG_BYTES + 200
+    assert seen["b"].count(b"word ") == 5_000 and seen["c"] == b"d autres mots "
