@@ -6,14 +6,16 @@ latest, so chunk borders move with the content when text is inserted before.
 Chunks meet on a 128-bit digest; of equal chunks the first place (least id, then
 first in the text) stays and the others are removed.
 
-Digests are counted with partial aggregates and joined back by joins that Spark can
-split, so a chunk that a third of all documents hold is no hot spot.
-
-Defined results: null texts are empty and have no chunks; places belong to an id and a hash
-of the text, so rows that share an id (or have none) are judged apart; of equal rows one is
-judged and its result given once a row, the first with its first places and the others as
-copies; null ids come before all others; a chunk that occurs once
-stays; empty tables give no rows; extra columns are ignored.
+Chunks are cut once and written; digests are counted with partial aggregates, which are
+written too, and joined back by a join between two plain shuffles that Spark can split, so a
+chunk that a third of all documents hold is no hot spot.  A removed run (neighbouring chunks that
+lose) of fewer than MIN_RUN bytes stays: a stray short line is no passage.
+
+Defined results: null texts are empty and have no chunks; ids may be of any type that Spark orders;
+places belong to a row key, a hash of id and text, so rows that share an id (or have none) are judged apart; of
+equal rows one is judged and its result given once a row, the first with its first places and the
+others as copies; null ids come before all others; a chunk that occurs once stays; empty tables give no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.common import materialise
+
 MIN_CHUNK, AVERAGE_EXTRA, MAX_CHUNK = 32, 32, 512
 _RANDOM = random.Random(20_240_229)
 GEAR = np.array([_RANDOM.getrandbits(32) for _ in range(256)], np.uint32)
+#: bytes of the shortest run that is removed.
+MIN_RUN = 128
 #: bytes hashed at a time.
 BLOCK = 1 << 20
 
@@ -74,8 +80,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, h, copies (as given), at, size, d1, d2 (halves of the digest), first (whether the document has it there first)."""
+def chunk_table(texts: DataFrame) -> DataFrame:
+    """doc_id, h (of the row), at, size, d1, d2 (halves of the digest), first (whether the text has it there first)."""
 
     def run(batches):
         for b in batches:
@@ -94,49 +100,61 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[pa.repeat(b.column(c)[k], n) for c in ("doc_id", "h", "copies")], pa.array(begins, pa.int32()),
+                        *[pa.repeat(b.column(c)[k], n) for c in ("doc_id", "h")], pa.array(begins, pa.int32()),
                         pa.array([y - x for x, y in zip(begins, ends)], pa.int32()),
                         pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.bool_()),
                     ],
-                    names=["doc_id", "h", "copies", "at", "size", "d1", "d2", "first"],
+                    names=["doc_id", "h", "at", "size", "d1", "d2", "first"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, h long, copies long, at int, size int, d1 long, d2 long, first boolean")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "h", "text").mapInArrow(
+        run, f"doc_id {kind}, h long, at int, size int, d1 long, d2 long, first boolean"
+    )
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, h, at, size, removed for each place of a chunk that occurs more than once."""
-    chunks = chunk_table(docs)
+def repeated_chunks(texts: DataFrame) -> DataFrame:
+    """h, at, size, removed for each place of a chunk that occurs more than once."""
+    chunks = materialise(chunk_table(texts), "cdc-chunks")
     row = F.struct("doc_id", "h")
-    shared = chunks.groupBy("d1", "d2").agg(F.sum("copies").alias("n"), F.min(row).alias("owner")).where("n > 1")
+    shared = materialise(chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("owner")).where("n > 1"), "cdc-shared")
     met = chunks.join(shared, ["d1", "d2"])
-    return met.select("doc_id", "h", "at", "size", (~(F.col("first") & (row == F.col("owner")))).alias("removed"))
+    # h takes in the id, so it is the row's own
+    return met.select("h", "at", "size", (~(F.col("first") & (F.col("h") == F.col("owner.h")))).alias("removed"))
+
+
+def removed_runs(lost: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs (from, to) of neighbouring (at, size), those of MIN_RUN bytes or more."""
+    runs: list[list[int]] = []
+    for at, size in lost:
+        if runs and runs[-1][1] == at:
+            runs[-1][1] = at + size
+        else:
+            runs.append([at, at + size])
+    return [(x, y) for x, y in runs if y - x >= MIN_RUN]
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_shared (bytes in chunks that occur elsewhere too), n_removed, n_spans, kept (binary)."""
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    # equal rows are one row with their number
-    texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    places = repeated_chunks(texts).groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "size", "removed")).alias("places"))
-    met = texts.join(places, ["doc_id", "h"], "left")
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = texts.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    places = repeated_chunks(texts).groupBy("h").agg(F.collect_set(F.struct("at", "size", "removed")).alias("places"))
+    # equal rows are one row with their number; the text moves once, for this and for the join
+    held = texts.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    met = held.join(places, "h", "left").select("doc_id", "copies", "text", "places")
 
     def run(batches):
         for b in batches:
             cols = [[], [], [], [], []]
             for k in range(len(b)):
                 data = (b.column("text")[k].as_py() or "").encode()
-                spans: list[list[int]] = []
-                kept, upto, shared = [], 0, 0
-                for p in sorted(b.column("places")[k].as_py() or [], key=lambda x: x["at"]):
-                    shared += p["size"]
-                    if p["removed"]:
-                        kept.append(data[upto : p["at"]])
-                        upto = p["at"] + p["size"]
-                        if spans and spans[-1][1] == p["at"]:
-                            spans[-1][1] = upto
-                        else:
-                            spans.append([p["at"], upto])
+                places = sorted(b.column("places")[k].as_py() or [], key=lambda x: x["at"])
+                shared, kept, upto = sum(p["size"] for p in places), [], 0
+                spans = removed_runs([(p["at"], p["size"]) for p in places if p["removed"]])
+                for x, y in spans:
+                    kept.append(data[upto:x])
+                    upto = y
                 kept.append(data[upto:])
                 rest = b"".join(kept)
                 for c, x in zip(cols, (len(data), shared, len(data) - len(rest), len(spans), rest)):
@@ -146,12 +164,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=["doc_id", "copies", "n_bytes", "n_shared", "n_removed", "n_spans", "kept"],
             )
 
-    out = met.mapInArrow(run, "doc_id long, copies long, n_bytes long, n_shared long, n_removed long, n_spans long, kept binary")
+    out = met.mapInArrow(run, f"doc_id {kind}, copies long, n_bytes long, n_shared long, n_removed long, n_spans long, kept binary")
     # a row's further copies lose all their bytes
     other = F.col("k") > 1
     out = out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(
-        F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "n_bytes",
+        "doc_id", "n_bytes",
         *[F.when(other, F.col("n_bytes")).otherwise(F.col(c)).alias(c) for c in ("n_shared", "n_removed")],
         F.when(other, (F.col("n_bytes") > 0).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(other, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),

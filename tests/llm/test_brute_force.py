@@ -97,11 +97,17 @@ def test_chunk_dedup_against_brute_force(spark):
         cut[k] = [raw[x:y] for x, y in zip([0, *ends], ends)]
         everywhere.update(cut[k])
     for k, parts in cut.items():
-        kept = []
+        loses = []
         for c in parts:
-            if c not in seen:
-                kept.append(c)
+            loses.append(c in seen)
             seen.add(c)
+        kept, run = [], b""
+        for c, lost in zip([*parts, b""], [*loses, False]):
+            if lost:
+                run += c
+                continue
+            kept += [run if len(run) < chunk_dedup.MIN_RUN else b"", c]
+            run = b""
         want[k] = (b"".join(kept), sum(len(c) for c in parts if everywhere[c] > 1))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: (bytes(r["kept"]), r["n_shared"]) for r in chunk_dedup.deduplicate(df).collect()} == want

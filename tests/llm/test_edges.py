@@ -133,14 +133,14 @@ def test_chunk_dedup_of_rows_that_share_an_id(spark):
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
     a, b = word(900), word(700)
-    for key in (None, 7):
-        df = spark.createDataFrame([(key, a), (key, a), (key, b), (key, ""), (key, None)], "doc_id long, text string")
+    for key, kind in ((None, "long"), (7, "long"), ("seven", "string"), (None, "string")):
+        df = spark.createDataFrame([(key, a), (key, a), (key, b), (key, ""), (key, None)], f"doc_id {kind}, text string")
         got = chunk_dedup.deduplicate(df).collect()
         assert sorted(bytes(r["kept"]) for r in got) == sorted([a.encode(), b.encode(), b"", b"", b""])
         assert sorted((r["n_bytes"], r["n_shared"], r["n_removed"], r["n_spans"]) for r in got) == [(0, 0, 0, 0), (0, 0, 0, 0), (700, 0, 0, 0), (900, 900, 0, 0), (900, 900, 900, 1)]
         assert {r["doc_id"] for r in got} == {key}
         # a passage of two rows without an id stays in one of them
-        got = chunk_dedup.deduplicate(spark.createDataFrame([(key, a + b), (key, word(50) + a)], "doc_id long, text string")).collect()
+        got = chunk_dedup.deduplicate(spark.createDataFrame([(key, a + b), (key, word(50) + a)], f"doc_id {kind}, text string")).collect()
         assert sum(r["n_removed"] > 0 for r in got) == 1
 
 
