@@ -243,10 +243,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
     # one row of each text, however many copies it has; digests choose at random
     known = rows.groupBy("lang", "digest").agg(F.first("size").alias("size"))
-    first = Window.partitionBy("lang").orderBy(F.col("size") > LONG_BYTES, "digest")
-    ranked = known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS)
+    order = (F.col("size") > LONG_BYTES, "digest")
+    # in two steps, so that a language held by most rows does not meet in one task
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("digest"), F.lit(64))).orderBy(*order)
+    best = known.withColumn("r", F.row_number().over(part)).where(F.col("r") <= SAMPLE_DOCS).drop("r")
+    first = Window.partitionBy("lang").orderBy(*order)
+    ranked = best.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS)
     before = F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, -1))
-    chosen = materialise(ranked.where(F.col("r") <= SAMPLE_DOCS).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_BYTES).select("lang", "digest", "r"), "langid-sample")
+    chosen = materialise(ranked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_BYTES).select("lang", "digest", "r"), "langid-sample")
     # SAMPLE_DOCS rows a language at most
     met = rows.join(F.broadcast(chosen), ["lang", "digest"]).select("lang", "r", "text").dropDuplicates(["lang", "r"])
     samples: dict[str, bytes] = {}

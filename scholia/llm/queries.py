@@ -13,8 +13,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots through one ledger: the half of the documents that was known first, then all of them."""
     docs = table(spark, sf_dir, "documents")
-    findings, _ = secret_scan.scan(docs)
+    findings, ledger = secret_scan.scan(docs.where(crc_mod("doc_id", 2) == 0))
+    findings, _ = secret_scan.scan(docs, ledger, findings)
     found = secret_scan.findings_by_path(docs, findings)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
@@ -64,7 +66,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(preference.reply_pairs(table(spark, sf_dir, "conversations")))
+    pairs = preference.preference_pairs(table(spark, sf_dir, "conversations"))
+    return preference.format_pairs(pairs, ("conv_id", "kind", "other_id"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,17 +132,27 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op9_preference_format": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
-a AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
-b AS (SELECT n.conv_id, max(i) AS prev FROM n JOIN a USING (conv_id) WHERE role = 'assistant' AND i < last GROUP BY n.conv_id),
-c AS (SELECT a.conv_id, last, l.text AS good, coalesce(p.text, '') AS bad FROM a JOIN n l ON l.conv_id = a.conv_id AND l.i = last
-      LEFT JOIN b ON b.conv_id = a.conv_id LEFT JOIN n p ON p.conv_id = a.conv_id AND p.i = prev),
-s AS (SELECT *, CASE WHEN good = bad THEN last ELSE last - 1 END AS shared FROM c),
-p AS (SELECT s.conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i) AS prompt
-      FROM s JOIN n ON n.conv_id = s.conv_id AND i <= shared GROUP BY s.conv_id),
-r AS (SELECT conv_id, shared, CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
-             CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected FROM s)
-SELECT r.conv_id, shared::INTEGER AS n_shared, coalesce(prompt, '') AS prompt, chosen, rejected,
-       CASE WHEN chosen = '' THEN '' ELSE '0:' || length(chosen) END AS chosen_mask,
-       CASE WHEN rejected = '' THEN '' ELSE '0:' || length(rejected) END AS rejected_mask
-FROM r LEFT JOIN p USING (conv_id)""",
+a AS (SELECT conv_id, i, text, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM n WHERE role = 'assistant'),
+c AS (SELECT conv_id, count(*) AS size, max(role) FILTER (i = 1) || chr(10) || max(text) FILTER (i = 1) AS f FROM n GROUP BY conv_id),
+m AS (SELECT c.*, coalesce(x.m, 0) AS m FROM c LEFT JOIN (SELECT DISTINCT conv_id, m FROM a) x USING (conv_id)),
+p1 AS (SELECT conv_id, CASE WHEN m > 1 THEN 'reply' WHEN m = 1 THEN 'single_reply' ELSE 'no_reply' END AS kind, conv_id AS other_id,
+  CASE WHEN m > 1 THEN 2 + ('0x' || substr(md5(conv_id::VARCHAR), 1, 4))::INTEGER % (m - 1) END AS cut FROM m),
+b AS (SELECT *, count(*) OVER (PARTITION BY f) AS g FROM c),
+d AS (SELECT *, lead(conv_id) OVER w AS next_id, lead(size) OVER w AS next_size FROM b WHERE g > 1
+  WINDOW w AS (PARTITION BY f, ('0x' || substr(md5(conv_id::VARCHAR), 1, 7))::INTEGER % ceil(g / 256)::INTEGER ORDER BY md5(conv_id::VARCHAR))),
+p AS (SELECT * FROM p1 UNION ALL SELECT CASE WHEN next_size > size THEN next_id ELSE conv_id END, 'neighbour', CASE WHEN next_size > size THEN conv_id ELSE next_id END, NULL FROM d WHERE next_id IS NOT NULL),
+x AS (SELECT p.conv_id, kind, other_id, i, role, text FROM p JOIN n USING (conv_id)),
+y AS (SELECT p.conv_id, kind, other_id, n.i, role, CASE WHEN a.k >= cut THEN b.text ELSE n.text END AS text FROM p JOIN n ON n.conv_id = p.other_id
+  LEFT JOIN a ON a.conv_id = n.conv_id AND a.i = n.i LEFT JOIN a b ON b.conv_id = a.conv_id AND b.k = a.k - 1),
+z AS (SELECT coalesce(x.conv_id, y.conv_id) AS conv_id, coalesce(x.kind, y.kind) AS kind, coalesce(x.other_id, y.other_id) AS other_id, coalesce(x.i, y.i) AS i,
+  x.role IS NOT DISTINCT FROM y.role AND x.text IS NOT DISTINCT FROM y.text AS same FROM x FULL JOIN y ON x.conv_id = y.conv_id AND x.kind = y.kind AND x.other_id = y.other_id AND x.i = y.i),
+s AS (SELECT conv_id, kind, other_id, coalesce(min(i) FILTER (NOT same) - 1, max(i))::INTEGER AS n_shared FROM z GROUP BY ALL),
+r AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line FROM (SELECT 'x' AS side, * FROM x UNION ALL SELECT 'y', * FROM y) u JOIN s USING (conv_id, kind, other_id)),
+o AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id, kind, other_id, side, i > n_shared ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r),
+q AS (SELECT conv_id, kind, other_id, n_shared, string_agg(line, '' ORDER BY i) FILTER (side = 'x' AND i <= n_shared) AS prompt,
+  string_agg(line, '' ORDER BY i) FILTER (side = 'x' AND i > n_shared) AS chosen, string_agg(line, '' ORDER BY i) FILTER (side = 'y' AND i > n_shared) AS rejected,
+  string_agg((pos + 14) || ':' || (pos + length(line)), ',' ORDER BY i) FILTER (side = 'x' AND i > n_shared AND role = 'assistant') AS cm,
+  string_agg((pos + 14) || ':' || (pos + length(line)), ',' ORDER BY i) FILTER (side = 'y' AND i > n_shared AND role = 'assistant') AS rm FROM o GROUP BY ALL)
+SELECT conv_id, kind, other_id, n_shared, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+  coalesce(cm, '') AS chosen_mask, coalesce(rm, '') AS rejected_mask FROM q""",
 }

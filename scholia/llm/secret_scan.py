@@ -3,7 +3,9 @@
 Every version of a text is content-addressed (sha256).  The ledger holds the
 (blob, rule, rule version) pairs that were scanned; only unseen pairs are scanned,
 each blob once however many paths hold it, and findings are joined back to all
-paths.  Positions come from the gaps that `split` leaves between the matches, so
+paths.  Findings of a rule's earlier versions stay in the history but count for no path once the rule has a
+newer version.  Only texts that some rule matches move between tasks: a text without
+any match has nothing to find, and its blob is booked from its digest alone.  Positions come from the gaps that `split` leaves between the matches, so
 no Python runs; they are code points, end exclusive.
 
 Defined results: a null text counts as empty and has no findings; null and
@@ -85,7 +87,10 @@ def _pieces(rule: Rule, no: int) -> Column:
 
 def scan_blobs(docs: DataFrame, todo: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings of the unseen pairs: blob_id, kind, version, kind_no, start, end."""
-    texts = docs.select(F.col(id_col).alias("path"), blob_id(text_col).alias("blob_id"), text_or_empty(text_col).alias("text"))
+    some = F.lit(False)
+    for r in rules:
+        some = some | text_or_empty(text_col).rlike(r.pattern)
+    texts = docs.where(some).select(F.col(id_col).alias("path"), blob_id(text_col).alias("blob_id"), text_or_empty(text_col).alias("text"))
     need = todo.select(F.col("blob_id").alias("b"), F.col("path").alias("p"), "kinds")
     chosen = texts.join(need, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p"))).select("blob_id", "text", "kinds")
     pieces = chosen.select("blob_id", F.explode(F.flatten(F.array(*[_pieces(r, k) for k, r in enumerate(rules)]))).alias("x"))
@@ -118,9 +123,17 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, history: DataFrame |
     return findings, scanned
 
 
+def current(findings: DataFrame, rules=RULES) -> DataFrame:
+    """Findings of the rules' present versions."""
+    now = F.lit(False)
+    for r in rules:
+        now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    return findings.where(now)
+
+
 def findings_by_path(docs: DataFrame, findings: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, a count per kind, and the sorted spans."""
-    spans = findings.groupBy("blob_id").agg(
+    spans = current(findings, rules).groupBy("blob_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("found"),
         *[F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in rules],
     )

@@ -212,6 +212,13 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {(r["path"], *r["kinds"]) for r in secret_scan.unseen_pairs(first, ledger, newer).collect()} == {(1, "hex"), (2, "hex")}
     again, _ = secret_scan.scan(more, ledger, findings)
     assert {r["doc_id"]: r["n_assign"] for r in secret_scan.findings_by_path(more, again).collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
+    # after a new version of every rule its findings replace the old ones
+    bumped = tuple(secret_scan.Rule(r.kind, r.version + 1, r.pattern, r.group, r.min_length) for r in secret_scan.RULES)
+    history, grown = secret_scan.scan(more, ledger, findings)
+    third, _ = secret_scan.scan(more, grown, history, bumped)
+    told = {r["doc_id"]: (r["n_assign"], r["spans"]) for r in secret_scan.findings_by_path(more, third, bumped).collect()}
+    assert told == {1: (1, "assign:0:17"), 2: (0, ""), 3: (1, "assign:0:17"), 4: (1, "assign:0:15")}
+    assert third.where("version = 1").count() == third.where("version = 2").count() == 2
 
 
 def plain_contamination(text, items):

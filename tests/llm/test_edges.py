@@ -114,19 +114,38 @@ def test_queries_have_an_entry_for_each_operator():
 
 
 def test_preference_edges(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", None), (1, 3, "assistant", "b"), (2, 0, "user", "x"), (3, 0, None, None), (None, 0, "assistant", "z"), (4, None, "assistant", "")]
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", None), (1, 3, "assistant", "b"), (1, 4, "user", "bye"),
+             (2, 0, "user", "x"), (3, 0, None, None), (None, 0, "assistant", "z"), (4, None, "assistant", ""),
+             (5, 0, "user", "x"), (5, 1, "assistant", "long " * 50_000), (6, 0, "assistant", "r"), (6, 1, "assistant", "r")]
     conv = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, prompt string")
-    got = {r["conv_id"]: r for r in preference.format_pairs(preference.reply_pairs(conv)).collect()}
-    assert set(got) == {1, None, 4}
-    assert got[1]["n_shared"] == 3 and "b" in got[1]["chosen"] and got[1]["rejected"] == "<|assistant|>\na<|end|>\n"
-    assert got[1]["chosen_mask"] == f"0:{len(got[1]['chosen'])}"
-    assert got[4]["chosen"] == "" and got[4]["n_shared"] == 1
+    keys = ("conv_id", "kind", "other_id")
+    told = preference.format_pairs(preference.preference_pairs(conv), keys).collect()
+    got = {r["conv_id"]: r for r in told if r["kind"] != "neighbour"}
+    assert {k: r["kind"] for k, r in got.items()} == {1: "reply", 2: "no_reply", 3: "no_reply", None: "single_reply", 4: "single_reply", 5: "single_reply", 6: "reply"}
+    assert got[1]["n_shared"] == 3 and got[1]["rejected"] == "<|assistant|>\na<|end|>\n<|user|>\nbye<|end|>\n"
+    assert got[1]["chosen_mask"] == got[1]["rejected_mask"] == "14:23"
+    assert got[6]["n_shared"] == 2 and got[6]["chosen"] == got[6]["rejected"] == ""
+    assert got[5]["chosen"] == "" and got[5]["n_shared"] == 2 and len(got[5]["prompt"]) > 250_000
+    met = [r for r in told if r["kind"] == "neighbour"]
+    assert [(r["conv_id"], r["other_id"], r["n_shared"], r["rejected"], r["rejected_mask"]) for r in met] == [(5, 2, 1, "", "")]
+    assert met[0]["chosen_mask"] == f"14:{len(met[0]['chosen'])}"
     pairs = spark.createDataFrame([(1, None, [("user", "q"), ("assistant", "r")]), (2, [], None)], "conv_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
     out = {r["conv_id"]: r for r in preference.format_pairs(pairs).collect()}
     user = "<|user|>\nq<|end|>\n"
-    assert out[1]["n_shared"] == 0 and out[1]["rejected_mask"] == f"{len(user)}:{len(out[1]['rejected'])}"
+    assert out[1]["n_shared"] == 0 and out[1]["rejected_mask"] == f"{len(user) + 14}:{len(out[1]['rejected'])}"
     assert (out[2]["prompt"], out[2]["chosen"], out[2]["rejected"]) == ("", "", "")
-    assert preference.format_pairs(preference.reply_pairs(conv.limit(0))).count() == 0
+    assert preference.format_pairs(preference.preference_pairs(conv.limit(0)), keys).count() == 0
+
+
+def test_neighbours_are_paired_once_within_buckets(spark):
+    rows = [(k, 0, "user", "hello") for k in range(1_000)] + [(k, 1, "assistant", f"reply {k}") for k in range(1_000)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    met = preference.neighbour_pairs(conv, bucket=50).collect()
+    n = {}
+    for r in met:
+        for c in (r["conv_id"], r["other_id"]):
+            n[c] = n.get(c, 0) + 1
+    assert 900 < len(met) < 1_000 and max(n.values()) <= 2 and len(n) > 990
 
 
 def test_chunk_dedup_of_rows_that_share_an_id(spark):
