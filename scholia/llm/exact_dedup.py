@@ -23,9 +23,12 @@ from scholia.llm.common import materialise, text_or_empty
 
 #: ids in a memtable.
 MEMTABLE_SPAN = 65_536
-#: bits in the hit filter: 32 buckets of a Spark bitmap (4 KB each), 128 KB at any scale.
-FILTER_BUCKETS = 32
+#: a filter has BITS_A_DIGEST bits for each digest that was counted, between these bounds (4 KB to 256 MB,
+#: in rows of BITMAP_BITS); beyond the upper one it lets more through, and results stay the same.
+BITS_A_DIGEST, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 31
 BITMAP_BITS = 32_768
+#: bits of the filter of a run (a memtable has MEMTABLE_SPAN ids).
+RUN_BITS = 1 << 20
 
 
 @dataclass
@@ -39,8 +42,38 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BUCKETS * BITMAP_BITS))
+def _slot(digest: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(bits))
+
+
+@dataclass
+class Filter:
+    """A bitmap over hashed digests, as rows (bucket, bitmap) of 4 KB; no false negatives."""
+
+    rows: DataFrame
+    bits: int
+
+    def flagged(self, df: DataFrame, digest: str, flag: str) -> DataFrame:
+        """df with a column that says whether the digest can be among those of the filter.
+        The bitmaps are broadcast: MOST_BITS bounds them."""
+        slot = _slot(F.col(digest), self.bits)
+        bits = F.broadcast(self.rows.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap")))
+        octet = F.conv(F.hex(F.substring("__bitmap", (F.floor(slot / 8) % (BITMAP_BITS // 8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        met = df.join(bits, F.bitmap_bucket_number(slot + 1) == F.col("__bucket"), "left")
+        return met.withColumn(flag, F.coalesce(F.getbit(octet, (slot % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bitmap")
+
+
+def _bitmaps(df: DataFrame, digest: str, bits: int, *by: str) -> DataFrame:
+    slot = _slot(F.col(digest), bits) + 1
+    return df.groupBy(*by, F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+
+
+def sized_filter(digests: DataFrame, digest: str = "digest") -> Filter:
+    """A filter of the digests of a (written) table, sized by their number."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < BITS_A_DIGEST * digests.count():
+        bits *= 2
+    return Filter(materialise(_bitmaps(digests, digest, bits), "lsm-filter"), bits)
 
 
 def entries(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,10 +91,7 @@ def build_index(docs: DataFrame, digest=sha256, keep: str = "smallest", id_col:
         pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")
     )
     runs = materialise(flushed.sortWithinPartitions("run", "digest"), "lsm-runs")
-    filters = runs.groupBy("run", F.bitmap_bucket_number(_slot(F.col("digest")) + 1).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(_slot(F.col("digest")) + 1)).alias("bitmap")
-    )
-    return MergeIndex(runs, filters, compact(runs, keep))
+    return MergeIndex(runs, _bitmaps(runs, "digest", RUN_BITS, "run"), compact(runs, keep))
 
 
 def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
@@ -69,39 +99,22 @@ def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
     return runs.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
-def may_contain(filters: DataFrame, digest: Column) -> Column:
-    """Whether a digest can be in the runs of these filters (no false negatives).
-
-    The merged filter has FILTER_BUCKETS rows of 4 KB whatever the input size.
-    """
-    rows = filters.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).collect()
-    bits = bytearray(FILTER_BUCKETS * BITMAP_BITS // 8)
-    for r in rows:
-        at = (r["bucket"] - 1) * BITMAP_BITS // 8
-        bits[at : at + BITMAP_BITS // 8] = r["bitmap"]
-    slot = _slot(digest)
-    octet = F.conv(F.hex(F.substring(F.lit(bytes(bits)), (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(octet, (slot % 8).cast("int")) == 1
-
-
 def probe(docs: DataFrame, index: MergeIndex, digest=sha256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """New documents whose digest the index has: doc_id, digest, keep_id.
-    The filters drop most new digests before the join."""
-    new = entries(docs, digest, id_col, text_col).drop("run")
-    return new.where(may_contain(index.filters, F.col("digest"))).join(index.level.select("digest", "keep_id"), "digest")
+    The filters of the runs, merged, drop most new digests before the join while the runs are few."""
+    merged = index.filters.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    new = Filter(materialise(merged, "lsm-filter"), RUN_BITS).flagged(entries(docs, digest, id_col, text_col).drop("run"), "digest", "may")
+    return new.where("may").drop("may").join(index.level.select("digest", "keep_id"), "digest")
 
 
 def exact_groups(docs: DataFrame, digest=sha256, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, keep_id, group_size for every row of docs."""
     index = build_index(docs, digest, keep, id_col, text_col)
     level = materialise(index.level, "lsm-level")
-    hits = level.where("n > 1")
-    hit_filter = hits.groupBy(F.bitmap_bucket_number(_slot(F.col("digest")) + 1).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(_slot(F.col("digest")) + 1)).alias("bitmap")
-    )
+    hits = sized_filter(level.where("n > 1"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    suspects = rows.where(may_contain(hit_filter, F.col("digest")))
+    suspects = hits.flagged(rows, "digest", "may").where("may")
     unequal = materialise(
         suspects.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo != hi").select("digest"),
         "lsm-unequal",
@@ -122,16 +135,11 @@ def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     Rows that the hit filter clears pass without a shuffle of their text.
     """
     groups = materialise(exact_groups(docs, keep=keep), "lsm-groups")
-    hit_filter = groups.where("group_size > 1").groupBy(F.bitmap_bucket_number(_slot(F.col("digest")) + 1).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(_slot(F.col("digest")) + 1)).alias("bitmap")
-    )
-    suspect = may_contain(hit_filter, F.col("__digest"))
-    marked = docs.withColumn("__digest", sha256(text_or_empty()))
-    winners = groups.where(may_contain(hit_filter, F.col("digest"))).select(
-        F.col("digest").alias("__d"), F.col("keep_id").alias("__keep")
-    ).distinct()
-    suspects = marked.where(suspect)
-    kept = suspects.join(
+    hits = sized_filter(materialise(groups.where("group_size > 1").select("digest").distinct(), "lsm-hits"))
+    marked = hits.flagged(docs.withColumn("__digest", sha256(text_or_empty())), "__digest", "__may")
+    # digests that only share a bit with a hit are winners of their own; id and digest together are no hot key
+    winners = hits.flagged(groups, "digest", "__m").where("__m").select(F.col("digest").alias("__d"), F.col("keep_id").alias("__keep")).distinct()
+    kept = marked.where("__may").join(
         winners, (F.col("__digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi"
     ).dropDuplicates(["doc_id", "__digest"])
-    return marked.where(~suspect).unionByName(kept).drop("__digest")
+    return marked.where("NOT __may").unionByName(kept).select(docs.columns)

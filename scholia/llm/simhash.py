@@ -17,13 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialise
+from scholia.llm.common import materialise, text_or_empty
 from scholia.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: distinct fingerprints whose variants one task emits.
+FINGERPRINTS_A_TASK = 20_000
 #: shingle hashes unpacked at a time.
 BLOCK = 16_384
 
@@ -44,15 +46,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp for every row."""
+    """doc_id, k (hash of id and text), fp for every row."""
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(fps, pa.int64())], names=["doc_id", "k", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, k long, fp long")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), text_or_empty(text_col))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -71,20 +78,28 @@ def links(distinct: DataFrame) -> DataFrame:
     return stars.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select("u", "v").distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id for every row."""
+def _grouped(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k, fp, component (its least fingerprint), component_id for every row."""
     fps = materialise(fingerprints(docs, shingle, seed, id_col, text_col), "simhash-fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    nodes = connected_components(links(distinct.select("fp")))
+    # the rows are small, but each becomes 65: they are dealt out by their number, not by their bytes
+    spread = distinct.select("fp").repartition(distinct.count() // FINGERPRINTS_A_TASK + 1)
+    nodes = connected_components(links(spread))
     placed = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(ids, "component").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = materialise(placed.join(ids, "component").select("fp", "component", "component_id"), "simhash-components")
+    return fps.join(of_fp, "fp").select("doc_id", "k", "fp", "component", "component_id")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id for every row."""
+    return _grouped(docs, shingle, seed, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with the least id of each group; rows that repeat an id and text stay as they are."""
-    stay = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """docs with one row of each group: that with the least id; of rows that share it, the one with the least hash."""
+    stay = _grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("k").alias("__k"))
+    marked = docs.withColumn("__k", row_key())
+    return marked.join(materialise(stay.select("__k"), "simhash-stay"), "__k", "left_semi").dropDuplicates(["__k"]).select(docs.columns)

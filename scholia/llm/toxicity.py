@@ -75,6 +75,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk; where its bracket is negative, of the bracket, upwards."""
+    sp, su = sigmoid(xp @ w), sigmoid(xu @ w)
+    as_negative = np.mean(-np.log(1 - np.clip(su, 0, 1 - 1e-9))) - prior * np.mean(-np.log(1 - np.clip(sp, 0, 1 - 1e-9)))
+    g_neg = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
+    return prior * (xp.T @ (sp - 1)) / len(xp) + g_neg if as_negative >= 0 else -g_neg
+
+
 def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4):
     """Weights and bias of a linear model under the non-negative risk with the logistic loss (Adam)."""
     w = np.zeros(xp.shape[1] + 1)
@@ -82,10 +90,7 @@ def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, r
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        sp, su = sigmoid(xp @ w), sigmoid(xu @ w)
-        as_negative = np.mean(-np.log(1 - np.clip(su, 0, 1 - 1e-9))) - prior * np.mean(-np.log(1 - np.clip(sp, 0, 1 - 1e-9)))
-        g_neg = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
-        g = prior * (xp.T @ (sp - 1)) / len(xp) + g_neg if as_negative >= 0 else -g_neg
+        g = gradient(w, xp, xu, prior)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -106,7 +111,8 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
 
 def _featurise(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> dict[str, list[np.ndarray]]:
     """Word numbers of the sampled documents; chosen has at most the sampled ids, so it is broadcast."""
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("kind", "text")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    picked = picked.groupBy("id", "kind").agg(F.min("text").alias("text"))  # one text of an id that repeats
 
     def run(batches):
         for b in batches:

@@ -235,7 +235,9 @@ def plain_contamination(text, items):
     return len(w), len(hit), sorted(map(str, ids)), bool(hit) and 20 * len(hit) >= len(w)
 
 
-def test_contamination_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_contamination_against_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     rnd = random.Random(8)
     vocabulary = [f"w{k}" for k in range(30)] + ["Ünï", "the", "THE"]
     say = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
@@ -316,3 +318,19 @@ def test_non_negative_risk_learns_the_marked_words():
     model = toxicity.fit(pos, unl, 0.1)
     assert model.score([7, 120]) > 0.5 > model.score([120, 130])
     assert toxicity.fit([], unl, 0.1).score([7]) == pytest.approx(0.1)
+
+
+def test_gradient_of_the_risk():
+    """Steps follow the slope of the risk, by differences; where the bracket is negative, its opposite."""
+    rnd = np.random.default_rng(1)
+    xp, xu, p, eps = rnd.random((30, 4)), rnd.random((90, 4)), 0.3, 1e-6
+    losses = lambda w, b: (np.mean(-np.log(toxicity.sigmoid(xp @ w + b))), np.mean(-np.log(1 - toxicity.sigmoid(xu @ w + b))), np.mean(-np.log(1 - toxicity.sigmoid(xp @ w + b))))
+    seen = set()
+    for w, b in ((np.zeros(4), 0.0), (np.array([3.0, 2.0, 4.0, 1.0]), -1.0), (np.array([9.0, -8.0, 7.0, -9.0]), -14.0)):
+        lp, un, pn = losses(w, b)
+        negative = un - p * pn < 0
+        seen.add(negative)
+        risk = (lambda w: -(losses(w, b)[1] - p * losses(w, b)[2])) if negative else (lambda w: p * losses(w, b)[0] + losses(w, b)[1] - p * losses(w, b)[2])
+        slope = [(risk(w + eps * e) - risk(w - eps * e)) / (2 * eps) for e in np.eye(4)]
+        assert np.allclose(toxicity.gradient(np.append(w, b), *(np.hstack([x, np.ones((len(x), 1))]) for x in (xp, xu)), p)[:4], slope, atol=1e-5)
+    assert False in seen
