@@ -106,28 +106,34 @@ def normalize_chapter_title(c: Column) -> Column:
 
 def clean_abstract(c: Column) -> Column:
     """Heading dropped, blanks collapsed."""
-    out = F.regexp_replace(c, r"(?iU)^\s*(?:中文摘要|英文摘要|摘\s*要|abstract)\s*[：:]?\s*", "")
+    out = F.regexp_replace(c, r"(?U)^(?:中文摘要|摘要|ABSTRACT|Abstract)[：:\s]*", "")
     return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 def refine_abstract(c: Column, cap: int = 2000, least: int = 1500) -> Column:
-    """Heading line dropped, cut before the keywords, and at the last full stop if over cap."""
-    body = F.regexp_replace(c, r"(?iU)^\s*(?:中文摘要|摘\s*要|abstract)[：:\s]*", "")
-    body = strip(F.substring_index(body, "关键词", 1))
+    """A heading line dropped, cut before the keywords, and, if over cap, after the last full stop that
+    leaves more than `least` characters; without one it stays long."""
+    headed = c.startswith("摘要") | c.startswith("摘\u3000要")
+    after = F.when(F.instr(c, "\n") > 0, strip(_after(c, "\n"))).otherwise("")
+    body = F.when(headed, after).otherwise(c)
+    body = F.when(body.contains("关键词"), strip(F.substring_index(body, "关键词", 1))).otherwise(body)
     head = F.substring(body, 1, cap)
     stop = F.length(head) - F.instr(F.reverse(head), "。") + 1
-    cut = F.when((F.instr(head, "。") > 0) & (stop > least), F.substring(head, F.lit(1), stop)).otherwise(head)
-    return F.when(F.length(body) > cap, cut).otherwise(body)
+    return F.when((F.length(body) > cap) & (F.instr(head, "。") > 0) & (stop - 1 > least), F.substring(head, F.lit(1), stop)).otherwise(body)
+
+
+def _after(c: Column, mark: str) -> Column:
+    return F.substring(c, F.instr(c, mark) + 1, F.length(c))
 
 
 def split_keywords(c: Column) -> Column:
     """A keyword string without its label, split on commas, semicolons and white space."""
-    bare = F.regexp_replace(c, r"(?iU)^\s*(?:关键词|关键字|key\s*words?)\s*[：:]?\s*", "")
+    bare = F.regexp_replace(c, r"(?iU)^(?:关键词|Keywords?|KEY\s+WORDS?)[：:\s]*", "")
     return F.filter(F.transform(F.split(bare, r"(?U)[,，;；\s]+"), lambda k: strip(k)), lambda k: k != "")
 
 
 def format_keywords(c: Column, lang: Column) -> Column:
-    return F.when(lang == "chinese", F.array_join(c, "，")).otherwise(F.array_join(c, ", "))
+    return F.when(lang == "chinese", F.array_join(c, "；")).otherwise(F.array_join(c, "; "))
 
 
 # Fixed patterns: labels that a value may carry.
@@ -266,25 +272,59 @@ def guess_section_type(c: Column) -> Column:
     return _words(F.lower(c), CHAPTER_WORDS).otherwise("unknown")
 
 
+# Classes of known section types; words of titles, in this order; words of contents, in this order.
+TYPE_CLASSES = {
+    "introduction": "literature_review", "literature_review": "literature_review", "background": "literature_review",
+    "methodology": "methodology", "methods": "methodology", "results": "results", "experiments": "results",
+    "conclusion": "conclusion", "conclusions": "conclusion", "references": "references",
+    "acknowledgment": "acknowledgment", "acknowledgments": "acknowledgment", "achievements": "achievements",
+}
+TITLE_CLASSES = (
+    ("literature_review", ("绪论", "引言", "introduction", "综述", "现状", "背景", "概述")),
+    ("methodology", ("方法", "method", "算法", "algorithm", "模型", "model", "设计")),
+    ("results", ("实验", "experiment", "结果", "result", "分析", "analysis", "评估")),
+    ("conclusion", ("结论", "conclusion", "总结", "summary", "展望")),
+    ("references", ("参考文献", "reference", "文献")),
+    ("acknowledgment", ("致谢", "acknowledgment", "谢辞")),
+    ("theoretical", ("理论", "theory", "原理", "principle", "基础")),
+    ("system", ("系统", "system", "实现", "implementation")),
+)
+CONTENT_CLASSES = (
+    ("results", ("实验结果", "性能评估", "对比分析", "数据显示", "测试结果", "评价指标")),
+    ("methodology", ("提出方法", "算法流程", "模型架构", "实现步骤", "设计思路", "技术路线")),
+    ("literature_review", ("研究现状", "文献分析", "相关研究", "发展历程", "研究趋势")),
+)
+
+
 def classify_chapter(kind: Column, title: Column, content: Column) -> Column:
-    """A known type, else the title's words, else those of the content's first 1000 characters."""
-    known = F.when(kind.isin(*[n for n, _ in CHAPTER_WORDS]), kind)
+    """A known type's class, else by the title's words, else by those of the content's first 1000 characters, else 'general'."""
+    known = None
+    for k, v in TYPE_CLASSES.items():
+        known = F.when(kind == k, v) if known is None else known.when(kind == k, v)
     head = F.lower(F.substring(content, 1, 1000))
-    return F.coalesce(known, _words(F.lower(title), CHAPTER_WORDS), _words(head, CHAPTER_WORDS), F.lit("unknown"))
+    return F.coalesce(known, _words(F.lower(title), TITLE_CLASSES), _words(head, CONTENT_CLASSES), F.lit("general"))
 
 
-# Fixed words for and against a review chapter.
-REVIEW_WORDS = ("综述", "文献", "现状", "进展", "review", "literature", "related work", "background")
-METHOD_WORDS = ("方法", "实验", "设计", "实现", "method", "experiment", "design", "implementation")
+# Types, numbers and words for a review chapter, and words against one.
+REVIEW_TYPES = ("introduction", "literature_review", "background", "overview")
+FIRST_NUMBERS = ("一", "1", "1.", "I", "第1章", "第一章")
+REVIEW_WORDS = (
+    "绪论", "引言", "综述", "背景", "现状", "概述", "introduction", "review", "background", "survey", "overview", "相关工作", "文献综述", "研究现状",
+    "国内外研究", "理论基础", "related work", "literature review", "state of art", "theoretical foundation",
+)
+METHOD_WORDS = (
+    "实验", "方法", "设计", "实现", "测试", "结果", "分析", "系统", "experiment", "method", "implementation", "test", "result", "analysis", "system",
+)
 
 
-def is_review_chapter(kind: Column, number: Column, title: Column) -> Column:
-    """P25: by type, as the first chapter, or by its words; never with a word of method."""
-    low = F.lower(title)
-    first = number.isin("1", "一", "第一章", "第1章", "Chapter 1")
+def is_review_chapter(kind: Column, number: Column, title: Column, level: Column | None = None) -> Column:
+    """P25: by type, as a first chapter of level 1, or by its words; never with a word against it."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    first = number.isin(*FIRST_NUMBERS) & ((level if level is not None else F.lit(1)) == 1)
     named = _words(low, (("y", REVIEW_WORDS),)).isNotNull()
     veto = _words(low, (("y", METHOD_WORDS),)).isNotNull()
-    return F.coalesce((kind == "literature_review") | first | named, F.lit(False)) & ~F.coalesce(veto, F.lit(False))
+    no = F.lit(False)
+    return (F.coalesce(kind.isin(*REVIEW_TYPES), no) | F.coalesce(first, no) | named) & ~veto
 
 
 def extract_json(c: Column) -> Column:
@@ -303,16 +343,25 @@ def parse_json_lenient(c: Column, fields: list[str]) -> Column:
     return F.coalesce(some(F.from_json(c, schema)), some(F.from_json(clean, schema)), some(by_field))
 
 
-# Fixed patterns of headings in plain text.
-HEADING_1 = r"^\s*(?:第[一二三四五六七八九十\d]+章|chapter\s+\d+|摘\s*要|abstract|目\s*录|参考文献|references|致\s*谢|附\s*录|结\s*论|绪\s*论)"
-HEADING_2 = r"^\s*\d+\.\d+(?:\.\d+)*\s+\S"
+# Patterns of title lines in plain text, and words of main titles.
+TITLE_LINES = (
+    r"^\d+[\.、]\s*", r"^[一二三四五六七八九十]+[\.、]\s*", r"^第[一二三四五六七八九十]+章", r"^Abstract$|^摘要$", r"^Introduction$|^引言$", r"^Conclusion$|^结论$",
+    r"^References$|^参考文献$", r"^致谢$|^Acknowledgments?$",
+)
+MAIN_WORDS = ("摘要", "Abstract", "引言", "结论", "参考文献")
 
 
 def mark_headings(c: Column) -> Column:
-    """Chapter lines get '## ' and numbered section lines '### '."""
-    mark = lambda x: F.when((F.length(x) <= 80) & x.rlike("(?iU)" + HEADING_1), F.concat(F.lit("## "), strip(x))).when(
-        (F.length(x) <= 80) & x.rlike(U + HEADING_2), F.concat(F.lit("### "), strip(x))
-    ).otherwise(x)
+    """Lines trimmed; of title lines, those under 50 characters with a main word get '## ', others under 80 '### '."""
+    def mark(line):
+        x, title = strip(line), None
+        for p in TITLE_LINES:
+            title = x.rlike(U + p) if title is None else title | x.rlike(U + p)
+        main = F.lit(False)
+        for w in MAIN_WORDS:
+            main = main | x.contains(w)
+        return F.when(title & (F.length(x) < 50) & main, F.concat(F.lit("## "), x)).when(title & (F.length(x) < 80), F.concat(F.lit("### "), x)).otherwise(x)
+
     return F.array_join(F.transform(F.split(c, "\n"), mark), "\n")
 
 

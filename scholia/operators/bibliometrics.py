@@ -48,20 +48,29 @@ def journal_stats(p: DataFrame, n: int = 15) -> DataFrame:
     return _union(_tagged("journal", top(journals, n)), _tagged("type", counted(p, F.col("Source.type"))), _distinct("distinct_journals", journals))
 
 
-def _authors(p: DataFrame) -> DataFrame:
-    return p.select("pos", "FirstAuthor", F.explode("Authors").alias("a")).select("pos", "a.name", "a.corresponding")
+def _ranked(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The largest counts (metric, name, n) of each metric, as many as its limit."""
+    limit = None
+    for k, v in limits.items():
+        limit = F.when(F.col("metric") == k, v) if limit is None else limit.when(F.col("metric") == k, v)
+    r = F.row_number().over(Window.partitionBy("metric").orderBy(F.col("n").desc(), "name"))
+    return counts.withColumn("r", r).where(F.col("r") <= max(limits.values())).where(F.col("r") <= limit).select("metric", "name", F.col("n").cast("long").alias("n"))
+
+
+def _totals(counts: DataFrame, **made: Column) -> DataFrame:
+    """One row (metric, null, n) for each aggregate over all counts."""
+    one = counts.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in made.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(None).cast("string").alias("name"), F.col(k).alias("n")) for k in made])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def author_stats(p: DataFrame, n: int = 20, n_corresponding: int = 10) -> DataFrame:
-    """A2: top authors, top corresponding authors, distinct numbers of both."""
-    both = (
-        _authors(p).where(blank_to_null(F.col("name")).isNotNull()).groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("corresponding").alias("c"))
-    )
-    corresponding = both.where("c > 0").select("name", F.col("c").alias("n"))
-    return _union(
-        _tagged("author", top(both, n)), _tagged("corresponding", top(corresponding, n_corresponding)),
-        _distinct("distinct_authors", both), _distinct("distinct_corresponding", corresponding),
+    """A2: top authors, top corresponding authors, distinct numbers of both, from one count by metric and name."""
+    named = p.select(F.explode("Authors").alias("a")).select("a.name", "a.corresponding").where(blank_to_null(F.col("name")).isNotNull())
+    metric = F.explode(F.array_compact(F.array(F.lit("author"), F.when(F.col("corresponding"), "corresponding"))))
+    counts = named.select(metric.alias("metric"), "name").groupBy("metric", "name").agg(F.count(F.lit(1)).alias("n"))
+    return _ranked(counts, {"author": n, "corresponding": n_corresponding}).unionByName(
+        _totals(counts, distinct_authors=F.count_if(F.col("metric") == "author"), distinct_corresponding=F.count_if(F.col("metric") == "corresponding"))
     )
 
 
@@ -120,18 +129,18 @@ def paper_totals(p: DataFrame) -> DataFrame:
 
 
 def author_network(p: DataFrame) -> DataFrame:
-    """Papers with a person as author, corresponding mentions, and top lists of persons."""
-    people = _authors(p).where(is_person_name(F.col("name")))
-    by_name = people.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if("corresponding").alias("c"))
-    firsts = counted(p.where((F.size("Authors") > 0) & is_person_name(F.col("FirstAuthor"))), F.col("FirstAuthor"))
-    corresponding = by_name.where("c > 0").select("name", F.col("c").alias("n"))
-    with_author = p.where(F.exists("Authors", lambda a: is_person_name(a["name"])))
-    total = corresponding.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
-        F.lit("corresponding_total").alias("metric"), F.lit(None).cast("string").alias("name"), "n"
+    """Papers with a person as author, corresponding mentions, and top lists of persons, from one count by metric and name."""
+    row = lambda metric, name: F.struct(F.lit(metric).alias("metric"), name.alias("name"))
+    people = F.filter("Authors", lambda a: is_person_name(a["name"]))
+    first = F.when((F.size("Authors") > 0) & is_person_name(F.col("FirstAuthor")), blank_to_null(F.col("FirstAuthor")))
+    told = F.concat(
+        F.transform(people, lambda a: row("author", a["name"])), F.transform(F.filter(people, lambda a: a["corresponding"]), lambda a: row("corresponding", a["name"])),
+        F.array_compact(F.array(F.when(first.isNotNull(), row("first_author", first)), F.when(F.size(people) > 0, row("paper", F.lit(""))))),
     )
-    return _union(
-        _tagged("author", top(by_name, 8)), _tagged("corresponding", top(corresponding, 5)), _tagged("first_author", top(firsts, 5)),
-        _distinct("papers_with_authors", with_author), total,
+    counts = p.select("FirstAuthor", F.coalesce("Authors", F.array().cast(p.schema["Authors"].dataType)).alias("Authors")).select(F.explode(told).alias("x")).groupBy("x.metric", "x.name").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda m: F.sum(F.when(F.col("metric") == m, F.col("n")))
+    return _ranked(counts.where("metric != 'paper'"), {"author": 8, "corresponding": 5, "first_author": 5}).unionByName(
+        _totals(counts, papers_with_authors=of("paper"), corresponding_total=of("corresponding"))
     )
 
 
@@ -182,12 +191,12 @@ def _keyword_rows(p: DataFrame) -> DataFrame:
 
 def keyword_trends(p: DataFrame, n: int = 12, years: int = 3, per_year: int = 3) -> DataFrame:
     """Top keywords with percent of papers, and the top of each of the latest years."""
-    rows = _keyword_rows(p)
+    counts = _keyword_rows(p).groupBy(F.col("PublicationYear").alias("year"), F.col("keyword").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     papers = p.agg(F.count(F.lit(1)).alias("papers"))
-    overall = top(rows.groupBy(F.col("keyword").alias("name")).agg(F.count(F.lit(1)).alias("n")), n).crossJoin(F.broadcast(papers)).select(  # one row
+    overall = top(counts.groupBy("name").agg(F.sum("n").alias("n")), n).crossJoin(F.broadcast(papers)).select(  # one row
         F.lit("all").alias("scope"), "name", "n", F.round(F.col("n") * 100.0 / F.col("papers"), 6).alias("percent")
     )
-    by_year = rows.where(blank_to_null(F.col("PublicationYear")).isNotNull()).groupBy(F.col("PublicationYear").alias("year"), F.col("keyword").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    by_year = counts.where(blank_to_null(F.col("year")).isNotNull())
     latest = by_year.select("year").distinct().orderBy(F.col("year").desc()).limit(years)
     ranked = by_year.join(F.broadcast(latest), "year").withColumn(  # a row a year, `years` at most
         "r", F.row_number().over(Window.partitionBy("year").orderBy(F.col("n").desc(), "name"))

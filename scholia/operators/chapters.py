@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import guess_section_type, strip
-from scholia.operators.lines import doc_window, in_order, lines_of
+from scholia.functions.text import clean_abstract, format_keywords, guess_section_type, split_keywords, strip
+from scholia.operators.lines import doc_window, in_order, lines_of, once
 
 # Fixed patterns of chapter lines, in this order.
 CHAPTERS = (
@@ -22,53 +22,89 @@ MAIN_TITLES = (
 )
 SUBSECTION = r"^\d+\.\d+|^[一二三四五六七八九十]+\.|^\(\d+\)|^（[一二三四五六七八九十\d]+）|^第[一二三四五六七八九十\d]+节"
 SUB_TITLES = ("第一节", "第二节", "第三节", "第四节", "第五节", "（一）", "（二）", "（三）", "（四）", "（五）")
-#: a named section: name, start pattern, stop pattern, least and most characters.
-LIBRARY = (
-    ("abstract_cn", r"^(?:中文)?摘\s*要", r"^(?:关键词|ABSTRACT|Abstract|目\s*录|第.章)", 50, 5_000),
-    ("abstract_en", r"^(?:ABSTRACT|Abstract)", r"^(?:Key\s*words|KEY\s*WORDS|目\s*录|第.章|CONTENTS)", 50, 5_000),
-    ("introduction", r"^(?:第[一1]章\s*)?(?:绪\s*论|引\s*言|INTRODUCTION|Introduction)", r"^第[二2]章|^(?:2|II)[\s.]", 100, 50_000),
-    ("conclusion", r"^(?:第.章\s*)?(?:结\s*论|总结与展望|CONCLUSION|Conclusion)", r"^(?:参考文献|致\s*谢|附\s*录|REFERENCES|References)", 100, 20_000),
-    ("references", r"^(?:参考文献|REFERENCES|References)", r"^(?:致\s*谢|附\s*录|个人简历|ACKNOWLEDG)", 100, 200_000),
-    ("acknowledgement", r"^(?:致\s*谢|ACKNOWLEDG)", r"^(?:附\s*录|个人简历|参考文献|声\s*明)", 20, 10_000),
-)
+# Fixed patterns of named sections, each with its bounds of length and what it ends before.
+LIBRARY = {
+    "cover": r"(^[\s\S]{200,2000}?)(?=摘\s*要|ABSTRACT|Abstract)",
+    "abstract_cn": r"((?:中文)?摘\s*要[\s\S]{100,5000}?)(?=关键词|英文摘要|ABSTRACT|目\s*录)",
+    "abstract_en": r"((?:ABSTRACT|Abstract)[\s\S]{100,5000}?)(?=Keywords?|Key\s+Words?|目\s*录|1\s)",
+    "keywords_cn": r"(关键词[：:\s]*[^\n\r]{5,200})",
+    "keywords_en": r"((?:Keywords?|KEY\s+WORDS?|Key\s+Words?)[：:\s]*[^\n\r]{5,200})",
+    "toc": r"(目\s*录[\s\S]{200,3000}?)(?=摘\s*要|Abstract|1\s+绪论|第一章)",
+    "chapter_1_introduction": r"((?:^|\n)\s*1\s+绪\s*论[\s\S]{500,15000}?)(?=2\s+心脏建模|2\s+[\u4e00-\u9fff]|$)",
+    "chapter_2_theory": r"((?:^|\n)\s*2\s+心脏建模的基础理论[\s\S]{1000,25000}?)(?=3\s+心脏CTA|3\s+[\u4e00-\u9fff]|$)",
+    "chapter_3_segmentation": r"((?:^|\n)\s*3\s+心脏CTA图像分割[\s\S]{1000,20000}?)(?=4\s+四维动态|4\s+[\u4e00-\u9fff]|$)",
+    "chapter_4_modeling": r"((?:^|\n)\s*4\s+四维动态统计体形心脏模型的构建[\s\S]{1000,20000}?)(?=5\s+结|5\s+[\u4e00-\u9fff]|$)",
+    "chapter_5_conclusion": r"((?:^|\n)\s*5\s+结\s*论[\s\S]{200,8000}?)(?=参\s*考\s*文\s*献|致谢|攻读|$)",
+    "chapter_1": r"((?:^|\n)\s*1\s+绪\s*论[\s\S]{200,10000}?)(?=2\s+|$)",
+    "chapter_2": r"((?:^|\n)\s*2\s+[\u4e00-\u9fff].*?基础理论[\s\S]{500,20000}?)(?=3\s+|$)",
+    "chapter_3": r"((?:^|\n)\s*3\s+[\u4e00-\u9fff].*?图像分割[\s\S]{500,15000}?)(?=4\s+|$)",
+    "chapter_4": r"((?:^|\n)\s*4\s+四维动态[\s\S]{500,15000}?)(?=5\s+|结\s*论|$)",
+    "chapter_5": r"((?:^|\n)\s*5\s+结\s*论[\s\S]{100,8000}?)(?=参\s*考\s*文\s*献|致谢|$)",
+    "subsection_1_1": r"(###\s*1\.1\s*[^\n\r]*[\s\S]{200,8000}?)(?=###\s*1\.2|###\s*2\.|2\s+|$)",
+    "subsection_1_2": r"(###\s*1\.2\s*[^\n\r]*[\s\S]{500,12000}?)(?=###\s*1\.3|###\s*2\.|2\s+|$)",
+    "subsection_1_3": r"(###\s*1\.3\s*[^\n\r]*[\s\S]{200,8000}?)(?=###\s*2\.|2\s+|$)",
+    "subsection_2_1": r"(###\s*2\.1\s*[^\n\r]*[\s\S]{500,15000}?)(?=###\s*2\.2|###\s*3\.|3\s+|$)",
+    "subsection_2_2": r"(###\s*2\.2\s*[^\n\r]*[\s\S]{500,12000}?)(?=###\s*2\.3|###\s*3\.|3\s+|$)",
+    "subsection_2_3": r"(###\s*2\.3\s*[^\n\r]*[\s\S]{200,10000}?)(?=###\s*3\.|3\s+|$)",
+    "subsection_3_1": r"(###\s*3\.1\s*[^\n\r]*[\s\S]{200,5000}?)(?=###\s*3\.2|###\s*4\.|4\s+|$)",
+    "subsection_3_2": r"(###\s*3\.2\s*[^\n\r]*[\s\S]{200,5000}?)(?=###\s*3\.3|###\s*4\.|4\s+|$)",
+    "subsection_3_3": r"(###\s*3\.3\s*[^\n\r]*[\s\S]{500,10000}?)(?=###\s*3\.4|###\s*4\.|4\s+|$)",
+    "subsection_3_4": r"(###\s*3\.4\s*[^\n\r]*[\s\S]{500,10000}?)(?=###\s*3\.5|###\s*4\.|4\s+|$)",
+    "subsection_3_5": r"(###\s*3\.5\s*[^\n\r]*[\s\S]{200,5000}?)(?=###\s*4\.|4\s+|$)",
+    "subsection_4_1": r"(###\s*4\.1\s*[^\n\r]*[\s\S]{200,5000}?)(?=###\s*4\.2|###\s*5\.|5\s+|$)",
+    "subsection_4_2": r"(###\s*4\.2\s*[^\n\r]*[\s\S]{500,12000}?)(?=###\s*4\.3|###\s*5\.|5\s+|$)",
+    "subsection_4_3": r"(###\s*4\.3\s*[^\n\r]*[\s\S]{500,12000}?)(?=###\s*4\.4|###\s*5\.|5\s+|$)",
+    "introduction": r"((?:第一章|第1章|引\s*言|绪\s*论|概\s*述)[\s\S]{500,10000}?)(?=第二章|第2章|2\s)",
+    "literature": r"((?:第二章|第2章|文献综述|相关工作|基础理论)[\s\S]{1000,20000}?)(?=第三章|第3章|3\s)",
+    "methodology": r"((?:第三章|第3章|研究方法|方法论|图像分割)[\s\S]{1000,15000}?)(?=第四章|第4章|4\s)",
+    "results": r"((?:第四章|第4章|实验结果|结果分析|模型构建)[\s\S]{1000,15000}?)(?=第五章|第5章|5\s|结论)",
+    "conclusion": r"((?:结\s*论|总\s*结|结论与展望|总结与展望|结论与建议|研究总结|主要结论|本文结论)[\s\S]{200,8000}?)(?=参\s*考\s*文\s*献|致谢|攻读|附录|$)",
+    "references": r"((?:参\s*考\s*文\s*献|REFERENCES?|References?)[\s\S]*?)(?=\n+\s*(?:致\s*谢\s*与\s*声\s*明|致\s*谢|攻读|附\s*录|ACKNOWLEDGMENT|附件|个人简历|作者简介|$))",
+    "acknowledgement": r"(致\s*谢[\s\S]{100,2000}?)(?=攻读|附录|大连理工大学|$)",
+    "publications": r"(攻读.*?学位期间发表.*?论文[\s\S]{100,2000}?)(?=致\s*谢|附录|$)",
+}
+#: flags: case and line ends as the patterns expect them, white space of all scripts.
+LINES, WHOLE, DOTALL = "(?imdU)", "(?idU)", "(?isdU)"
+U_CASE, U_PLAIN = "(?iU)", "(?U)"
+
+
+def first_match(text: Column, pattern: str) -> tuple[Column, Column]:
+    """(the first match, its place from 1); '' and null without one.  The place is looked up for matches only."""
+    whole = F.regexp_extract(text, pattern, 0)
+    return whole, F.when(whole != "", _place(text, F.lit(pattern)))
 
 
-def marked_ranges(lines: DataFrame, line: Column, marks: list[tuple[str, str, str]]) -> DataFrame:
-    """doc_id, name, start_line (the first line with a mark's start pattern), stop_line (the next with its stop
-    pattern, or null), last (the document's last line).  One shuffle on doc_id serves all marks."""
-    every = Window.partitionBy("doc_id")
-    told = lines.withColumns({f"s{k}": F.min(F.when(line.rlike(start), F.col("line_no"))).over(every) for k, (_, start, _) in enumerate(marks)})
-    ends = [F.min(F.when((F.col("line_no") > F.col(f"s{k}")) & line.rlike(stop), F.col("line_no"))).alias(f"e{k}") for k, (_, _, stop) in enumerate(marks)]
-    per_doc = told.groupBy("doc_id").agg(F.max("line_no").alias("last"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(len(marks))], *ends)
-    found = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"s{k}").alias("start_line"), F.col(f"e{k}").alias("stop_line")) for k, (n, _, _) in enumerate(marks)])
-    return per_doc.select("doc_id", "last", F.explode(found).alias("x")).select("doc_id", "x.*", "last").where("start_line IS NOT NULL")
+def _place(text: Column, pattern: Column) -> Column:
+    """Where a pattern's first match begins, in characters from 1; null without one."""
+    parts = F.split(text, pattern, 2)
+    return F.when(F.size(parts) > 1, F.length(F.get(parts, F.lit(0))) + 1)
 
 
-def find_sections(docs: DataFrame, library=LIBRARY) -> DataFrame:
-    """doc_id, name, start_line, end_line, content: from the first line with a section's start pattern to the line
-    before the next with its stop pattern (or the end), if its length is within bounds."""
-    lines = lines_of(docs)
-    found = marked_ranges(lines, strip("line"), [(n, start, stop) for n, start, stop, _, _ in library])
-    found = found.withColumn("end_line", F.coalesce(F.col("stop_line") - 1, "last")).select("doc_id", "name", "start_line", "end_line")
-    inner = found.join(lines, "doc_id").where("line_no BETWEEN start_line AND end_line")
-    body = inner.groupBy("doc_id", "name", "start_line", "end_line").agg(F.array_join(in_order(F.col("line"), "line_no"), "\n").alias("content"))
-    fits = F.lit(False)
-    for n, _, _, least, most in library:
-        fits = fits | ((F.col("name") == n) & F.length("content").between(least, most))
-    return body.where(fits)
+def _newlines(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
+def find_sections(docs: DataFrame, library: dict = LIBRARY, text_col: str = "text") -> DataFrame:
+    """doc_id, name, start_position, end_position (characters before the section's first and up to its end), content (trimmed): the
+    first match of each section's pattern.  One pass over the text, no shuffle."""
+    rows = docs.select("doc_id", F.col(text_col).alias("text"))
+    found = []
+    for name, p in library.items():
+        whole, at = first_match(F.col("text"), LINES + p)
+        found.append(F.struct(F.lit(name).alias("name"), (at - 1).alias("start_position"), whole.alias("whole")))
+    told = rows.withColumn("found", F.filter(F.array(*found), lambda x: x["whole"] != "")).select("doc_id", F.explode("found").alias("x"))
+    return told.select("doc_id", "x.name", "x.start_position", (F.col("x.start_position") + F.length("x.whole")).alias("end_position"), strip(F.col("x.whole")).alias("content"))
 
 
 def section_bounds(sections: DataFrame, docs: DataFrame) -> DataFrame:
-    """Sections with title, start_char, end_char (code points) and the length of the content; the title is the first line
-    of under 100 characters."""
-    offsets = lines_of(docs).withColumn("end_char", F.sum(F.length("line") + 1).over(doc_window("line_no")) - 1)
-    offsets = offsets.select("doc_id", "line_no", (F.col("end_char") - F.length("line")).alias("start_char"), "end_char")
-    first = offsets.select("doc_id", F.col("line_no").alias("start_line"), "start_char")
-    last = offsets.select("doc_id", F.col("line_no").alias("end_line"), "end_char")
+    """Sections with title, start_line, end_line (from 1) and content_length; the title is the first line of
+    under 100 characters."""
     named = F.filter(F.transform(F.split("content", "\n"), lambda x: strip(x)), lambda x: F.length(x).between(1, 99))
-    return sections.join(first, ["doc_id", "start_line"]).join(last, ["doc_id", "end_line"]).withColumns(
-        {"title": F.get(named, F.lit(0)), "content_length": F.length("content")}
-    )
+    met = sections.join(docs.select("doc_id", "text"), "doc_id")
+    line = lambda c: _newlines(F.substring("text", F.lit(1), F.col(c))) + 1
+    return met.withColumns({
+        "title": F.get(named, F.lit(0)), "start_line": line("start_position"), "end_line": line("end_position"), "content_length": F.length("content"),
+    }).drop("text")
 
 
 def boundary_confidence(name: Column, content: Column, before: Column, after: Column) -> Column:
@@ -81,25 +117,64 @@ def boundary_confidence(name: Column, content: Column, before: Column, after: Co
     return F.round(F.least(F.lit(1.0), total), 6)
 
 
-def locate_section(docs: DataFrame, titles: list[tuple[str, float]], stops: list[str]) -> DataFrame:
-    """doc_id, start_line, end_line, title, score of the best line for a section: a title variant with its boost, more if
-    the line is no more than the variant, less for what else it holds; it ends before the earliest later stop line."""
-    lines = lines_of(docs).withColumn("t", strip("line"))
-    scores = [
-        F.when((F.col("t") == v), F.lit(boost + 1.0)).when(F.col("t").startswith(v), boost + 0.5 * F.lit(len(v)) / F.length("t")).when(
-            F.col("t").contains(v), boost * 0.5 * F.lit(len(v)) / F.length("t")
-        )
-        for v, boost in titles
-    ]
-    score = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    told = lines.withColumn("score", score)
-    best = told.where("score IS NOT NULL").groupBy("doc_id").agg(F.max_by(F.struct("line_no", "t", "score"), F.struct("score", -F.col("line_no"))).alias("b"))
-    stop = told.where(F.col("t").rlike("|".join(stops))).select("doc_id", F.col("line_no").alias("stop"), F.col("t").alias("next_section"))
-    ends = best.join(stop, "doc_id").where("stop > b.line_no").groupBy("doc_id").agg(F.min(F.struct("stop", "next_section")).alias("e"))
-    size = lines.groupBy("doc_id").agg(F.max("line_no").alias("last"))
-    return best.join(ends, "doc_id", "left").join(size, "doc_id").select(
-        "doc_id", F.col("b.line_no").alias("start_line"), F.coalesce(F.col("e.stop") - 1, "last").alias("end_line"), F.col("b.t").alias("title"),
-        F.round("b.score", 6).alias("score"), "e.next_section",
+# Title patterns of sections with what each adds to the score, in this order; the words that choose them are tried in
+# the order of TITLE_FAMILIES.
+TITLE_PATTERNS = {
+    "摘要": ((r"^\s*(中文)?摘\s*要\s*$", 1.0), (r"^\s*(中文)?摘\s*要\s*\n", 0.9), (r"摘\s*要", 0.7)),
+    "abstract": ((r"^\s*(ABSTRACT|Abstract)\s*$", 1.0), (r"^\s*(ABSTRACT|Abstract)\s*\n", 0.9), (r"(ABSTRACT|Abstract)", 0.7)),
+    "第一章": ((r"^\s*第[一1]章\s+([^\n\r]{5,50})", 1.0), (r"^\s*1\.\s*([^\n\r]{5,50})", 0.9), (r"^\s*(引\s*言|绪\s*论|概\s*述)\s*$", 0.8)),
+    "第二章": ((r"^\s*第[二2]章\s+([^\n\r]{5,50})", 1.0), (r"^\s*2\.\s*([^\n\r]{5,50})", 0.9), (r"^\s*(文献综述|相关工作|国内外研究现状)\s*$", 0.8)),
+    "结论": ((r"^\s*(结\s*论|全文总结|研究总结)\s*$", 1.0), (r"^\s*(结论与展望|结论与建议)\s*$", 0.9), (r"结\s*论", 0.7)),
+    "参考文献": ((r"^\s*参考文献\s*$", 1.0), (r"^\s*(REFERENCES?|References?)\s*$", 1.0), (r"参考文献", 0.8)),
+}
+TITLE_FAMILIES = (
+    ("abstract", ("abstract",)), ("摘要", ("摘要",)), ("第一章", ("第一章", "引言")), ("第二章", ("第二章", "文献")), ("结论", ("结论",)), ("参考文献", ("参考文献", "reference")),
+)
+NEXT_SECTIONS = (r"\n\s*第[一二三四五六七八九十1-9]章", r"\n\s*\d+\.\s*[^\n]{5,50}", r"\n\s*(结\s*论|参考文献|致\s*谢|附\s*录)", r"\n\s*(REFERENCES?|ACKNOWLEDGMENT)")
+
+
+def title_patterns(section: str) -> tuple[tuple[str, float], ...]:
+    """The patterns of a section's title; of one without a family, the title itself."""
+    low = section.lower()
+    for family, words in TITLE_FAMILIES:
+        if any(w in low for w in words):
+            return TITLE_PATTERNS[family]
+    quoted = "\\Q" + section.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return (rf"^\s*{quoted}\s*$", 1.0), (quoted, 0.6)
+
+
+def locate_section(docs: DataFrame, section: str) -> DataFrame:
+    """doc_id, title, score, start_pos, end_pos, start_line, end_line, next_section, content of a section: the pattern of its family with
+    the best score (0.5, + 0.2 at the start of a line, + 0.2 before a line break, + 0.3 for a chapter number, + 0.1 for 2 to 50 characters, at most
+    1, and what the pattern adds; ties: the first); it ends before the earliest next section."""
+    text, tried = F.col("text"), []
+    for k, (p, boost) in enumerate(title_patterns(section)):
+        whole, at = first_match(text, LINES + p)
+        grouped = "(" in p.replace("(?", "")
+        group = F.regexp_extract(text, LINES + p, 1) if grouped else F.lit("")
+        after = F.substring(text, at + F.length(whole), F.lit(1))
+        add = lambda cond, x: F.when(cond, x).otherwise(0.0)
+        quality = F.lit(0.5) + add((at == 1) | (F.substring(text, at - 1, F.lit(1)) == "\n"), 0.2) + add(after == "\n", 0.2) + add(
+            whole.rlike("第[一二三四五六七八九十1-9]章"), 0.3) + add(F.length(whole).between(2, 50), 0.1)
+        tried.append(F.when(whole != "", F.struct(
+            F.round(F.least(F.lit(1.0), quality) + boost, 6).alias("score"), F.lit(-k).alias("order"), at.alias("at"), whole.alias("whole"), group.alias("group"))))
+    best = docs.select("doc_id", "text", F.array_max(F.array_compact(F.array(*tried))).alias("b")).where("b IS NOT NULL")
+    rest = F.substring("text", F.col("b.at") + F.length("b.whole"), F.length("text"))
+    best = best.withColumn("rest", rest)
+    nexts = []
+    for k, p in enumerate(NEXT_SECTIONS):
+        whole, at = first_match(F.col("rest"), WHOLE + p)
+        nexts.append(F.when(whole != "", F.struct(at.alias("at"), F.lit(k).alias("order"), strip(whole).alias("next"))))
+    told = best.withColumn("e", F.array_min(F.array_compact(F.array(*nexts))))
+    start = F.col("b.at") - 1
+    end = F.coalesce(start + F.length("b.whole") + F.col("e.at") - 1, F.length("text"))
+    clean = F.regexp_replace(strip(F.col("b.whole")), r"(?U)\s+", " ")
+    group = strip(F.col("b.group"))
+    title = F.when(F.length(group) > F.length(F.element_at(F.split(clean, " "), -1)), group).otherwise(clean)
+    return told.select("doc_id", "text", title.alias("title"), F.col("b.score").alias("score"), start.alias("start_pos"), end.alias("end_pos"), F.coalesce("e.next", F.lit("")).alias("next_section")).select(
+        "doc_id", "title", "score", "start_pos", "end_pos", (_newlines(F.substring("text", F.lit(1), F.col("start_pos"))) + 1).alias("start_line"),
+        (_newlines(F.substring("text", F.lit(1), F.col("end_pos"))) + 1).alias("end_line"), "next_section",
+        strip(F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))).alias("content"),
     )
 
 
@@ -111,7 +186,8 @@ def extract_chapters(docs: DataFrame, patterns=CHAPTERS) -> DataFrame:
         x = F.struct(F.regexp_extract(line, "(?iU)" + p, 1).alias("number"), strip(F.regexp_extract(line, "(?iU)" + p, 2)).alias("title"))
         hit = line.rlike("(?iU)" + p) & F.length(x["title"]).between(3, 99)
         out = F.when(hit, x) if out is None else out.when(hit, x)
-    told = lines_of(docs).select("doc_id", F.col("line_no").alias("line_number"), strip("line").alias("line")).withColumn("c", out).where("c IS NOT NULL")
+    lines = once(lines_of(docs).withColumnRenamed("line_no", "line_number"), "doc_id", "line_number", line=strip("line"))
+    told = once(lines, "doc_id", "line_number", c=out).where("c IS NOT NULL")
     return told.select(
         "doc_id", "line_number", "c.number", "c.title", F.lit(1).alias("level"), guess_section_type(F.col("c.title")).alias("section_type"), F.lit(0.8).alias("confidence")
     )
@@ -155,65 +231,135 @@ def chapter_contents(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, ord, title, content: the lines of each range, runs of blank lines cut to one."""
     inner = ranges.join(lines, "doc_id").where("line_no BETWEEN start_line AND end_line")
     before = F.lag("line").over(Window.partitionBy("doc_id", "ord").orderBy("line_no"))
-    kept = inner.withColumn("prev", before).where("trim(line) != '' OR prev IS NULL OR trim(prev) != ''")
+    kept = inner.withColumn("prev", before).where((strip("line") != "") | F.col("prev").isNull() | (strip("prev") != ""))
     return kept.groupBy("doc_id", "ord", "title").agg(F.array_join(in_order(F.col("line"), "line_no"), "\n").alias("content"))
 
 
-def chapter_content_by_title(chapters: DataFrame, docs: DataFrame, stops: list[str], least: int = 100) -> DataFrame:
-    """doc_id, ord, title, content: from the first line with the title (or, failing that, its first five characters) to the
-    first stop pattern, in list order, that occurs after it; contents under `least` characters are dropped."""
-    told = chapters.join(docs.select("doc_id", "text"), "doc_id")
-    at = F.when(F.instr(F.col("text"), F.col("title")) > 0, F.instr(F.col("text"), F.col("title")))
-    fuzzy = F.instr(F.col("text"), F.substring("title", 1, 5))
-    told = told.withColumn("s", F.coalesce(at, F.when(fuzzy > 0, fuzzy))).where("s IS NOT NULL")
-    told = told.withColumn("rest", F.expr("substring(text, s + length(title))"))
-    cut = F.coalesce(*[F.when(F.col("rest").rlike(p), F.get(F.split("rest", p, 2), F.lit(0))) for p in stops], F.col("rest"))
-    return told.select("doc_id", "ord", "title", strip(cut).alias("content")).where(F.length("content") >= least)
+# Fixed patterns of what may follow a chapter, in this order.
+NEXT_CHAPTERS = (
+    r"第[一二三四五六七八九十\d]+章\s*[^\n\r]{3,80}", r"Chapter\s+\d+\s*[：:]\s*[^\n\r]{3,80}", r"^\d+[\.\s]+[^\n\r]{5,60}", r"^#{1,3}\s*[^\n\r]{5,60}",
+    r"^(参考文献|REFERENCES|致谢|ACKNOWLEDGMENT|附录|APPENDIX|结论|CONCLUSION|总结)",
+)
+
+
+def chapter_content_by_title(chapters: DataFrame, docs: DataFrame, least: int = 100) -> DataFrame:
+    """doc_id, ord, title, content of chapters (doc_id, ord, title, number, level): from the first pattern of number and title that
+    matches, else from the title's first five word characters, to the first kind of next chapter found from 20 characters past
+    the title on.  Contents under `least` characters are dropped."""
+    told = chapters.join(docs.select("doc_id", "text"), "doc_id").where("title != ''")
+    quote = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    t, n = quote(F.col("title")), F.when(F.coalesce("number", F.lit("")) != "", F.col("number"))
+    level = F.col("level").cast("string")
+    patterns = [
+        F.concat(F.lit("第"), n, F.lit(r"章\s*"), t), F.concat(F.lit(r"Chapter\s+"), n, F.lit(r"\s*[：:]\s*"), t), F.concat(F.lit("^"), quote(n), F.lit(r"\s*"), t),
+        F.concat(F.lit("^"), quote(n), F.lit(r"\.\s*"), t), F.concat(F.lit("^"), quote(n), F.lit(r"[\s\.、]\s*"), t), F.concat(F.lit("^"), t, F.lit(r"\s*$")),
+        F.when(F.col("level") <= 3, F.concat(F.lit("#{"), level, F.lit(r",3}\s*"), t)), F.concat(F.lit(r"^\s*"), t, F.lit(r"\s*[：:]?\s*$")), t,
+    ]
+    place = lambda p: _place(F.col("text"), F.concat(F.lit(LINES), p))
+    bare = F.regexp_replace("title", r"(?U)[^\w\u4e00-\u9fff]", "")
+    fuzzy = F.when(F.length(bare) > 3, _place(F.col("text"), F.concat(F.lit(WHOLE + r"[^\w\u4e00-\u9fff]*"), quote(F.substring(bare, 1, 5)))))
+    known = F.aggregate(F.array_compact(F.array(*patterns)), F.lit(None).cast("int"), lambda a, p: F.coalesce(a, place(p)))
+    told = told.withColumn("at", F.coalesce(known, fuzzy)).where("at IS NOT NULL")
+    told = told.withColumn("from", F.col("at") + F.length("title") + 20).withColumn("rest", F.substring("text", F.col("from"), F.length("text")))
+    ends = F.aggregate(F.array(*[F.lit(LINES + p) for p in NEXT_CHAPTERS]), F.lit(None).cast("int"), lambda a, p: F.coalesce(a, _place(F.col("rest"), p)))
+    end = F.coalesce(F.col("from") + ends - 1, F.length("text") + 1)
+    content = strip(F.substring("text", F.col("at"), end - F.col("at")))
+    return told.select("doc_id", "ord", "title", content.alias("content")).where(F.length("content") >= least)
+
+
+# Fixed words that tell running text from a title.
+FRAGMENT_WORDS = (
+    "总之", "本工作", "本研究", "通过", "采用", "基于", "）。在", "研究中", "揭示了", "表明", "结果显示", "实验表明", "分析表明", "证明了", "发现",
+    "exhibit", "tendency", "challenges", "results", "analysis", "research", "study", "findings",
+)
 
 
 def is_content_fragment(c: Column) -> Column:
-    """A line that reads like running text: over 50 characters, ends in a comma, or has several clauses."""
-    return (F.length(c) > 50) | c.rlike(r"[，,；;]$") | (F.regexp_count(c, F.lit(r"[，,；;。]")) >= 2)
+    """Whether a line has a word of running text."""
+    out = F.lit(False)
+    for w in FRAGMENT_WORDS:
+        out = out | c.contains(w)
+    return out
 
 
-#: topics: words, characters gathered, and the cap, with terms by discipline that add to the words.
+# Fixed values of topics: block patterns in order, the length a block must exceed; words of lines, lines looked at (None: all), characters
+# gathered; the cap and what marks a cut.
 TOPICS = {
-    "literature": (("文献", "综述", "研究现状", "国内外", "literature", "review"), 3000, 8000),
-    "methodology": (("方法", "模型", "算法", "method", "approach"), 3000, 8000),
-    "experiment": (("实验", "测试", "数据集", "experiment", "dataset"), 2000, 5000),
-    "results": (("结果", "性能", "对比", "result", "performance"), 2000, 5000),
+    "literature": (
+        (
+            r"第一章\s*绪论.*?(?=第二章|第\d+章|$)", r"绪论.*?(?=第二章|第\d+章|参考文献|$)", r"文献综述.*?(?=第\d+章|参考文献|实验方法|$)", r"相关工作.*?(?=第\d+章|参考文献|实验方法|$)",
+            r"国内外研究现状.*?(?=第\d+章|参考文献|实验方法|$)", r"研究背景.*?(?=第\d+章|参考文献|研究方法|$)", r"研究现状.*?(?=第\d+章|参考文献|研究方法|$)", r"技术现状.*?(?=第\d+章|参考文献|研究方法|$)",
+        ), 500, ("研究", "发展", "技术", "方法", "材料", "现状", "问题", "挑战"), 200, 3000, 8000, "...",
+    ),
+    "methodology": (
+        (
+            r"第二章\s*研究方法.*?(?=第三章|第\d+章|$)", r"第二章\s*方法论.*?(?=第三章|第\d+章|$)", r"研究方法.*?(?=第\d+章|实验结果|结论|$)", r"方法论.*?(?=第\d+章|实验结果|结论|$)",
+            r"实验方法.*?(?=第\d+章|实验结果|结论|$)", r"技术方法.*?(?=第\d+章|实验结果|结论|$)", r"材料与方法.*?(?=第\d+章|实验结果|结论|$)",
+        ), 500, ("方法", "实验", "研究", "设计", "材料", "技术", "流程", "步骤", "过程"), None, 3000, 8000, "...",
+    ),
+    "experiment": (
+        (
+            r"第.*章\s*实验.*?(?=第.*章|结论|参考文献|$)", r"实验设计.*?(?=第.*章|结论|参考文献|$)", r"实验方法.*?(?=第.*章|结论|参考文献|$)", r"实验步骤.*?(?=第.*章|结论|参考文献|$)",
+            r"实验材料.*?(?=第.*章|结论|参考文献|$)", r"测试方法.*?(?=第.*章|结论|参考文献|$)",
+        ), 300, ("实验", "测试", "检测", "分析", "试验", "材料", "样品", "设备"), None, 2000, 5000, "",
+    ),
+    "results": (
+        (
+            r"第.*章\s*结果.*?(?=第.*章|结论|讨论|参考文献|$)", r"实验结果.*?(?=第.*章|结论|讨论|参考文献|$)", r"测试结果.*?(?=第.*章|结论|讨论|参考文献|$)", r"分析结果.*?(?=第.*章|结论|讨论|参考文献|$)",
+            r"结果与分析.*?(?=第.*章|结论|讨论|参考文献|$)", r"结果.*?(?=第.*章|结论|讨论|参考文献|$)",
+        ), 300, ("结果", "数据", "图", "表", "分析", "测试", "性能", "效果"), None, 2000, 5000, "",
+    ),
 }
 
 
-def topic_content(docs: DataFrame, topic: str, extra: tuple[str, ...] = (), topics: dict = TOPICS) -> DataFrame:
-    """doc_id, content: lines with a word of the topic, in order, up to its character budget."""
-    words, budget, cap = topics[topic]
-    lines = lines_of(docs).where(F.lower("line").rlike("|".join((*words, *extra)))).select("doc_id", "line_no", strip("line").alias("line"))
-    before = F.sum(F.length("line") + 1).over(doc_window("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    kept = lines.withColumn("used", F.coalesce(before, F.lit(0))).where(F.col("used") < budget)
-    return kept.groupBy("doc_id").agg(F.substring(F.array_join(in_order(F.col("line"), "line_no"), "\n"), 1, cap).alias("content"))
+def topic_content(c: Column, topic: str, topics: dict = TOPICS) -> Column:
+    """The first block of the topic's patterns that is long enough; without one, lines with a word of the topic, in order, until
+    they have more than so many characters; cut at the cap."""
+    patterns, over, words, looked, budget, cap, mark = topics[topic]
+    blocks = [F.regexp_extract(c, DOTALL + p, 0) for p in patterns]
+    block = F.coalesce(*[F.when(F.length(b) > over, b) for b in blocks])
+    lines = F.split(c, "\n") if looked is None else F.slice(F.split(c, "\n"), 1, looked)
+    told = F.filter(lines, lambda x: F.lower(x).rlike("|".join(words)))
+    gathered = F.aggregate(told, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).when(F.length(a) > budget, a).otherwise(F.concat(a, F.lit("\n"), x)))
+    whole = F.coalesce(block, gathered, F.lit(""))
+    return F.when(F.length(whole) > cap, F.concat(F.substring(whole, 1, cap), F.lit(mark))).otherwise(whole)
 
 
-# Fixed headings of conclusions, in this order, and what ends them.
-CONCLUSIONS = (r"(?:^|\n)\s*第.章\s*(?:结论|总结)[^\n]*\n", r"(?:^|\n)\s*结\s*论[^\n]*\n", r"(?:^|\n)\s*总结与展望[^\n]*\n", r"(?i)(?:^|\n)\s*conclusions?[^\n]*\n")
-CONCLUSION_ENDS = r"(?i)\n\s*(?:参考文献|致\s*谢|附\s*录|references|acknowledg)"
+# Fixed patterns of conclusions, in this order.
+CONCLUSIONS = (
+    r"((?:结论|总结|结论与展望|总结与展望)[\s\S]{200,8000}?)(?=参考文献|致谢|附录|$)", r"(本论文主要研究了[\s\S]{500,12000}?)(?=参考文献|致谢|附录|$)",
+    r"(研究所得到的主要结论[\s\S]{300,8000}?)(?=参考文献|致谢|附录|$)", r"((?:主要结论|本文结论|研究结论)[\s\S]{200,6000}?)(?=参考文献|致谢|附录|$)",
+)
 
 
 def conclusion_block(c: Column) -> Column:
-    """The text after the first conclusion heading, by pattern order, to the next closing section."""
-    bodies = [F.when(c.rlike(p), strip(F.get(F.split(F.get(F.split(c, p, 2), F.lit(1)), CONCLUSION_ENDS, 2), F.lit(0)))) for p in CONCLUSIONS]
-    return F.coalesce(*bodies)
-
-
-def fallback_fields(df: DataFrame) -> DataFrame:
-    """Abstract, keywords and acknowledgement: the section if it is filled, else what the text shows."""
-    some = lambda c: F.nullif(strip(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
-    after = lambda start, stop: F.nullif(strip(F.get(F.split(F.get(F.split("text", start, 2), F.lit(1)), stop, 2), F.lit(0))), F.lit(""))
-    return df.select(
-        "doc_id", F.coalesce(some("abstract"), after(r"(?i)(?:摘\s*要|abstract)[：:\s]*", r"(?i)关键词|key\s*words|目\s*录")).alias("abstract"),
-        F.coalesce(some("keywords"), F.nullif(strip(F.regexp_extract("text", r"(?i)(?:关键词|key\s*words)[：:\s]*([^\n]+)", 1)), F.lit(""))).alias("keywords"),
-        F.coalesce(some("acknowledgement"), after(r"(?i)(?:^|\n)\s*(?:致\s*谢|acknowledg\w*)\s*\n", r"\n\s*(?:附\s*录|个人简历|声\s*明)")).alias("acknowledgement"),
-    )
+    """The first match of the first pattern that has one; null without."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, WHOLE + p, 1), F.lit("")) for p in CONCLUSIONS])
+
+
+# Fixed patterns of fields that no section was found for.
+FALLBACKS = {
+    "abstract_cn": r"((?:中文)?摘\s*要[\s\S]{50,3000}?)(?=关键词|英文摘要|ABSTRACT|第一章|目录)",
+    "abstract_en": r"((?:ABSTRACT|Abstract)[\s\S]{50,3000}?)(?=Keywords?|中文摘要|第一章|目录)",
+    "keywords_cn": r"(关键词[：:\s]*[^\n\r]{5,200})",
+    "keywords_en": r"((?:Keywords?|KEY\s+WORDS?)[：:\s]*[^\n\r]{5,200})",
+    "acknowledgement": r"(致\s*谢[\s\S]{50,2000}?)(?=附录|参考文献|$)",
+}
+
+
+def fallback_fields(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id and the abstracts, keywords and acknowledgement: of the section where there is one (not null), else of the first
+    match in the text, else ''."""
+    out = {}
+    for field, p in FALLBACKS.items():
+        found = F.coalesce(F.col(field), F.regexp_extract(text_col, LINES + p, 1))
+        if field.startswith("abstract"):
+            out[field] = clean_abstract(found)
+        elif field.startswith("keywords"):
+            out[field] = format_keywords(split_keywords(found), F.lit("chinese" if field.endswith("cn") else "english"))
+        else:
+            out[field] = strip(found)
+    return df.select("doc_id", *[v.alias(k) for k, v in out.items()])
 
 
 HIERARCHY = r"^(\d+(?:\.\d+)*)\s+(\S.*)$"
@@ -249,18 +395,45 @@ def structure_profile(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "section_type", "title", F.length("content").alias("n")))).alias("sections"))
 
 
-#: markers: section, start words, end words, lines looked at.
-MARKERS = (
-    ("abstract", "摘要|abstract", "关键词|目录|key ?words|contents", 50),
-    ("introduction", "绪论|引言|introduction", "第二章|chapter 2", 200),
-    ("conclusion", "结论|总结|conclusion", "参考文献|致谢|references", 100),
-)
-
-
-def sections_by_marker(docs: DataFrame, markers=MARKERS) -> DataFrame:
-    """doc_id, section, start_line, end_line: from the first line with a start word to before the first later line with an end word,
-    at most so many lines."""
-    found = marked_ranges(lines_of(docs), F.lower("line"), [(n, start, stop) for n, start, stop, _ in markers])
-    look = F.coalesce(*[F.when(F.col("name") == n, k) for n, _, _, k in markers])
-    end = F.least(F.coalesce(F.col("stop_line") - 1, F.col("last")), F.col("start_line") + look, F.col("last"))
-    return found.select("doc_id", F.col("name").alias("section"), "start_line", end.alias("end_line"))
+# Patterns of marker lines (trimmed, lower case); what ends a section, and before how many lines after its start (None: any).
+MARKERS = {
+    "cover": ("封面", "扉页", "学位论文"), "abstract_cn": (r"摘\s*要", "中文摘要", "内容摘要"), "abstract_en": ("abstract", "english abstract"), "keywords_cn": ("关键词", "主题词"),
+    "keywords_en": ("key words", "keywords"), "toc": (r"目\s*录", "contents", "目次"), "introduction": ("绪论", "引言", "概述", "第一章", "第1章"), "conclusion": ("结论", "总结", "结语", "小结"),
+    "references": ("参考文献", "references", "引用文献"), "appendix": ("附录", "appendix"), "acknowledgement": ("致谢", "acknowledgement", "thanks"),
+    "achievements": ("攻读.*学位.*期间.*成果", "发表.*论文", "研究成果"), "biography": ("个人简历", "作者简历", "biography", "curriculum vitae"),
+}
+MARKER_ENDS = {
+    "abstract_cn": (r"关键词|keywords?|abstract", 100), "abstract_en": (r"key\s*words?|目\s*录", 100), "toc": (r"第一章|第1章|绪论|引言", 200),
+    "references": (r"致谢|攻读.*学位.*期间|个人简历|附录", None),
+}
+DEFAULT_END, DEFAULT_LINES = r"^#|第.*章|^[A-Z\s]{3,20}$", 50
+
+
+def sections_by_marker(docs: DataFrame, markers: dict = MARKERS, text_col: str = "text") -> DataFrame:
+    """doc_id, section, start_line, end_line (exclusive, from 0), content: from the first line with a marker to the section's own end (of the
+    references a line of under 50 characters, however far); without one, to the next line like a chapter's, 50 lines at most."""
+    rows = docs.select("doc_id", F.split(F.col(text_col), "\n").alias("ls"))
+    rows = rows.withColumn("trimmed", F.transform("ls", lambda x: strip(x)))
+    first = lambda lines, test: F.nullif(F.array_position(F.transform(lines, test), True), F.lit(0).cast("long"))
+    # starts first, written into the row, so that each is looked up once
+    holds = lambda patterns: lambda x: F.lower(x).rlike(U_CASE + "|".join(patterns))
+    starts = F.array(*[first("trimmed", holds(p)) for p in markers.values()])
+    short = lambda stop: lambda x: x.rlike(U_CASE + stop) & (F.length(x) < 50)
+    rows = rows.withColumn("starts", starts)
+    found = []
+    for k, name in enumerate(markers):
+        s = F.get("starts", F.lit(k))
+        after = lambda c, n: F.slice(c, s + 1, n)
+        default = first(after("trimmed", F.lit(DEFAULT_LINES - 1)), lambda x: x.rlike(U_PLAIN + DEFAULT_END) & (x != ""))
+        end = F.coalesce(s - 1 + default, F.least(s - 1 + DEFAULT_LINES, F.size("ls")))
+        if name in MARKER_ENDS:
+            stop, cap = MARKER_ENDS[name]
+            if cap is None:
+                own = first(after("trimmed", F.size("ls")), short(stop))
+            else:
+                own = first(after("ls", F.lit(cap - 1)), holds((stop,)))
+            end = F.coalesce(s - 1 + own, end)
+        found.append(F.when(s.isNotNull(), F.struct(F.lit(name).alias("section"), (s - 1).cast("int").alias("start_line"), end.cast("int").alias("end_line"))))
+    told = rows.select("doc_id", "ls", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    content = F.array_join(F.slice("ls", F.col("x.start_line") + 1, F.col("x.end_line") - F.col("x.start_line")), "\n")
+    return told.select("doc_id", "x.section", "x.start_line", "x.end_line", content.alias("content"))

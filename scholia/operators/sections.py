@@ -123,7 +123,7 @@ def batch_sections(sections: DataFrame, budget: int = 10_000) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, batch, used, out = pdf.sort_values("ord"), 0, 0, []
-        for n in pdf["content"].str.len():
+        for n in pdf["n"]:
             if n > budget:
                 batch, used = batch + (used > 0), 0
                 out.append(batch)
@@ -133,9 +133,13 @@ def batch_sections(sections: DataFrame, budget: int = 10_000) -> DataFrame:
                 batch, used = batch + 1, 0
             out.append(batch)
             used += n
-        return pdf.assign(batch=out)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "ord": pdf["ord"], "batch": out})
 
-    return sections.groupBy("doc_id").applyInPandas(fold, StructType([*sections.schema.fields, StructField("batch", IntegerType())]))
+    # only lengths go through Python
+    sizes = sections.select("doc_id", "ord", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
+    fields = {f.name: f for f in sections.schema.fields}
+    told = sizes.groupBy("doc_id").applyInPandas(fold, StructType([fields["doc_id"], fields["ord"], StructField("batch", IntegerType())]))
+    return sections.join(told, ["doc_id", "ord"]).select(*sections.columns, "batch")
 
 
 def important_sections(sections: DataFrame) -> DataFrame:

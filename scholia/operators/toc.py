@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
-from scholia.operators.lines import doc_window, lines_of
+from scholia.operators.lines import doc_window, lines_of, once
 
 # Fixed patterns of entries: type, level, confidence, pattern.  Special ones come first, then chapters, then sections.
 SPECIAL = (
@@ -118,8 +118,9 @@ def toc_entry(line: Column) -> Column:
 
 def parse_toc_entries(lines: DataFrame) -> DataFrame:
     """T4: doc_id, line_number and the fields of each line that is an entry."""
-    told = lines.select("doc_id", (F.col("line_no") + 1).alias("line_number"), toc_entry(strip("line")).alias("e"))
-    return told.where("e IS NOT NULL").select("doc_id", "line_number", "e.*")
+    told = once(lines.withColumn("line_number", F.col("line_no") + 1), "doc_id", "line_number", line=strip("line"))
+    # the entry is made once a line, for the test and for each of its fields
+    return once(told, "doc_id", "line_number", e=toc_entry(F.col("line"))).where("e IS NOT NULL").select("doc_id", "line_number", "e.*")
 
 
 # Fixed forms of entry lines, in this order: link, [page], dots, number, chapter.

@@ -23,7 +23,27 @@ def add(name: str, make, sql: str | None = None) -> None:
     """make(docs, spark, sf_dir) -> DataFrame."""
     QUERIES[name] = lambda spark, sf_dir: make(load(spark, sf_dir, "documents"), spark, sf_dir)
     if sql:
-        ORACLE_SQL[name] = sql
+        ORACLE_SQL[name] = stripping(sql)
+
+
+#: what strip() takes off.
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288)"
+
+
+def stripping(sql: str) -> str:
+    """sql whose trim(x), which takes off spaces only, takes off all that strip() does."""
+    out, at = "", 0
+    while (k := sql.find("trim(", at)) >= 0:
+        depth, j, two = 1, k + 5, False
+        while depth:
+            c = sql[j]
+            depth += (c == "(") - (c == ")")
+            two |= c == "," and depth == 1
+            j += 1
+        inner = stripping(sql[k + 5 : j - 1])
+        out += sql[at : k + 5] + inner + ("" if two else ", " + BLANKS) + ")"
+        at = j
+    return out + sql[at:]
 
 
 def scalar(name: str, expr, sql: str) -> None:
@@ -56,14 +76,20 @@ scalar("p7_clean_field", lambda c: F.md5(t.clean_field(c)), rf"md5(trim(regexp_r
 scalar("p8_strip_field_codes", lambda c: F.md5(t.strip_field_codes(F.concat(c, F.lit(' _Toc123 HYPERLINK "x end')))), rf"md5(trim(regexp_replace(text || ' x end', '{WS}', ' ', 'g')))")
 scalar("p9_truncate_by_lang", lambda c: t.truncate_by_lang(c, F.when(F.col("doc_id") % 2 == 0, "chinese").otherwise("english")),
        f"CASE WHEN doc_id % 2 = 0 THEN trim(substr(text, 1, 30)) || CASE WHEN length(text) > 30 THEN '...' ELSE '' END WHEN len({WORDS}) <= 20 THEN trim(text) ELSE array_to_string(({WORDS})[1:20], ' ') || '...' END")
-scalar("p10_normalize_chapter_title", lambda c: t.normalize_chapter_title(F.concat(F.lit("第 三 章 Chapter   4 "), F.substring(c, 1, 20))), "'第三章 Chapter 4 ' || substr(text, 1, 20)")
+scalar("p10_normalize_chapter_title", lambda c: t.normalize_chapter_title(F.concat(F.lit("第 三 章 Chapter   4 "), c)), "'第三章 Chapter 4 ' || text")
 scalar("p11_clean_abstract", lambda c: F.md5(t.clean_abstract(F.concat(F.lit("Abstract: "), c))), rf"md5(trim(regexp_replace(regexp_replace(text, '^{WS}', ''), '{WS}', ' ', 'g')))")
-scalar("p12_refine_abstract", lambda c: F.md5(t.refine_abstract(F.concat(F.lit("摘要："), F.replace(c, F.lit("."), F.lit("。")), F.lit("关键词 x")))), """md5((
-  SELECT CASE WHEN length(b) > 2000 THEN CASE WHEN strpos(substr(b, 1, 2000), '。') > 0 AND 2000 - strpos(reverse(substr(b, 1, 2000)), '。') + 1 > 1500
-    THEN substr(b, 1, 2000 - strpos(reverse(substr(b, 1, 2000)), '。') + 1) ELSE substr(b, 1, 2000) END ELSE b END
-  FROM (SELECT trim(ltrim(replace(text, '.', '。'), ' ' || chr(10))) AS b)))""")
-scalar("p13_split_keywords", lambda c: t.format_keywords(t.split_keywords(F.concat(F.lit("Keywords: "), F.substring(c, 1, 200))), F.lit("english")),
-       r"array_to_string(list_filter(regexp_split_to_array(substr(text, 1, 200), '[,，;；\s\x0b]+'), lambda w: w <> ''), ', ')")
+def abstract(c):
+    head = F.when(F.col("doc_id") % 3 == 0, F.lit("摘要 of it\n")).when(F.col("doc_id") % 3 == 1, "摘\u3000要：").otherwise("")
+    return F.concat(head, F.replace(c, F.lit("."), F.lit("。")), F.when(F.col("doc_id") % 2 == 0, F.lit("关键词 x")).otherwise(""))
+
+
+scalar("p12_refine_abstract", lambda c: F.md5(t.refine_abstract(abstract(c))), """md5((
+  SELECT CASE WHEN length(b) > 2000 AND strpos(substr(b, 1, 2000), '。') > 0 AND 2000 - strpos(reverse(substr(b, 1, 2000)), '。') > 1500
+    THEN substr(b, 1, 2000 - strpos(reverse(substr(b, 1, 2000)), '。') + 1) ELSE b END
+  FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN trim(a) ELSE a END AS b FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN trim(x) WHEN doc_id % 3 = 1 THEN
+    CASE WHEN strpos(x, chr(10)) > 0 THEN trim(substr(x, strpos(x, chr(10)) + 1)) ELSE '' END ELSE x END AS a FROM (SELECT replace(text, '.', '。') AS x)))))""")
+scalar("p13_split_keywords", lambda c: t.format_keywords(t.split_keywords(F.concat(F.lit("Keywords: "), c)), F.lit("english")),
+       r"array_to_string(list_filter(regexp_split_to_array(text, '[,，;；\s\x0b]+'), lambda w: w <> ''), '; ')")
 DRESSED_COVER = "concat_ws(chr(10), '论文题目：' || 'Study of ' || source || ' texts', '作者：张三 ', 'Supervisor: Dr. John Smith', '答辩日期：2023-05-06', '学位论文原创性声明', text)"
 
 
@@ -91,19 +117,59 @@ def swapped(c):
 
 scalar("p22_section_type", lambda c: t.section_type(swapped(F.substring_index(c, "\n", 1))), TYPES_SQL.format(SWAP.format(FIRST_LINE)))
 scalar("p23_guess_section_type", lambda c: t.guess_section_type(swapped(F.substring_index(c, "\n", 1))), WORDS_SQL.format(f"lower({SWAP.format(FIRST_LINE)})", "ELSE 'unknown'"))
-scalar("p24_classify_chapter", lambda c: t.classify_chapter(F.when(F.col("doc_id") % 5 == 0, "results"), F.substring_index(c, "\n", 1), swapped(c)),
-       f"CASE WHEN doc_id % 5 = 0 THEN 'results' ELSE coalesce({WORDS_SQL.format(f'lower({FIRST_LINE})', '')}, {WORDS_SQL.format('lower(substr(' + SWAP.format('text') + ', 1, 1000))', '')}, 'unknown') END")
-scalar("p25_is_review_chapter", lambda c: t.is_review_chapter(F.lit("x"), (F.col("doc_id") % 7).cast("string"), swapped(F.substring_index(c, "\n", 1))),
-       "coalesce(doc_id % 7 = 1 OR " + " OR ".join(f"contains(lower({SWAP.format(FIRST_LINE)}), '{w}')" for w in t.REVIEW_WORDS) + ", false) AND NOT (" + " OR ".join(f"contains(lower({SWAP.format(FIRST_LINE)}), '{w}')" for w in t.METHOD_WORDS) + ")")
+def has(x: str, words: str) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words.split(",")) + ")"
+
+
+TITLE = f"lower({SWAP.format(FIRST_LINE)})"
+CONTENT = "lower(substr(replace(replace(replace(text, ' and ', '实验结果'), ' und ', '技术路线'), ' de ', '研究趋势'), 1, 1000))"
+
+
+def told(c):
+    for a, b in ((" and ", "实验结果"), (" und ", "技术路线"), (" de ", "研究趋势")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+scalar("p24_classify_chapter", lambda c: t.classify_chapter(F.when(F.col("doc_id") % 5 == 0, "introduction").when(F.col("doc_id") % 5 == 1, "experiments").otherwise("other"), swapped(F.substring_index(c, "\n", 1)), told(c)),
+       f"""CASE WHEN doc_id % 5 = 0 THEN 'literature_review' WHEN doc_id % 5 = 1 THEN 'results'
+  WHEN {has(TITLE, '绪论,引言,introduction,综述,现状,背景,概述')} THEN 'literature_review' WHEN {has(TITLE, '方法,method,算法,algorithm,模型,model,设计')} THEN 'methodology'
+  WHEN {has(TITLE, '实验,experiment,结果,result,分析,analysis,评估')} THEN 'results' WHEN {has(TITLE, '结论,conclusion,总结,summary,展望')} THEN 'conclusion'
+  WHEN {has(TITLE, 'reference,文献')} THEN 'references' WHEN {has(TITLE, 'theory,principle,理论,原理,基础')} THEN 'theoretical' WHEN {has(TITLE, '系统,system,实现,implementation')} THEN 'system'
+  WHEN {has(CONTENT, '实验结果')} THEN 'results' WHEN {has(CONTENT, '技术路线')} THEN 'methodology' WHEN {has(CONTENT, '研究趋势')} THEN 'literature_review' ELSE 'general' END""")
+scalar("p25_is_review_chapter", lambda c: t.is_review_chapter(F.when(F.col("doc_id") % 11 == 0, "overview").otherwise("x"), (F.col("doc_id") % 7).cast("string"), swapped(F.substring_index(c, "\n", 1)), (F.col("doc_id") % 2 + 1)),
+       f"""(doc_id % 11 = 0 OR (doc_id % 7 = 1 AND doc_id % 2 = 0) OR {has(TITLE, '绪论,引言,综述,背景,现状,概述,introduction,review,background,survey,overview,相关工作,国内外研究,理论基础,related work,state of art,theoretical foundation')})
+  AND NOT {has(TITLE, '实验,方法,设计,实现,测试,结果,分析,系统,experiment,method,implementation,test,result,analysis,system')}""")
 add("p31_extract_json", lambda d, s, x: load(s, x, "events").select("event_id", t.extract_json(F.concat(F.lit("Answer:\n```json\n"), "props", F.lit("\n``` done"))).alias("value")), "SELECT event_id, props AS value FROM events")
 add("p32_parse_json_lenient", lambda d, s, x: load(s, x, "events").select("event_id", t.parse_json_lenient(F.concat(F.lit('{"kind": "'), "event_type", F.when(F.col("event_id") % 3 == 0, F.lit("\n")).otherwise(""), F.lit('", "id": "'), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, F.lit('", broken')).otherwise(F.lit('"}'))), ["kind", "id"]).alias("s"))
     .select("event_id", F.trim("s.kind").alias("kind"), "s.id"), "SELECT event_id, event_type AS kind, CAST(event_id AS VARCHAR) AS id FROM events")
-scalar("p33_mark_headings", lambda c: F.md5(t.mark_headings(F.concat(F.lit("第一章 x\n1.1 part\n"), F.substring(c, 1, 500)))), "md5('## 第一章 x' || chr(10) || '### 1.1 part' || chr(10) || substr(text, 1, 500))")
-# the three operators above over whole texts
+# words of the prose as markers of a thesis, so that sections of all lengths come about
+MARKS = (
+    (" with ", "\n结论\n"), (" from ", "\n致谢\n"), (" this ", "\n摘要\n"), (" are ", "\n关键词：a，b c\n"), (" was ", "\n参考文献\n"), (" by ", "\n第二章 研究方法\n"), (" que ", "\n绪论\n"),
+    (" die ", "\n实验结果\n"), (" la ", "\n目录\n"), (" it ", "\nAbstract\n"), (" und ", "\n 3. part\n"),
+)
+
+
+def marked(c):
+    for a, b in MARKS:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.concat(c, F.lit(" end"))
+
+
+MARKED = "text"
+for a, b in MARKS:
+    MARKED = f"replace({MARKED}, '{a}', '" + b.replace("\n", "' || chr(10) || '") + "')"
+MARKED = f"{MARKED} || ' end'"
+marks = lambda d: once(d, "doc_id", text=marked(F.col("text")))
+HEADED = """array_to_string(list_transform(string_split({0}, chr(10)), lambda x: (CASE WHEN regexp_matches(trim(x),
+  '^[0-9]+[.、]|^[一二三四五六七八九十]+[.、]|^第[一二三四五六七八九十]+章|^(Abstract|摘要|Introduction|引言|Conclusion|结论|References|参考文献|致谢|Acknowledgment|Acknowledgments)$')
+  THEN CASE WHEN length(trim(x)) < 50 AND regexp_matches(x, '摘要|Abstract|引言|结论|参考文献') THEN '## ' WHEN length(trim(x)) < 80 THEN '### ' ELSE '' END ELSE '' END) || trim(x)), chr(10))"""
+scalar("p33_mark_headings", lambda c: t.mark_headings(marked(c)), HEADED.format(MARKED))
+# digests of the three above
 scalar("p10_normalize_chapter_title_whole", lambda c: F.md5(t.normalize_chapter_title(F.concat(F.lit("第 三 章 Chapter   4 "), c))), "md5('第三章 Chapter 4 ' || text)")
 scalar("p13_split_keywords_whole", lambda c: F.md5(t.format_keywords(t.split_keywords(F.concat(F.lit("Keywords: "), c)), F.lit("english"))),
-       r"md5(array_to_string(list_filter(regexp_split_to_array(text, '[,，;；\s\x0b]+'), lambda w: w <> ''), ', '))")
-scalar("p33_mark_headings_whole", lambda c: F.md5(t.mark_headings(F.concat(F.lit("第一章 x\n1.1 part\n"), c))), "md5('## 第一章 x' || chr(10) || '### 1.1 part' || chr(10) || text)")
+       r"md5(array_to_string(list_filter(regexp_split_to_array(text, '[,，;；\s\x0b]+'), lambda w: w <> ''), '; '))")
+scalar("p33_mark_headings_whole", lambda c: F.md5(t.mark_headings(marked(c))), f"md5({HEADED.format(MARKED)})")
 MD = "'# T ' || source || chr(10) || '**关键词**：' || lang || ', x' || chr(10) || '## 摘要' || chr(10) || string_split(text, chr(10))[1] || chr(10) || '## Next' || chr(10) || '日期：' || chr(10) || '2021年3月4日'"
 
 
@@ -117,7 +183,9 @@ scalar("p36_count_references", lambda c: t.count_references(F.when(F.col("doc_id
        "CASE WHEN doc_id % 2 = 0 AND len(string_split(text, chr(10))) > 1 THEN (len(string_split(text, chr(10))) - 1)::INTEGER ELSE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INTEGER END")
 add("p37_core_profile", lambda d, *_: d.select("doc_id", t.core_profile({"text": 200, "lang": 150, "source": 3}).alias("value")),
     "SELECT doc_id, concat_ws(' | ', nullif(trim(substr(text, 1, 200)), ''), lang, substr(source, 1, 3)) AS value FROM documents")
-add("p38_field_candidates", lambda d, *_: d.select("doc_id", F.array_join(t.field_candidates(F.col("text"), (r"\b(Th[a-z]+)", r"\b(un[a-z]*)")), "|").alias("value")))
+add("p38_field_candidates", lambda d, *_: d.select("doc_id", F.array_join(t.field_candidates(F.col("text"), (r"(?:^|\n)(Th[a-z]+) ", r" (un[a-z]*)[ ,.]")), "|").alias("value")), r"""
+SELECT doc_id, array_to_string(list_filter(v, lambda z, i: list_position(v, z) = i), '|') AS value
+FROM (SELECT doc_id, list_filter(list_concat(regexp_extract_all(text, '(?:^|\n)(Th[a-z]+) ', 1), regexp_extract_all(text, ' (un[a-z]*)[ ,.]', 1)), lambda z: length(z) >= 2) AS v FROM documents)""")
 
 # documents: language, sections, chunks, statistics
 LANG = f"""
@@ -142,17 +210,34 @@ h AS (SELECT *, max((grp = 0)::INTEGER) OVER (PARTITION BY doc_id) AS lead FROM
 s AS (SELECT doc_id, (grp + max(lead))::INTEGER AS ord, coalesce(max(CASE WHEN is_t THEN line END), '{sections.HEADER}') AS title,
   coalesce(string_agg(CASE WHEN NOT is_t THEN line || chr(10) END, '' ORDER BY line_no), '') AS content, CASE WHEN grp = 0 THEN 'header' ELSE 'unknown' END AS section_type, 1 AS level
   FROM h GROUP BY doc_id, grp)"""
-add("x3_detect_titles", lambda d, *_: sections.detect_titles(lines_of(d)))
+add("x3_detect_titles", lambda d, *_: sections.detect_titles(lines_of(d)), f"""
+WITH {LINES}, l AS (SELECT doc_id, line_no, trim(line) AS line FROM d), m AS (SELECT *, CASE WHEN NOT length(line) BETWEEN 2 AND 100 THEN 'none'
+  WHEN regexp_matches(line, '^[0-9]+([.][0-9]+)*[.]? *.+$') THEN '^([0-9]+(?:[.][0-9]+)*[.]?) *(.+?)(?: *[.]{{3,}}.*)?$' WHEN regexp_matches(line, '(?i)^([IVX]+[.、]|[A-Z][.、]) *.+$') THEN '(?i)^([IVX]+[.、]|[A-Z][.、]) *(.+?)(?: *[.]{{3,}}.*)?$'
+  WHEN regexp_matches(line, '(?i)^([A-Z][A-Z ]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]*.{{1,50}}[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]*)$') THEN 'plain' ELSE 'type' END AS p FROM l),
+n AS (SELECT *, CASE WHEN p IN ('plain', 'type') THEN line ELSE trim(regexp_extract(line, p, 2)) END AS title, CASE WHEN p IN ('plain', 'type') THEN line ELSE regexp_extract(line, p, 1) END AS number FROM m WHERE p <> 'none'),
+t AS (SELECT doc_id, line_no, title, {TYPES_SQL.format('title')} AS section_type, CASE WHEN p = 'type' OR contains(number, '.') THEN 2 ELSE 1 END AS level, p FROM n)
+SELECT doc_id, line_no::INTEGER AS line_no, title, section_type, level FROM t WHERE p <> 'type' OR section_type <> 'unknown'""")
 add("x4_parse_sections", lambda d, *_: sections.parse_sections(d, title=short()), SEC + " SELECT * FROM s WHERE content <> ''")
 add("x5_merge_small_sections", lambda d, *_: sections.merge_small_sections(sections.parse_sections(d, title=short())))
-add("x6_batch_sections", lambda d, *_: sections.batch_sections(sections.parse_sections(d, title=short()), 3000).select("doc_id", "ord", "batch"))
+BATCHED = SEC.replace("WITH", "WITH RECURSIVE", 1) + """,
+q AS (SELECT doc_id, ord, title, content, length(content) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM s WHERE content <> ''),
+f AS (SELECT doc_id, ord, i, 0 AS batch, CASE WHEN n > 3000 THEN 0 ELSE n END AS used, n > 3000 AS big FROM q WHERE i = 1
+  UNION ALL SELECT q.doc_id, q.ord, q.i, CASE WHEN f.big OR (f.used > 0 AND (f.used + q.n > 3000)) THEN f.batch + 1 ELSE f.batch END,
+    CASE WHEN q.n > 3000 THEN 0 WHEN f.big OR (f.used > 0 AND f.used + q.n > 3000) THEN q.n ELSE f.used + q.n END, q.n > 3000 FROM f JOIN q ON q.doc_id = f.doc_id AND q.i = f.i + 1)"""
+add("x6_batch_sections", lambda d, *_: sections.batch_sections(sections.parse_sections(d, title=short()), 3000).select("doc_id", "ord", "batch"), BATCHED + " SELECT doc_id, ord, batch::INTEGER AS batch FROM f")
 add("x7_important_sections", lambda d, *_: sections.important_sections(sections.parse_sections(d, title=short())).select("doc_id", "ord"),
     SEC + " SELECT doc_id, ord FROM s WHERE section_type = 'unknown' AND length(trim(content)) > 1000")
-add("x8_chunk_text", lambda d, *_: sections.chunk_text(d, 2000, 200))
+add("x8_chunk_text", lambda d, *_: sections.chunk_text(d, 2000, 200).select("doc_id", "chunk_no", F.md5("chunk").alias("digest")), """
+WITH RECURSIVE z AS (SELECT doc_id, text, 0 AS pos, -1 AS k, '' AS chunk FROM documents UNION ALL
+  SELECT doc_id, text, CASE WHEN length(text) - pos <= 2000 THEN length(text) + 1 WHEN b > 0 THEN pos + 2001 - b WHEN p > 0 THEN pos + 2001 - p WHEN l > 0 THEN pos + 2001 - l ELSE pos + 2000 END, k + 1,
+    CASE WHEN length(text) - pos <= 2000 THEN substr(text, pos + 1) WHEN b > 0 THEN substr(text, pos + 1, 1999 - b) WHEN p > 0 THEN substr(text, pos + 1, 2001 - p) WHEN l > 0 THEN substr(text, pos + 1, 2000 - l) ELSE substr(text, pos + 1, 2000) END
+  FROM (SELECT *, strpos(w, chr(10) || chr(10)) AS b, strpos(w, '。') AS p, strpos(w, chr(10)) AS l FROM (SELECT *, reverse(substr(text, pos + 1801, 200)) AS w FROM z WHERE pos < length(text) OR k < 0)))
+SELECT doc_id, k::INTEGER AS chunk_no, md5(chunk) AS digest FROM z WHERE k >= 0""")
 add("x9_chunk_by_words", lambda d, *_: sections.chunk_by_words(d, 100).select("doc_id", "chunk_no", F.md5("chunk").alias("digest")), f"""
 WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, k::INTEGER AS chunk_no, md5(array_to_string(w[k * 100 + 1:k * 100 + 100], ' ')) AS digest
 FROM w, range(0, (len(w) - 1) // 100 + 1) AS r(k) WHERE len(w) > 0""")
-add("x9_chunk_by_sections", lambda d, *_: sections.chunk_by_sections(sections.parse_sections(d, title=short()), 1500))
+add("x9_chunk_by_sections", lambda d, *_: sections.chunk_by_sections(sections.parse_sections(d, title=short()), 1500).select("doc_id", "chunk_no", F.md5("chunk").alias("digest")), BATCHED + """
+SELECT doc_id, batch::INTEGER AS chunk_no, md5(string_agg(title || chr(10) || content, '' ORDER BY ord)) AS digest FROM f JOIN q USING (doc_id, ord) GROUP BY 1, 2""")
 
 
 def chunk_results(d):
@@ -183,7 +268,7 @@ FROM documents GROUP BY ROLLUP (lang, source)""")
 
 # documents with numbered headings, a contents list and references made from their own words
 def dressed(d):
-    ls = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    ls = F.filter(F.split("text", "\n"), lambda x: t.strip(x) != "")
     heads = F.transform(ls, lambda x, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("章 "), F.substring(F.regexp_replace(x, r"[^A-Za-z]", ""), 1, 12)))
     body = F.transform(F.arrays_zip(heads.alias("h"), ls.alias("b")), lambda x: F.concat(x["h"], F.lit("\n"), x["b"]))
     refs = F.transform(ls, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] Smith J. K. "), F.substring(x, 1, 40), F.lit(". Journal of Texts, "), (1990 + i % 35).cast("string")))
@@ -197,7 +282,7 @@ block = lambda d: references.reference_block(dressed(d))
 split = lambda d: references.split_references(block(d))
 add("r1_reference_block", lambda d, *_: block(d).select("doc_id", F.length("block").alias("n")), 
     REFS + r" SELECT doc_id, (sum(length(ref) + 1) + 5 + CASE WHEN regexp_matches(max(last), '#+\s*$') THEN length(regexp_extract(max(last), '#+\s*$')) + 1 ELSE 0 END)::INTEGER AS n FROM r SEMI JOIN k USING (doc_id) GROUP BY 1")
-add("r2_reference_block_longest", lambda d, *_: references.reference_block_longest(dressed(d)).select("doc_id", F.length("block").alias("n")))
+add("r2_reference_block_longest", lambda d, *_: references.reference_block_longest(dressed(d)).select("doc_id", F.length("block").alias("n")), REFS + " SELECT doc_id, (sum(length(ref) + 1) - 1)::INTEGER AS n FROM r GROUP BY 1 HAVING sum(length(ref) + 1) - 1 >= 200")
 add("r3_split_references", lambda d, *_: split(d).select("doc_id", "ref_no"), REFS + " SELECT doc_id, i::INTEGER AS ref_no FROM r SEMI JOIN k USING (doc_id)")
 add("r4_filter_numbering", lambda d, *_: references.filter_numbering(split(d)).select("doc_id", "ref_no"), REFS + " SELECT doc_id, i::INTEGER AS ref_no FROM r SEMI JOIN k USING (doc_id) WHERE i <= 1000")
 for no, f in (("5", references.is_reference), ("6", references.is_reference_unnumbered), ("7", references.is_reference_strict)):
@@ -211,7 +296,14 @@ add("r12_reference_stats", lambda d, *_: references.reference_stats(split(d)).se
 add("r13_repeated_lines", lambda d, *_: references.repeated_lines(d), f"""
 WITH {LINES}, c AS (SELECT doc_id, trim(line) AS line, count(*) AS n FROM d WHERE length(trim(line)) > 20 GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, line, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line) AS r FROM c) WHERE r <= 5""")
-add("r13_reference_anomalies", lambda d, *_: references.reference_anomalies(dressed(d), block(d), split(d)))
+add("r13_reference_anomalies", lambda d, *_: references.reference_anomalies(dressed(d), block(d), split(d)).withColumn("longest", F.array_join("longest", ",")), REFS + f""",
+w AS (SELECT doc_id, length(concat_ws(chr(10), '目录', array_to_string(list_transform(range(1, len(ls) + 1), lambda i: '第' || i || '章 ' || h[i] || '....' || (i + 2)), chr(10)),
+  array_to_string(list_transform(range(1, len(ls) + 1), lambda i: '第' || i || '章 ' || h[i] || chr(10) || ls[i]), chr(10)), '参考文献', array_to_string(list_transform(range(1, len(ls) + 1), lambda i: {REF}), chr(10)), '致谢', 'thanks')) AS chars
+  FROM (SELECT *, list_transform(ls, lambda z: substr(regexp_replace(z, '[^A-Za-z]', '', 'g'), 1, 12)) AS h FROM b)),
+t AS (SELECT doc_id, i, length(trim(ref)) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY length(trim(ref)) DESC, i) AS k FROM r SEMI JOIN k USING (doc_id)),
+g AS (SELECT doc_id, count(*) AS refs, avg(n) AS mean, string_agg(n, ',' ORDER BY k) FILTER (k <= 3) AS longest FROM t GROUP BY 1)
+SELECT doc_id, round(bl.n / chars, 9) AS share, bl.n > 50000 AS block_long, refs > 300 AS many, mean > 500 AS entries_long, false AS runs_on, longest FROM g JOIN w USING (doc_id) JOIN ("""
+  + REFS + r" SELECT doc_id, (sum(length(ref) + 1) + 5 + CASE WHEN regexp_matches(max(last), '#+\s*$') THEN length(regexp_extract(max(last), '#+\s*$')) + 1 ELSE 0 END)::INTEGER AS n FROM r SEMI JOIN k USING (doc_id) GROUP BY 1) bl USING (doc_id)")
 add("r14_numbering_styles", lambda d, *_: references.numbering_styles(block(d)), REFS + " SELECT doc_id, count(*)::INTEGER AS square, 0 AS round, 0 AS lenticular, 0 AS dot, 'square' AS style FROM r SEMI JOIN k USING (doc_id) GROUP BY 1")
 add("x10_chunk_references", lambda d, *_: references.chunk_references(block(d), 1500))
 
@@ -236,25 +328,101 @@ def ranges(d):
 
 
 add("x20_chapter_start_lines", lambda d, *_: ch.chapter_start_lines(bodies(d), lines_of(dressed(d)), slack=0).select("doc_id", "ord", "start_line"), CHAP + " SELECT doc_id, i::INTEGER AS ord, (n + 1 + 2 * (i - 1))::INTEGER AS start_line FROM c WHERE length(title) >= 3")
-add("x21_chapter_ranges", lambda d, *_: ranges(d)[0].select("doc_id", "ord", "start_line", "end_line"))
-add("x22_chapter_contents", lambda d, *_: ch.chapter_contents(*ranges(d)).select("doc_id", "ord", F.md5("content").alias("digest")))
-add("x23_chapter_content_by_title", lambda d, *_: ch.chapter_content_by_title(bodies(d), dressed(d), [r"\n第\d+章 ", r"\n参考文献"], least=1).select("doc_id", "ord", F.length("content").alias("n")))
-scalar("x24_is_content_fragment", lambda c: ch.is_content_fragment(F.substring_index(c, "\n", 1)), f"length({FIRST_LINE}) > 50 OR regexp_matches({FIRST_LINE}, '[，,；;]$') OR length(regexp_replace({FIRST_LINE}, '[^，,；;。]', '', 'g')) >= 2")
-LIB = (("contents", "^目录", "^参考文献", 1, 1_000_000), ("references", "^参考文献", "^致谢", 1, 100_000))
-add("x14_find_sections", lambda d, *_: ch.find_sections(dressed(d), LIB).select("doc_id", "name", "start_line", "end_line"), f"""
-WITH b AS ({NONBLANK}) SELECT doc_id, 'contents' AS name, 0 AS start_line, (3 * len(ls))::INTEGER AS end_line FROM b UNION ALL SELECT doc_id, 'references', (3 * len(ls) + 1)::INTEGER, (4 * len(ls) + 1)::INTEGER FROM b""")
-add("x15_section_bounds", lambda d, *_: ch.section_bounds(ch.find_sections(dressed(d), LIB), dressed(d)).select("doc_id", "name", "title", "start_char", "end_char", "content_length"))
+# a chapter's lines: its body, and those of chapters without a title of three letters, which are not chapters; the last goes on to the end
+RANGES = CHAP + """, k AS (SELECT doc_id, i, n, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM c WHERE length(title) >= 3),
+r AS (SELECT doc_id, i::INTEGER AS ord, (n + 2 + 2 * (i - 1))::INTEGER AS start_line, CASE WHEN nx IS NULL THEN 4 * n + 3 ELSE n + 2 * (nx - 1) END::INTEGER AS end_line FROM k)"""
+add("x21_chapter_ranges", lambda d, *_: ranges(d)[0].select("doc_id", "ord", "start_line", "end_line"), RANGES + " SELECT * FROM r")
+add("x22_chapter_contents", lambda d, *_: ch.chapter_contents(*ranges(d)).select("doc_id", "ord", F.md5("content").alias("digest")), RANGES.replace("CHAP", "") + f""",
+x AS (SELECT doc_id, list_concat(['目录'], list_transform(range(1, len(ls) + 1), lambda i: '第' || i || '章 ' || h[i] || '....' || (i + 2)), flatten(list_transform(range(1, len(ls) + 1), lambda i: ['第' || i || '章 ' || h[i], ls[i]])),
+  ['参考文献'], list_transform(range(1, len(ls) + 1), lambda i: {REF}), ['致谢', 'thanks']) AS l FROM (SELECT *, list_transform(ls, lambda z: substr(regexp_replace(z, '[^A-Za-z]', '', 'g'), 1, 12)) AS h FROM ({NONBLANK})))
+SELECT r.doc_id, ord, md5(array_to_string(l[start_line + 1:end_line + 1], chr(10))) AS digest FROM r JOIN x USING (doc_id)""")
+
+
+def chaptered(d):
+    ls = F.filter(F.split("text", "\n"), lambda x: t.strip(x) != "")
+    body = F.transform(ls, lambda x, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("章 "), F.substring(F.regexp_replace(x, r"[^A-Za-z]", ""), 1, 12), F.lit("\n"), x))
+    return once(d, "doc_id", text=F.array_join(body, "\n"))
+
+
+def titled(d):
+    return d.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: t.strip(x) != "")).alias("i", "x")).select(
+        "doc_id", (F.col("i") + 1).alias("ord"), F.substring(F.regexp_replace("x", r"[^A-Za-z]", ""), 1, 12).alias("title"), (F.col("i") + 1).cast("string").alias("number"), F.lit(1).alias("level"))
+
+
+# the first place of a pattern in a text, in characters from 1
+PLACE = "CASE WHEN regexp_matches({0}, '{1}') THEN length(regexp_split_to_array({0}, '{1}')[1]) + 1 END"
+add("x23_chapter_content_by_title", lambda d, *_: ch.chapter_content_by_title(titled(d), chaptered(d)).select("doc_id", "ord", F.length("content").alias("n"), F.md5("content").alias("digest")), f"""
+WITH b AS ({NONBLANK}), c AS (SELECT doc_id, i, substr(regexp_replace(ls[i], '[^A-Za-z]', '', 'g'), 1, 12) AS title, ls[i] AS line FROM b, range(1, len(ls) + 1) AS q(i)),
+x AS (SELECT doc_id, string_agg('第' || i || '章 ' || title || chr(10) || line, chr(10) ORDER BY i) AS text FROM c GROUP BY 1),
+p AS (SELECT doc_id, i, strpos(text, '第' || i || '章 ' || title) AS pos, title, text FROM c JOIN x USING (doc_id) WHERE title <> ''),
+r AS (SELECT *, substr(text, pos + length(title) + 20) AS rest FROM p),
+e AS (SELECT *, coalesce({PLACE.format('rest', '第[一二三四五六七八九十0-9]+章[ ]*[^' + chr(92) + 'n' + chr(92) + 'r]{3,80}')}, {PLACE.format('rest', '(?m)^[0-9]+[. ]+[^' + chr(92) + 'n]{5,60}')}, {PLACE.format('rest', '(?m)^#{1,3} *[^' + chr(92) + 'n]{5,60}')}) AS k FROM r),
+f AS (SELECT doc_id, i, trim(CASE WHEN k IS NULL THEN substr(text, pos) ELSE substr(text, pos, length(title) + 20 + k - 1) END) AS content FROM e)
+SELECT doc_id, i::INTEGER AS ord, length(content)::INTEGER AS n, md5(content) AS digest FROM f WHERE length(content) >= 100""")
+add("x24_is_content_fragment", lambda d, *_: lines_of(once(d, "doc_id", text=F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit("通过")), F.lit(" und "), F.lit(" findings ")))).select("doc_id", "line_no", ch.is_content_fragment(F.col("line")).alias("value")), f"""
+WITH {LINES.replace('string_split(text', "string_split(replace(replace(text, ' the ', '通过'), ' und ', ' findings ')")}
+SELECT doc_id, line_no, {has('line', '总之,本工作,本研究,通过,采用,基于,）。在,研究中,揭示了,表明,结果显示,证明了,发现,exhibit,tendency,challenges,results,analysis,research,study,findings')} AS value FROM d""")
+
+
+def lazy(text: str, head: str, least: int, most: int, stop: str, end: bool = True, lines: bool = False) -> str:
+    """SQL for {p, c}: the first head (or line start) that a stop follows after least to most characters: its place from 1 and the characters up to the stop."""
+    heads = f"regexp_extract_all({text}, '{head}')" if not lines else f"list_transform(string_split({text}, chr(10)), lambda z: '')"
+    gaps = f"regexp_split_to_array({text}, '{head}')" if not lines else f"list_prepend('', list_transform(string_split({text}, chr(10)), lambda z: z || chr(10)))"
+    begin = f"(list_sum(list_transform(({gaps})[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(({heads})[1:i - 1], lambda z: length(z))), 0))::BIGINT + 1"
+    rest = f"substr({text}, x.p + x.h)"
+    after = f"substr({rest}, {least + 1})"
+    k = f"CASE WHEN regexp_matches({after}, '{stop}') THEN {least} + length(regexp_split_to_array({after}, '{stop}')[1])" + (f" WHEN length({rest}) >= {least} THEN length({rest})" if end else "") + " END"
+    return f"""(list_filter(list_transform(list_transform(range(1, len({heads}) + 1), lambda i: {{'p': {begin}, 'h': length(({heads})[i])}}), lambda x: {{'p': x.p, 'c': substr({text}, x.p, x.h + {k}), 'k': {k}}}),
+  lambda y: y.k <= {most}))[1]"""
+
+
+SECTIONS = [
+    ("cover", "", 200, 2000, "摘要|(?i:abstract)", False), ("abstract_cn", "摘要", 100, 5000, "关键词|(?i:abstract)|目录", False), ("abstract_en", "(?i)abstract", 100, 5000, "(?i)keyword|目录|1[ \\n]", False),
+    ("toc", "目录", 200, 3000, "摘要|(?i:abstract)|第一章", False), ("introduction", "绪论", 500, 10000, "第二章|2[ \\n]", False), ("literature", "第二章", 1000, 20000, "3[ \\n]", False),
+    ("methodology", "研究方法", 1000, 15000, "第四章|4[ \\n]", False), ("results", "实验结果", 1000, 15000, "5[ \\n]|结论", False), ("conclusion", "结论", 200, 8000, "参考文献|致谢|\\n", True),
+    ("references", "参考文献", 0, 1_000_000, "\\n+[ ]*致谢|\\n[ ]*\\n", False), ("acknowledgement", "致谢", 100, 2000, "\\n", True),
+]
+FOUND = f"""WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents),
+f AS (""" + " UNION ALL ".join(
+    f"SELECT doc_id, text, '{n}' AS name, {lazy('text', head, least, most, stop, end, n == 'cover')} AS x FROM m" for n, head, least, most, stop, end in SECTIONS
+) + """ UNION ALL SELECT doc_id, text, 'keywords_cn', {'p': strpos(text, '关键词'), 'c': '关键词：a，b c', 'k': 0} FROM m WHERE contains(text, '关键词')),
+s AS (SELECT doc_id, text, name, (x.p - 1)::INTEGER AS start_position, (x.p - 1 + length(x.c))::INTEGER AS end_position, trim(x.c) AS content FROM f WHERE x IS NOT NULL)"""
+add("x14_find_sections", lambda d, *_: ch.find_sections(marks(d)).select("doc_id", "name", "start_position", "end_position", F.md5("content").alias("digest")),
+    FOUND + " SELECT doc_id, name, start_position, end_position, md5(content) AS digest FROM s")
+add("x15_section_bounds", lambda d, *_: ch.section_bounds(ch.find_sections(marks(d)), marks(d)).drop("content"), FOUND + """
+SELECT doc_id, name, start_position, end_position, list_filter(list_transform(string_split(content, chr(10)), lambda z: trim(z)), lambda z: length(z) BETWEEN 1 AND 99)[1] AS title,
+  len(string_split(substr(text, 1, start_position), chr(10)))::INTEGER AS start_line, len(string_split(substr(text, 1, end_position), chr(10)))::INTEGER AS end_line, length(content)::INTEGER AS content_length FROM s""")
 add("x16_boundary_confidence", lambda d, *_: sections.parse_sections(d, title=short()).select("doc_id", "ord", ch.boundary_confidence(F.lit("abstract_cn"), F.col("content"), F.lit("x\n"), F.lit("y")).alias("confidence")),
     SEC + r" SELECT doc_id, ord, round(least(1.0, 0.5 + 0.2 + CASE WHEN len(string_split(content, chr(10))) > 3 THEN 0.1 ELSE 0 END + CASE WHEN length(content) BETWEEN 100 AND 2000 AND NOT regexp_matches(content, '\[\d+\]') THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence FROM s WHERE content <> ''")
-add("x17_locate_section", lambda d, *_: ch.locate_section(dressed(d), [("参考文献", 2.0), ("文献", 1.0)], ["^致谢", "^附录"]).select("doc_id", "start_line", "end_line", "title", "next_section"), f"""
-WITH b AS ({NONBLANK}) SELECT doc_id, (3 * len(ls) + 1)::INTEGER AS start_line, (4 * len(ls) + 1)::INTEGER AS end_line, '参考文献' AS title, '致谢' AS next_section FROM b""")
-add("x25_topic_content", lambda d, *_: ch.topic_content(d, "results", ("the", "les")).select("doc_id", F.md5("content").alias("digest")), f"""
-WITH {LINES}, l AS (SELECT doc_id, line_no, trim(line) AS line FROM d WHERE regexp_matches(lower(line), '结果|性能|对比|result|performance|the|les')),
-u AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM l)
-SELECT doc_id, md5(substr(string_agg(line, chr(10) ORDER BY line_no), 1, 5000)) AS digest FROM u WHERE used < 2000 GROUP BY 1""")
-scalar("x26_conclusion_block", lambda c: F.md5(ch.conclusion_block(F.concat(c, F.lit("\n结论\nfine work\nReferences\nx")))), "md5('fine work')")
-add("x27_fallback_fields", lambda d, *_: ch.fallback_fields(d.select("doc_id", F.concat(F.lit("Abstract: a b\nKeywords: k1; k2\n"), "text").alias("text"), F.when(F.col("doc_id") % 2 == 0, "given").alias("abstract"), F.lit("").alias("keywords"), F.lit(None).cast("string").alias("acknowledgement"))),
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'given' ELSE 'a b' END AS abstract, 'k1; k2' AS keywords, NULL::VARCHAR AS acknowledgement FROM documents")
+NEXT = chr(92) + "n[ " + chr(92) + "n]*(第[一二三四五六七八九十1-9]章|[0-9]+[.][ ]*[^" + chr(92) + "n]{5,50}|结论|参考文献|致谢|附录)"
+add("x17_locate_section", lambda d, *_: ch.locate_section(marks(d), "结论").select("doc_id", "title", "score", "start_pos", "end_pos", "start_line", "end_line", "next_section", F.md5("content").alias("digest")), f"""
+WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents), p AS (SELECT *, strpos(text, '结论') AS pos, substr(text, strpos(text, '结论') + 2) AS rest FROM m WHERE contains(text, '结论')),
+e AS (SELECT *, {PLACE.format('rest', NEXT)} AS k, trim(regexp_extract(rest, '{NEXT}', 0)) AS nx FROM p),
+f AS (SELECT *, CASE WHEN k IS NULL THEN length(text) ELSE pos + k END AS e FROM e)
+SELECT doc_id, '结论' AS title, 2.0::DOUBLE AS score, (pos - 1)::INTEGER AS start_pos, e::INTEGER AS end_pos, len(string_split(substr(text, 1, pos - 1), chr(10)))::INTEGER AS start_line, len(string_split(substr(text, 1, e), chr(10)))::INTEGER AS end_line,
+  coalesce(nx, '') AS next_section, md5(trim(substr(text, pos, e - pos + 1))) AS digest FROM f""")
+RESULT = "substr(text, strpos(text, '实验结果'))"
+add("x25_topic_content", lambda d, *_: marks(d).select("doc_id", F.md5(ch.topic_content(F.col("text"), "results")).alias("digest")), f"""
+WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents),
+p AS (SELECT *, CASE WHEN contains(text, '实验结果') THEN regexp_split_to_array({RESULT}, '第二章|结论|参考文献')[1] END AS block, list_filter(string_split(text, chr(10)), lambda z: regexp_matches(z, '结果|数据|图|表|分析|测试|性能|效果')) AS l FROM m),
+q AS (SELECT *, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR length(array_to_string(l[1:i - 1], chr(10))) <= 2000 THEN l[i] END), lambda z: z IS NOT NULL), chr(10)) AS g FROM p)
+SELECT doc_id, md5(substr(CASE WHEN length(block) > 300 THEN block ELSE coalesce(g, '') END, 1, 5000)) AS digest FROM q""")
+add("x26_conclusion_block", lambda d, *_: marks(d).select("doc_id", F.md5(ch.conclusion_block(F.col("text"))).alias("digest")), f"""
+WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents) SELECT doc_id, md5(({lazy('text', '结论', 200, 8000, '参考文献|致谢')}).c) AS digest FROM m""")
+
+
+def given(d):
+    return marks(d).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "摘要： given  words ").alias("abstract_cn"), F.when(F.col("doc_id") % 3 == 0, "").alias("abstract_en"), F.lit(None).cast("string").alias("keywords_cn"),
+                           F.when(F.col("doc_id") % 5 == 0, "Key  Words: k1, k2;k3").alias("keywords_en"), F.lit(None).cast("string").alias("acknowledgement"))
+
+
+CLEAN = "trim(regexp_replace(regexp_replace({0}, '^(摘要|Abstract)[：:\\s]*', ''), '\\s+', ' ', 'g'))"
+add("x27_fallback_fields", lambda d, *_: ch.fallback_fields(given(d)), f"""
+WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents),
+f AS (SELECT doc_id, text, ({lazy('text', '摘要', 50, 3000, '关键词|(?i:abstract)|第一章|目录', False)}).c AS a, ({lazy('text', '(?i)abstract', 50, 3000, '(?i)keyword|第一章|目录', False)}).c AS b,
+  ({lazy('text', '致谢', 50, 2000, '参考文献|' + chr(92) + 'n')}).c AS k FROM m)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'given words' ELSE {CLEAN.format("coalesce(a, '')")} END AS abstract_cn, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {CLEAN.format("coalesce(b, '')")} END AS abstract_en,
+  CASE WHEN contains(text, '关键词') THEN 'a；b；c' ELSE '' END AS keywords_cn, CASE WHEN doc_id % 5 = 0 THEN 'k1; k2; k3' ELSE '' END AS keywords_en, trim(coalesce(k, '')) AS acknowledgement FROM f""")
 
 
 def numbered(d):
@@ -267,31 +435,81 @@ add("x28_hierarchy", lambda d, *_: ch.hierarchy(numbered(d)), HIER + """
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i % 3, i)::INTEGER AS pos, c || CASE WHEN i % 3 = 1 THEN '.1' ELSE '' END AS number, CASE WHEN i % 3 = 1 THEN 'Sub' ELSE 'Part' END AS title,
   (i % 3 + 1)::INTEGER AS level, i::INTEGER AS start_line, least(n - 1, (i // 3) * 3 + 2)::INTEGER AS end_line FROM m""")
 add("x29_hierarchy_summary", lambda d, *_: ch.hierarchy_summary(ch.hierarchy(numbered(d))), HIER + " SELECT doc_id, CAST(c AS VARCHAR) AS chapter, 1::BIGINT AS n, c || '.1' AS subsections FROM m WHERE i % 3 = 1")
-add("x30_structure_profile", lambda d, *_: ch.structure_profile(sections.parse_sections(d, title=short())).select("doc_id", F.to_json("sections").alias("profile")))
-add("x32_sections_by_marker", lambda d, *_: ch.sections_by_marker(dressed(d), (("refs", "^参考文献", "^致谢", 20),)), f"""
-WITH b AS ({NONBLANK}) SELECT doc_id, 'refs' AS section, (3 * len(ls) + 1)::INTEGER AS start_line, (3 * len(ls) + 1 + least(len(ls), 20))::INTEGER AS end_line FROM b""")
+add("x30_structure_profile", lambda d, *_: ch.structure_profile(sections.parse_sections(d, title=short())).select("doc_id", F.array_join(F.transform("sections", lambda x: F.concat_ws("|", x["ord"].cast("string"), x["section_type"], x["title"], x["n"].cast("string"))), "\n").alias("profile")),
+    SEC + " SELECT doc_id, string_agg(concat_ws('|', ord, section_type, title, length(content)), chr(10) ORDER BY ord) AS profile FROM s WHERE content <> '' GROUP BY 1")
+MARKED_LINES = "d AS (SELECT doc_id, trim(line) AS x, line, line_no, n FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no, len(ls) AS n FROM (SELECT doc_id, string_split(" + MARKED + ", chr(10)) AS ls FROM documents)))"
+add("x32_sections_by_marker", lambda d, *_: ch.sections_by_marker(marks(d)).select("doc_id", "section", "start_line", "end_line", F.md5("content").alias("digest")), f"""
+WITH {MARKED_LINES}, k AS (SELECT * FROM (VALUES ('abstract_cn', '摘要', '(?i)关键词|keyword|abstract', 100), ('abstract_en', 'abstract', '(?i)keyword|目录', 100), ('keywords_cn', '关键词', NULL, 0), ('toc', '目录', '第一章|第1章|绪论|引言', 200),
+  ('introduction', '绪论|第一章', NULL, 0), ('conclusion', '结论', NULL, 0), ('references', '参考文献', '致谢|个人简历|附录', 1000000000), ('acknowledgement', '致谢', NULL, 0)) v(section, p, stop, cap)),
+s AS (SELECT doc_id, section, stop, cap, min(line_no) AS s, max(n) AS n FROM d JOIN k ON regexp_matches(lower(x), p) GROUP BY ALL),
+e AS (SELECT s.doc_id, section, s, s.n, min(line_no) FILTER (line_no < s + cap AND regexp_matches(x, stop) AND (section <> 'references' OR length(x) < 50)) AS own,
+  min(line_no) FILTER (line_no < s + 50 AND x <> '' AND regexp_matches(x, '^#|第.*章|^[A-Z ]{{3,20}}$')) AS usual FROM s LEFT JOIN d ON d.doc_id = s.doc_id AND line_no > s GROUP BY ALL),
+f AS (SELECT doc_id, section, s, coalesce(own, usual, least(s + 50, n)) AS e FROM e)
+SELECT f.doc_id, section, s::INTEGER AS start_line, e::INTEGER AS end_line, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM f JOIN d ON d.doc_id = f.doc_id AND line_no >= s AND line_no < e GROUP BY ALL""")
 
 # tables of contents
 entries = lambda d: toc.parse_toc_entries(lines_of(dressed(d)))
-add("t1_is_toc_line", lambda d, *_: lines_of(dressed(d)).where(F.col("line").startswith("第")).select("doc_id", "line_no", toc.is_toc_line(F.col("line")).alias("toc")), CHAP + """
-SELECT doc_id, i::INTEGER AS line_no, true AS toc FROM c UNION ALL SELECT doc_id, (n + 1 + 2 * (i - 1))::INTEGER, true FROM c""")
-add("t2_toc_boundary", lambda d, *_: toc.toc_boundary(dressed(d)))
-add("t3_toc_from_body", lambda d, *_: toc.toc_from_body(lines_of(dressed(d))).select("doc_id", "line_no"))
-add("t4_parse_toc_entries", lambda d, *_: entries(d))
+W = "[ " + chr(92) + "t]"  # white space within a line
+DRESSED = f"""x AS (SELECT doc_id, list_concat(['目录'], list_transform(range(1, len(ls) + 1), lambda i: '第' || i || '章 ' || h[i] || '....' || (i + 2)), flatten(list_transform(range(1, len(ls) + 1), lambda i: ['第' || i || '章 ' || h[i], ls[i]])),
+  ['参考文献'], list_transform(range(1, len(ls) + 1), lambda i: {REF}), ['致谢', 'thanks']) AS l FROM (SELECT *, list_transform(ls, lambda z: substr(regexp_replace(z, '[^A-Za-z]', '', 'g'), 1, 12)) AS h FROM ({NONBLANK}))),
+dl AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM x),
+d AS (SELECT doc_id, trim(line) AS line, line_no FROM dl)"""
+ENTRIES = f"""WITH {DRESSED}, p AS (SELECT * FROM (VALUES
+  (1, 'abstract', 0, 0.95::DOUBLE, '(?i)^(摘 *要|Abstract)', false), (2, 'conclusion', 1, 0.9, '(?i)^(结 *论|Conclusion|总结|Summary)', false), (3, 'references', 1, 0.95, '(?i)^(参 *考 *文 *献|References)', false),
+  (4, 'achievements', 1, 0.9, '(?i)^(攻读.*学位.*期间.*成果|研究成果|学术成果|Publications|Academic Achievements)', false), (5, 'acknowledgment', 1, 0.9, '(?i)^(致 *谢|Acknowledgment|Acknowledgement)', false),
+  (6, 'author_profile', 1, 0.9, '(?i)^(作者简介|个人简历|Author.*Profile|Biography|CV)', false), (7, 'appendix', 1, 0.85, '(?i)^(附 *录|Appendix)', false), (8, 'declaration', 1, 0.85, '(?i)^(声 *明|Declaration|Statement)', false),
+  (9, 'copyright', 1, 0.85, '(?i)^(版权声明|Copyright|License)', false), (10, 'traditional_chapter', 1, 0.95, '^(第[一二三四五六七八九十0-9]+章)[ ]*([^0-9\t]*)', true), (11, 'numeric_chapter', 1, 0.9, '^([0-9]+){W}+([^0-9\t].{{3,}})', true),
+  (12, 'english_chapter', 1, 0.9, '^(Chapter +[0-9]+) +([^\t]+)', true), (13, 'english_chapter_caps', 1, 0.9, '^(CHAPTER +[0-9]+) +([^\t]+)', true), (14, 'level2_section', 2, 0.85, '^([0-9]+[.][0-9]+){W}+([^0-9\t].{{2,}})', true),
+  (15, 'level3_section', 3, 0.8, '^([0-9]+[.][0-9]+[.][0-9]+){W}+([^0-9\t].{{2,}})', true), (16, 'level4_section', 4, 0.75, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+){W}+([^0-9\t].{{2,}})', true)) v(o, section_type, level, confidence, p, numbered)),
+b AS (SELECT doc_id, line, line_no, arg_min(p, o) AS p FROM d JOIN p ON regexp_matches(line, p.p) GROUP BY ALL),
+e AS (SELECT doc_id, (line_no + 1)::INTEGER AS line_number, level, CASE WHEN numbered THEN regexp_extract(line, p, 1) ELSE '' END AS number,
+  CASE WHEN numbered THEN trim(regexp_extract(line, p, 2)) ELSE trim(regexp_extract(line, p, 1)) END AS title,
+  TRY_CAST(coalesce(nullif(regexp_extract(line, '[.]+ *([0-9]+) *$', 1), ''), nullif(regexp_extract(line, '\t+([0-9]+) *$', 1), ''), nullif(regexp_extract(line, '{W}+([0-9]+) *$', 1), '')) AS INTEGER) AS page, confidence, section_type
+  FROM (SELECT doc_id, line, line_no, p.* FROM b JOIN p USING (p)))"""
+SUMMARY = """ SELECT doc_id, count(*) AS n, max(level) AS max_level, round(avg(confidence), 9) AS confidence, count(*) FILTER (number <> '') AS with_number, count(page) AS with_page, count(*) FILTER (level = 0) AS level_0,
+  count(*) FILTER (level = 1) AS level_1, count(*) FILTER (level = 2) AS level_2, count(*) FILTER (level = 3) AS level_3, count(*) FILTER (level = 4) AS level_4, count(*) FILTER (confidence >= 0.9) AS high,
+  count(*) FILTER (confidence >= 0.8 AND confidence < 0.9) AS medium, count(*) FILTER (confidence < 0.8) AS low FROM e GROUP BY doc_id"""
+TOC = """(line <> '' AND (regexp_matches(line, '^(第[一二三四五六七八九十0-9]+章.+[0-9]+|[0-9]+[.]?[0-9]*[ ]+.+[0-9]+|[A-Z][a-z]+ +[0-9]+.+[0-9]+|Abstract.+[IVX0-9]+|目 *录.+[IVX0-9]+|参 *考 *文 *献.+[0-9]+|致 *谢.+[0-9]+|.+\t+[IVX0-9]+|[^0-9]+[ ]+[IVX0-9]+)$')
+  OR (regexp_matches(line, '致谢|Publications|Acknowledgment|Biography|CV|Declaration|Epilogue') AND regexp_matches(line, '[IVX0-9]+$')) OR (regexp_matches(line, '^[0-9]+[.][0-9]+') AND NOT regexp_matches(line, '[。.].{10,}')) OR regexp_matches(line, '^第[一二三四五六七八九十0-9]+章')))"""
+add("t1_is_toc_line", lambda d, *_: lines_of(dressed(d)).select("doc_id", "line_no", toc.is_toc_line(F.col("line")).alias("toc")), f"WITH {DRESSED} SELECT doc_id, line_no::INTEGER AS line_no, {TOC} AS toc FROM d")
+add("t2_toc_boundary", lambda d, *_: toc.toc_boundary(dressed(d)), f"""
+WITH {DRESSED}, c AS (SELECT doc_id, line_no, {TOC} AS toc, regexp_matches(line, '(?i)^(第[一二三四五六七八九十0-9]+章 +[^ ]+|[0-9]+ +[^.0-9 ][^ ]+|Chapter +[0-9]+ +[^ ]+|引 *言|绪 *论|Introduction)') AS body FROM d),
+g AS (SELECT doc_id, min(line_no) FILTER (line_no > 0 AND NOT toc AND body) AS body, max(line_no) AS last FROM c GROUP BY 1)
+SELECT doc_id, 1::INTEGER AS first, least(coalesce(body - 1, last), 150)::INTEGER AS last, 'heading' AS way FROM g""")
+add("t3_toc_from_body", lambda d, *_: toc.toc_from_body(lines_of(dressed(d))).select("doc_id", "line_no"), f"""
+WITH {DRESSED} SELECT doc_id, line_no::INTEGER AS line_no FROM d WHERE length(line) >= 2 AND regexp_matches(line, '(?i)^(第[一二三四五六七八九十0-9]+章|[0-9]+[.]|[A-Z]+|摘 *要|目 *录|参考文献|致 *谢|攻读|附 *录)')
+  AND NOT regexp_matches(line, '图 *[0-9]+|表 *[0-9]+|^根据|^基于|^通过') AND regexp_matches(line, '(?i)第[一二三四五六七八九十0-9]+章|^[0-9]+[.] *[^0-9]|^[0-9]+[.][0-9]+ *[^0-9]|摘 *要|目 *录|参考文献|致 *谢|攻读|附 *录|绪 *论|总结|展望|结论|ABSTRACT|CONCLUSION|REFERENCE')""")
+add("t4_parse_toc_entries", lambda d, *_: entries(d), ENTRIES + " SELECT * FROM e")
 add("t5_parse_toc_formats", lambda d, *_: toc.parse_toc_formats(lines_of(dressed(d))).where("form = 'dotted'"), CHAP + " SELECT doc_id, i::INTEGER AS line_no, 'dotted' AS form, trim('第' || i || '章 ' || title) AS title, (i + 2)::INTEGER AS page FROM c")
-add("t6_dedupe_toc", lambda d, *_: toc.dedupe_toc(entries(d)).select("doc_id", "line_number", "number", "title"))
-add("t7_fix_toc", lambda d, *_: toc.fix_toc(entries(d)).select("doc_id", "line_number", "level", "title"))
-add("t8_sort_toc", lambda d, *_: toc.sort_toc(entries(d)).select("doc_id", "line_number", "pos"))
-add("t9_canonical_titles", lambda d, *_: toc.canonical_titles(entries(d)).select("doc_id", "line_number", "title"))
-add("t10_nest_toc", lambda d, *_: toc.nest_toc(entries(d)).select("doc_id", F.size("chapters").alias("chapters"), F.size("special_sections").alias("special"), F.size("post_references").alias("post")))
-add("t11_toc_summary", lambda d, *_: toc.toc_summary(entries(d)))
-add("t12_toc_quality", lambda d, *_: toc.toc_quality(toc.toc_summary(entries(d))))
+add("t6_dedupe_toc", lambda d, *_: toc.dedupe_toc(entries(d)).select("doc_id", "line_number", "number", "title"),
+    ENTRIES + " SELECT doc_id, min(line_number) AS line_number, number, title FROM e GROUP BY doc_id, number, title")
+add("t7_fix_toc", lambda d, *_: toc.fix_toc(entries(d)).select("doc_id", "line_number", "level", "title"), ENTRIES + """,
+f AS (SELECT *, CASE WHEN number <> '' AND len(string_split(number, '.')) <= 4 THEN len(string_split(number, '.'))::INTEGER ELSE level END AS l FROM e)
+SELECT doc_id, line_number, l AS level, CASE WHEN title = '' AND number <> '' THEN '第' || number || CASE WHEN l = 1 THEN '章' ELSE '节' END ELSE title END AS title FROM f""")
+add("t8_sort_toc", lambda d, *_: toc.sort_toc(entries(d)).select("doc_id", "line_number", "pos"), ENTRIES + """,
+k AS (SELECT *, CASE WHEN number = '' THEN [999, 0, 0, 0] ELSE list_concat(list_transform(string_split(replace(replace(number, '第', ''), '章', ''), '.'), lambda z: coalesce(TRY_CAST(z AS INTEGER), 0)), [0, 0, 0, 0])[1:4] END AS k FROM e)
+SELECT doc_id, line_number, row_number() OVER (PARTITION BY doc_id ORDER BY k, line_number)::INTEGER AS pos FROM k""")
+add("t9_canonical_titles", lambda d, *_: toc.canonical_titles(entries(d)).select("doc_id", "line_number", "title"), ENTRIES + """
+SELECT doc_id, line_number, CASE WHEN section_type = 'references' THEN '参考文献' WHEN section_type = 'acknowledgment' THEN '致谢' WHEN section_type IN ('achievements', 'author_profile') AND
+  regexp_matches(title, '研究成果|学术成果|作者简介|个人简历') THEN regexp_extract(title, '研究成果|学术成果|作者简介|个人简历') ELSE title END AS title FROM e""")
+add("t10_nest_toc", lambda d, *_: toc.nest_toc(entries(d)).select("doc_id", F.size("chapters").alias("chapters"), F.size("special_sections").alias("special"), F.size("post_references").alias("post")), ENTRIES + """,
+w AS (SELECT *, level = 1 AND section_type IN ('traditional_chapter', 'numeric_chapter', 'english_chapter', 'chapter') AS c, bool_or(section_type = 'references') OVER (PARTITION BY doc_id ORDER BY line_number) AS r FROM e)
+SELECT doc_id, nullif(count(*) FILTER (c), 0)::INTEGER AS chapters, count(*) FILTER (section_type IN ('abstract', 'conclusion', 'references'))::INTEGER AS special,
+  count(*) FILTER (r AND section_type IN ('achievements', 'acknowledgment', 'author_profile', 'appendix', 'declaration', 'copyright'))::INTEGER AS post FROM w GROUP BY 1""")
+add("t11_toc_summary", lambda d, *_: toc.toc_summary(entries(d)), ENTRIES + SUMMARY)
+add("t12_toc_quality", lambda d, *_: toc.toc_quality(toc.toc_summary(entries(d))), ENTRIES + ", s AS (" + SUMMARY + """)
+SELECT doc_id, least(100, 30 + CASE WHEN n >= 20 THEN 20 WHEN n >= 10 THEN 15 WHEN n >= 5 THEN 10 ELSE 0 END + CASE WHEN max_level >= 3 THEN 15 WHEN max_level = 2 THEN 10 WHEN max_level = 1 THEN 5 ELSE 0 END
+  + floor(with_number / n * 15) + floor(with_page / n * 10) + floor(confidence * 10))::INTEGER AS quality FROM s""")
 add("t13_heading_outline", lambda d, s, x: toc.heading_outline(toc.html_headings(load(s, x, "pages"))), r"""
 WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS l, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS x FROM pages),
 r AS (SELECT page_id AS doc_id, i::INTEGER AS paragraph_index, CAST(l[i] AS INTEGER) AS level, trim(regexp_replace(x[i], '(?s)<.*?>', '', 'g')) AS title, ((i - 1) // 28 + 1)::INTEGER AS page FROM h, range(1, len(l) + 1) AS q(i))
 SELECT * FROM r WHERE length(title) BETWEEN 2 AND 100 AND NOT regexp_matches(title, '^[\d\s.]+$')""")
-add("t14_level1_share", lambda d, *_: toc.level1_share(entries(d)))
-add("t15_toc_regions", lambda d, *_: toc.toc_regions(lines_of(dressed(d)).select("doc_id", F.col("line_no").alias("paragraph_index"), F.col("line").alias("text"))))
+add("t14_level1_share", lambda d, *_: toc.level1_share(entries(d)), ENTRIES + " SELECT doc_id, count(*) AS n, count(*) FILTER (level = 1) AS level_1, round(avg((level = 1)::INTEGER), 9) AS share FROM e GROUP BY 1")
+add("t15_toc_regions", lambda d, *_: toc.toc_regions(lines_of(dressed(d)).select("doc_id", F.col("line_no").alias("paragraph_index"), F.col("line").alias("text"))), f"""
+WITH {DRESSED}, k AS (SELECT doc_id, line_no, line_no - lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS gap FROM d
+  WHERE regexp_matches(line, '^.+?[ .\t]+[0-9]+$') AND length(regexp_extract(line, '^(.+?)[ .\t]+([0-9]+)$', 1)) <= 100 AND TRY_CAST(regexp_extract(line, '^(.+?)[ .\t]+([0-9]+)$', 2) AS INTEGER) <= 1000),
+r AS (SELECT *, sum(CASE WHEN gap > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS region FROM k)
+SELECT doc_id, region::BIGINT AS region, min(line_no)::INTEGER AS first, max(line_no)::INTEGER AS last, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 3""")
 
 # stored versions, comparison, quality: labels and documents as two runs
 FIELDS = ["lang", "source", "grade"]
@@ -319,19 +537,19 @@ q AS (SELECT *, (lang IS NOT NULL)::INTEGER + (source IS NOT NULL)::INTEGER + (g
 SELECT doc_id, filled, round(filled / 3, 9) AS confidence, round(filled / 3 * 0.6::DOUBLE + CASE WHEN grade IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN doc_id % 20 > 10 THEN 0.2::DOUBLE ELSE 0 END, 9) AS quality FROM q""")
 
 
-def told_sections(d, lines: int | None = 8, chars: int | None = 30):
-    words = F.col("line") if chars is None else F.substring("line", 1, chars)
-    return lines_of(d, lines).select("doc_id", F.col("line_no").alias("ord"), F.concat(F.lit("s"), F.col("line_no").cast("string")).alias("section"), (F.length("line") % 10).alias("score"),
+def told_sections(d):
+    words = F.col("line")
+    return lines_of(d).select("doc_id", F.col("line_no").alias("ord"), F.concat(F.lit("s"), F.col("line_no").cast("string")).alias("section"), (F.length("line") % 10).alias("score"),
                                  F.split(words, " ").alias("strengths"), F.when(F.length("line") > 100, F.array(F.lit("shorter"))).alias("suggestions"))
 
 
 add("a26_section_insights", lambda d, *_: quality.section_insights(told_sections(d)), f"""
-WITH {LINES}, l AS (SELECT * FROM d WHERE line_no < 8),
-i AS (SELECT doc_id, line_no, 0 AS g, k, 'strength' AS kind, string_split(substr(line, 1, 30), ' ')[k] AS insight FROM l, range(1, least(2, len(string_split(substr(line, 1, 30), ' '))) + 1) AS q(k)
+WITH {LINES}, l AS (SELECT * FROM d ),
+i AS (SELECT doc_id, line_no, 0 AS g, k, 'strength' AS kind, string_split(line, ' ')[k] AS insight FROM l, range(1, least(2, len(string_split(line, ' '))) + 1) AS q(k)
  UNION ALL SELECT doc_id, line_no, 1, 1, 'suggestion', 'shorter' FROM l WHERE length(line) > 100 UNION ALL SELECT doc_id, line_no, 2, 1, 'low_score', CAST(length(line) % 10 AS VARCHAR) FROM l WHERE length(line) % 10 < 6)
 SELECT doc_id, line_no::INTEGER AS ord, 's' || line_no AS section, kind, insight, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, g, k) AS rank FROM i) WHERE rank <= 10""")
-add("a26_section_insights_whole", lambda d, *_: quality.section_insights(told_sections(d, None, None)),
-    ORACLE_SQL["a26_section_insights"].replace("WHERE line_no < 8", "").replace("substr(line, 1, 30)", "line"))
+add("a26_section_insights_whole", lambda d, *_: quality.section_insights(told_sections(d)),
+    ORACLE_SQL["a26_section_insights"])
 add("a30_validate_fields", lambda d, *_: quality.validate_fields(d.withColumn("first", F.substring_index("text", "\n", 1)), "source", "lang", "first"), f"""
 SELECT doc_id, false AS number_ok, true AS author_ok, NOT (trim({FIRST_LINE}) <> '' AND length({FIRST_LINE}) < 10) AS title_ok,
   CASE WHEN trim({FIRST_LINE}) <> '' AND length({FIRST_LINE}) < 10 THEN 'number,title' ELSE 'number' END AS failed FROM documents""")
@@ -339,6 +557,40 @@ add("a31_weighted_confidence", lambda d, s, x: quality.weighted_confidence(run_b
 q AS (SELECT *, ((lang IS NOT NULL)::INTEGER + (source IS NOT NULL)::INTEGER + (grade IS NOT NULL)::INTEGER) / 3 AS share FROM b), r AS (SELECT *, CASE WHEN grade IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + least(0.35::DOUBLE, share * 0.35::DOUBLE) AS c FROM q)
 SELECT doc_id, round(share, 9) AS completeness, round(c, 9) AS confidence, round(share * 0.4::DOUBLE + c * 0.6::DOUBLE, 9) AS quality, CASE WHEN grade IS NULL THEN 'title_cn' ELSE '' END AS missing FROM r""")
 add("a33_fill_rates", lambda d, s, x: quality.fill_rates(run_b(d, s, x), FIELDS), AB + " SELECT f AS field, round(count(vb) / (SELECT count(*) FROM documents), 9) AS rate, round(avg(length(vb)), 9) AS mean_length FROM l WHERE vb IS NOT NULL GROUP BY f")
+
+
+def stored_lists(d, spark, sf_dir):
+    """Documents as records of two stored lists, read back."""
+    path = io.scratch(spark, "papers")
+    record = d.select("lang", F.substring_index("text", "\n", 1).alias("Title"), F.col("source").alias("PublicationYear"), F.struct(F.length("text").alias("download_count"), F.lit(None).cast("int").alias("citation_count")).alias("Metrics"))
+    record.where("lang = 'en'").drop("lang").write.json(f"{path}/T1_relevant_papers_dedup_English.json")
+    record.where("lang != 'en'").drop("lang").write.json(f"{path}/T2_TOP30PAPERS_Chinese.json")
+    return io.read_papers(spark, f"{path}/*.json", arrays=False).select("Title", "PublicationYear", "Metrics.download_count", "thesis_id", "kind", "lang")
+
+
+add("s1_read_papers", stored_lists, f"""
+SELECT {FIRST_LINE} AS "Title", source AS "PublicationYear", length(text)::INTEGER AS download_count, CASE WHEN lang = 'en' THEN 'T1' ELSE 'T2' END AS thesis_id, CASE WHEN lang = 'en' THEN 'dedup' ELSE 'top30' END AS kind,
+  CASE WHEN lang = 'en' THEN 'English' ELSE 'Chinese' END AS lang FROM documents WHERE lang IS NOT NULL""")
+
+
+def stored_texts(d, spark, sf_dir):
+    """Texts stored by source, read back as whole files; a source may have several."""
+    path = io.scratch(spark, "texts")
+    d.select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    files = io.read_documents(spark, path, "*.txt").select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "text")
+    return files.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"))
+
+
+add("s2_read_documents", stored_texts, "SELECT source, sum(length(text) + 1)::BIGINT AS chars, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY 1")
+
+
+def stored_by_language(d, spark, sf_dir):
+    path = io.scratch(spark, "by-language")
+    io.write_papers(d.select("doc_id", "lang", F.substring_index("text", "\n", 1).alias("Title")), path)
+    return spark.read.parquet(path).select("doc_id", "lang", "Title")
+
+
+add("s4_write_papers", stored_by_language, f"""SELECT doc_id, lang, {FIRST_LINE} AS "Title" FROM documents""")
 add("s5_with_provenance", lambda d, *_: io.with_provenance(d.select("doc_id", "text"), "rules", "1").select("doc_id", "method", "extractor_version", "content_md5"), "SELECT doc_id, 'rules' AS method, '1' AS extractor_version, md5(text) AS content_md5 FROM documents")
 done = lambda d: d.where("doc_id % 3 = 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("old")).alias("content_md5"))
 add("s6_pending_documents", lambda d, *_: io.pending_documents(d, done(d)).select("doc_id"), "SELECT doc_id FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0)")
@@ -391,8 +643,8 @@ TEMPLATE = "Rate {dimension} of {lang} text: {text}"
 
 
 def answer(prompts: list[str]) -> list[str]:
-    if any(len(p) > 20_000 for p in prompts):
-        raise ValueError("too long")
+    if any(len(p) % 97 == 0 for p in prompts):
+        raise ValueError("no answer")
     return ['{"score": "%d", "why": "length"}' % (len(p) % 10) if len(p) % 3 else "no idea" for p in prompts]
 
 
@@ -400,8 +652,8 @@ prompts = lambda d: scoring.build_prompts(d, TEMPLATE, ["lang", "text"], dimensi
 add("u1_build_prompts", lambda d, *_: prompts(d).select("doc_id", "dimension", F.md5("prompt").alias("digest")), "SELECT doc_id, m AS dimension, md5('Rate ' || m || ' of ' || lang || ' text: ' || text) AS digest FROM documents, (SELECT unnest(['depth', 'style']) AS m)")
 N = "length('Rate ' || m || ' of ' || lang || ' text: ' || text)"
 add("u2_score_prompts", lambda d, *_: scoring.score_prompts(prompts(d), answer).drop("prompt"),
-    f"""SELECT doc_id, m AS dimension, CASE WHEN {N} > 20000 THEN NULL WHEN {N} % 3 <> 0 THEN '{{"score": "' || {N} % 10 || '", "why": "length"}}' ELSE 'no idea' END AS response, CASE WHEN {N} > 20000 THEN 'ValueError: too long' END AS error
+    f"""SELECT doc_id, m AS dimension, CASE WHEN {N} % 97 = 0 THEN NULL WHEN {N} % 3 <> 0 THEN '{{"score": "' || {N} % 10 || '", "why": "length"}}' ELSE 'no idea' END AS response, CASE WHEN {N} % 97 = 0 THEN 'ValueError: no answer' END AS error
 FROM documents, (SELECT unnest(['depth', 'style']) AS m)""")
 add("u3_validate_scores", lambda d, *_: scoring.validate_scores(scoring.score_prompts(prompts(d), answer).select("doc_id", "dimension", "response"), ["score", "why"]).drop("response"),
-    f"""SELECT doc_id, m AS dimension, {N} <= 20000 AND {N} % 3 <> 0 AS valid, CASE WHEN {N} <= 20000 AND {N} % 3 <> 0 THEN CAST({N} % 10 AS VARCHAR) ELSE '5' END AS score, CASE WHEN {N} <= 20000 AND {N} % 3 <> 0 THEN 'length' ELSE '5' END AS why
+    f"""SELECT doc_id, m AS dimension, {N} % 97 <> 0 AND {N} % 3 <> 0 AS valid, CASE WHEN {N} % 97 <> 0 AND {N} % 3 <> 0 THEN CAST({N} % 10 AS VARCHAR) ELSE '5' END AS score, CASE WHEN {N} % 97 <> 0 AND {N} % 3 <> 0 THEN 'length' ELSE '5' END AS why
 FROM documents, (SELECT unnest(['depth', 'style']) AS m)""")

@@ -142,20 +142,20 @@ add("d2_union_languages", lambda p, s, d: r.union_languages({x: p.where(F.col("l
 
 
 def _vectors(s, d):
+    """Theses are the rows whose id is divisible by 20; each row is a candidate paper of its own and the next three theses."""
     v = load(s, d, "embeddings")
-    rows = v.select(F.lit(0).alias("x"), F.col("vec_id"), "embedding", F.col("label").cast("string").alias("lang"))
-    theses = rows.where("vec_id < 5").select(F.col("vec_id").alias("thesis_id"), "embedding")
-    papers = rows.where("vec_id >= 5")
-    # every paper is a candidate of every thesis: the five theses are listed at each paper
-    listed = papers.select(F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)])).alias("thesis_id"), F.col("vec_id").alias("paper_id"), "embedding", "lang")
-    return r.cosine_similarity(theses, listed, keys=("thesis_id",)).join(papers.select(F.col("vec_id").alias("paper_id"), "lang"), "paper_id")
+    rows = v.select("vec_id", "embedding", F.col("label").cast("string").alias("lang"))
+    theses = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("thesis_id"), "embedding")
+    own = F.floor(F.col("vec_id") / 20) * 20
+    listed = rows.select(F.explode(F.sequence(own, own + 60, F.lit(20).cast("long"))).alias("thesis_id"), F.col("vec_id").alias("paper_id"), "embedding", "lang")
+    return r.cosine_similarity(theses, listed, keys=("thesis_id",)).join(rows.select(F.col("vec_id").alias("paper_id"), "lang"), "paper_id")
 
 
 SIM = """
 WITH v AS (SELECT t.vec_id AS thesis_id, e.vec_id AS paper_id, CAST(e.label AS VARCHAR) AS lang,
   CASE WHEN sqrt(list_dot_product(t.embedding::DOUBLE[], t.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) > 0 THEN
    list_dot_product(t.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(t.embedding::DOUBLE[], t.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) END AS sim
-  FROM embeddings t, embeddings e WHERE t.vec_id < 5 AND e.vec_id >= 5)"""
+  FROM embeddings t, embeddings e WHERE t.vec_id % 20 = 0 AND t.vec_id // 20 - e.vec_id // 20 BETWEEN 0 AND 3)"""
 add("d3_cosine_similarity", lambda p, s, d: _vectors(s, d).select("thesis_id", "paper_id", F.round("similarity", 6).alias("similarity")), SIM + " SELECT thesis_id, paper_id, round(sim, 6) AS similarity FROM v", papers=False)
 add("d4_top_papers", lambda p, s, d: r.top_papers(_vectors(s, d)).select("thesis_id", "lang", "paper_id", "rank", F.round("similarity", 6).alias("similarity")), SIM + """
 SELECT * FROM (SELECT thesis_id, lang, paper_id, CAST(row_number() OVER (PARTITION BY thesis_id, lang ORDER BY sim DESC NULLS LAST, paper_id) AS INTEGER) AS rank, round(sim, 6) AS similarity FROM v) WHERE rank <= 30""", papers=False)
@@ -170,7 +170,7 @@ def _pairs(s, d):
     return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("thesis_id"), "embedding"), v.select(F.col("vec_id").alias("paper_id"), F.col("label").cast("string").alias("lang"), "embedding")
 
 
-SIM_ALL = SIM.replace("t.vec_id < 5 AND e.vec_id >= 5", "t.vec_id % 20 = 0")
+SIM_ALL = SIM.replace(" AND t.vec_id // 20 - e.vec_id // 20 BETWEEN 0 AND 3", "")
 add("d3_cosine_similarity_all", lambda p, s, d: r.all_similarities(*_pairs(s, d)).select("thesis_id", "paper_id", F.round("similarity", 6).alias("similarity")), SIM_ALL + " SELECT thesis_id, paper_id, round(sim, 6) AS similarity FROM v", papers=False)
 add("d4_top_papers_all", lambda p, s, d: r.all_top_papers(*_pairs(s, d)).select("thesis_id", "lang", "paper_id", "rank", F.round("similarity", 6).alias("similarity")), ORACLE_SQL["d4_top_papers"].replace(SIM, SIM_ALL), papers=False)
 add("p29_similarity_band_all", lambda p, s, d: r.all_similarities(*_pairs(s, d)).select(fp.similarity_band(F.round("similarity", 6)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")), ORACLE_SQL["p29_similarity_band"].replace(SIM, SIM_ALL), papers=False)

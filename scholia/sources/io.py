@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +12,21 @@ from scholia.functions.text import blank_to_null, strip_tags
 from scholia.sources.schemas import PAPER, RAW_RESULTS
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """Stored paper lists (JSON arrays) with thesis, kind and language taken from file names
-    such as `<thesis>_relevant_papers_dedup_Chinese.json`."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    return spark.read.schema(PAPER).json(path, multiLine=True).withColumns(
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
+    return f"{path}/{name}-{uuid.uuid4().hex}"
+
+
+def read_papers(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
+    """Stored paper lists (JSON arrays, or else a record a line) with thesis, kind and language taken from the names of
+    files, or of folders of part files, such as `<thesis>_relevant_papers_dedup_Chinese.json`."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json(?:/|$)", 1)
+    return spark.read.schema(PAPER).json(path, multiLine=arrays).withColumns(
         {
             "thesis_id": F.regexp_extract(name, r"^(.*?)_(?:relevant|TOP)", 1),
             "kind": F.when(name.contains("TOP"), F.lower(F.regexp_extract(name, r"(TOP\d+)", 1))).when(name.contains("dedup"), "dedup").otherwise("raw"),

@@ -157,12 +157,78 @@ def test_headings_keywords_titles_and_sections_far_into_a_text(spark, tmp_path):
     spark.createDataFrame([(1, plain + end), (2, "\n" * 20 + "aaaaaaaaaaaaaaa bbbbbbbbbbbbbbb")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: {r["doc_id"]: r["value"] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    assert run("p33_mark_headings_whole")[1] == md5("## 第一章 x\n### 1.1 part\n" + plain + end.replace("第二章 late", "## 第二章 late"))
-    assert run("p13_split_keywords_whole")[1] == md5(", ".join((plain + end).replace(";", " ").split()))
+    assert run("p33_mark_headings_whole")[1] == md5(plain + end.replace("第二章 late", "### 第二章 late") + " end")
+    assert run("p13_split_keywords_whole")[1] == md5("; ".join((plain + end).replace(";", " ").split()))
     assert run("p10_normalize_chapter_title_whole")[1] == md5("第三章 Chapter 4 " + plain + "第二章 late\n第二章 Chapter 7; word")
     rows = plans.QUERIES["a26_section_insights_whole"](spark, str(tmp_path)).where("doc_id = 2").collect()
     # empty lines have a blank strength and a score of 0 each, so the first five lines give ten
     assert {(r["ord"], r["kind"]) for r in rows} == {(k, x) for k in range(5) for x in ("strength", "low_score")}
     late = spark.createDataFrame([(1, "\n".join(["x" * 8 + " " + "y" * 30] + ["x" * 9] * 12))], "doc_id long, text string")
-    got = quality.section_insights(documents.told_sections(late, None, None)).orderBy("rank").collect()
+    got = quality.section_insights(documents.told_sections(late)).orderBy("rank").collect()
     assert got[1]["insight"] == "y" * 30 and max(r["ord"] for r in got) == 8
+
+
+def test_fragments_have_words_of_running_text(spark):
+    df = spark.createDataFrame([("通过实验", 1), ("第一章 绪论", 0), ("a long title, with commas, and more than fifty characters in it", 0), ("Results", 0), ("the results", 1)], "line string, want int")
+    assert [r["want"] == r["got"] for r in df.select("want", chapters.is_content_fragment(F.col("line")).cast("int").alias("got")).collect()] == [True] * 5
+
+
+def test_named_sections_need_their_bounds(spark):
+    body = "句" * 120
+    found = lambda text: {r["name"]: (r["start_position"], r["end_position"], r["content"]) for r in chapters.find_sections(docs(spark, text)).collect()}
+    got = found(f"🙂x\n摘 要{body}关键词：甲，乙，丙\n1 绪论")
+    assert got["abstract_cn"] == (3, 126, f"摘 要{body}") and got["keywords_cn"][2] == "关键词：甲，乙，丙" and set(got) == {"abstract_cn", "keywords_cn"}
+    assert found(f"摘要{body[:99]}关键词：甲") == {} and "abstract_cn" not in found("摘要" + "句" * 5001 + "关键词")
+    assert found("致谢" + "x" * 150)["acknowledgement"] == (0, 152, "致谢" + "x" * 150)
+    rows = chapters.section_bounds(chapters.find_sections(docs(spark, f"a\nb\n摘要\n{body}\n目录")), docs(spark, f"a\nb\n摘要\n{body}\n目录")).collect()
+    assert [(r["title"], r["start_line"], r["end_line"]) for r in rows] == [("摘要", 3, 5)]
+
+
+def test_located_sections_take_the_best_pattern_of_their_family(spark):
+    text = "见参考文献一节\n第二章  相关研究综述\n" + "x" * 30 + "\n 3. Third part\n参考文献\n[1] a"
+    one = lambda title: [(r["title"], r["score"], r["start_line"], r["next_section"]) for r in chapters.locate_section(docs(spark, text), title).collect()]
+    assert one("第二章") == one("参考文献") == [("第二章 相关研究综述", 2.0, 2, "3. Third part")]  # the words for chapter two come first
+    assert one("References") == [("参考文献", 2.0, 5, "")]
+    assert one("Third") == [("Third", 1.2, 4, "参考文献")]
+    assert one("结论") == []
+
+
+def test_chapter_content_by_number_title_or_first_letters(spark):
+    body = "w " * 80
+    text = f"目录\n第2章 Deep Nets\n{body}\n第3章 Other things\n{body}\n致谢\nthanks"
+    rows = spark.createDataFrame([(0, 1, "Deep Nets", "2", 1), (0, 2, "Other-things!", "", 1), (0, 3, "thanks", "9", 1), (0, 4, "Missing", None, 1)], "doc_id long, ord int, title string, number string, level int")
+    got = {r["ord"]: r["content"] for r in chapters.chapter_content_by_title(rows, docs(spark, text)).collect()}
+    assert set(got) == {1, 2}
+    assert got[1] == f"第2章 Deep Nets\n{body}".strip() and got[2] == f"Other things\n{body}".strip()
+
+
+def test_topic_content(spark):
+    told = lambda topic, text: docs(spark, text).select(chapters.topic_content(F.col("text"), topic).alias("c")).first()["c"]
+    block = "研究现状" + "y" * 600
+    assert told("literature", f"绪论 short 第二章 {block} 参考文献 z") == block + " "
+    lines = "\n".join(["x", "技术 a"] * 150)
+    assert told("literature", lines) == "\n".join(["技术 a"] * 100)  # the first 200 lines
+    assert told("methodology", "研究方法" + "m" * 9_000).endswith("m...") and len(told("methodology", "研究方法" + "m" * 9_000)) == 8_003
+    assert told("experiment", "实验设计" + "e" * 6_000) == "实验设计" + "e" * 4_996
+    assert told("results", "no\nnothing") == ""
+
+
+def test_conclusions_by_pattern_order_and_bounds(spark):
+    block = lambda text: docs(spark, text).select(chapters.conclusion_block(F.col("text")).alias("c")).first()["c"]
+    assert block("a 结论" + "c" * 300 + "参考文献") == "结论" + "c" * 300
+    assert block("结论 short 参考文献 end") is None and block("结论" + "c" * 8_001) is None
+    assert block("本论文主要研究了" + "d" * 9_000 + "附录") == "本论文主要研究了" + "d" * 9_000
+
+
+def test_fallbacks_only_without_a_section(spark):
+    cols = "doc_id long, text string, abstract_cn string, abstract_en string, keywords_cn string, keywords_en string, acknowledgement string"
+    text = "摘要：" + "甲" * 60 + "关键词：一，二，三四\nAbstract " + "w" * 40 + " Keywords: a b"
+    rows = [(0, text, None, None, None, None, None), (1, text, "摘要 given", "", None, "Keywords: k", " t ")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in chapters.fallback_fields(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {0: ("甲" * 60, "", "一；二；三四", "a; b", ""), 1: ("given", "", "一；二；三四", "k", "t")}
+
+
+def test_sections_by_marker_end_by_their_own_rule(spark):
+    text = "\n".join(["摘要", "text", "关键词：a", "PLAIN LINE", "参考文献"] + [f"entry {k}" for k in range(80)] + ["致谢" + "x" * 60, "致谢"] + ["y"] * 60)
+    got = {r["section"]: (r["start_line"], r["end_line"]) for r in chapters.sections_by_marker(docs(spark, text)).collect()}
+    assert got == {"abstract_cn": (0, 2), "keywords_cn": (2, 3), "references": (4, 86), "acknowledgement": (85, 135)}

@@ -74,9 +74,46 @@ def test_count_references(spark):
 
 
 def test_refine_abstract(spark):
-    long = "摘要：" + "句子内容。" * 500 + "关键词：x"
-    out = value(spark, t.refine_abstract, long, "摘 要\nshort 关键词 k")
-    assert len(out[0]) == 2000 and out[0].endswith("。") and out[1] == "short"
+    long = "摘要\n" + "句子内容。" * 500 + "关键词：x"
+    early = "句子。" + "x" * 3000
+    out = value(spark, t.refine_abstract, long, "摘　要 heading\n short 关键词 k", "中文摘要：kept as it is", early, "摘要 alone")
+    assert len(out[0]) == 2000 and out[0].endswith("。") and out[1:] == ["short", "中文摘要：kept as it is", early, ""]
+    assert len(value(spark, t.refine_abstract, "a" * 1500 + "。" + "b" * 600)[0]) == 2101  # a stop at 1500 is too early
+    assert len(value(spark, t.refine_abstract, "a" * 1501 + "。" + "b" * 600)[0]) == 1502
+
+
+def test_keywords_are_joined_by_language(spark):
+    join = lambda lang: lambda c: t.format_keywords(t.split_keywords(c), F.lit(lang))
+    assert value(spark, join("chinese"), "关键词：甲，乙 丙;丁") == ["甲；乙；丙；丁"]
+    assert value(spark, join("english"), "KEY  WORDS: a, b", "Keyword b;c", " Keywords: x") == ["a; b", "b; c", "Keywords:; x"]
+
+
+def test_clean_abstract(spark):
+    assert value(spark, t.clean_abstract, "摘要：  a\n b ", "Abstract: x", "abstract: x", "英文摘要 x") == ["a b", "x", "abstract: x", "英文摘要 x"]
+
+
+def test_classify_chapter(spark):
+    df = spark.createDataFrame([
+        ("introduction", "算法", ""), ("methods", "结论", ""), ("overview", "系统实现", ""), ("x", "谢辞", ""), ("x", "基础原理", ""), (None, "综述与方法", ""), ("x", "第五章", "本文技术路线"),
+        ("x", "第五章", "y" * 1000 + "技术路线"), ("x", "参考文献", ""), ("conclusion", None, None), ("x", None, None),
+    ], "kind string, title string, content string")
+    got = [r[0] for r in df.select(t.classify_chapter(F.col("kind"), F.col("title"), F.col("content"))).collect()]
+    assert got == ["literature_review", "methodology", "system", "acknowledgment", "theoretical", "literature_review", "methodology", "general", "references", "conclusion", "general"]
+
+
+def test_review_chapters(spark):
+    df = spark.createDataFrame([
+        ("background", "9", "z", 1), ("x", "1.", "z", 1), ("x", "1", "z", 2), ("x", "I", "系统", 1), ("x", "2", "国内外研究", 1), ("introduction", "1", "Test bed", 1), ("x", "2", "Overview", 1),
+        ("x", "2", "文献进展", 1), ("x", "第一章", None, 1), (None, None, "Design", 1),
+    ], "kind string, number string, title string, level int")
+    got = [r[0] for r in df.select(t.is_review_chapter(F.col("kind"), F.col("number"), F.col("title"), F.col("level"))).collect()]
+    assert got == [True, True, False, False, True, False, True, False, True, False]
+
+
+def test_mark_headings(spark):
+    text = "  摘要 \n1. One\n2 two\n第一章 结论\n第1章 x\n\nAbstract of it\n一、" + "x" * 90 + "\n致谢\n3.14"
+    want = "## 摘要\n### 1. One\n2 two\n## 第一章 结论\n第1章 x\n\nAbstract of it\n一、" + "x" * 90 + "\n### 致谢\n### 3.14"
+    assert value(spark, t.mark_headings, text) == [want]
 
 
 def test_person_names_and_funds(spark):
