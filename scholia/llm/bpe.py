@@ -23,7 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: pre-tokens of a generation of a worker's memo; it has two.
-MEMO = 250_000
+MEMO = 200_000
+#: characters of text whose ids are held before they are handed on.
+HELD_CHARS = 4 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -179,14 +181,23 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def encode(batches):
         encoder = shared.value
         for batch in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.binary()),
-                ],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
+            begin, texts, size = 0, [], 0
+            for k in range(len(batch)):
+                texts.append(batch.column("text")[k].as_py() or "")
+                size += len(texts[-1])
+                if size >= HELD_CHARS or k + 1 == len(batch):
+                    yield coded(encoder, batch.column("doc_id").slice(begin, len(texts)), texts)
+                    begin, texts, size = k + 1, [], 0
+
+    def coded(encoder, doc_ids, texts):
+        ids = [encoder.encode(t) for t in texts]
+        return pa.RecordBatch.from_arrays(
+            [
+                doc_ids, pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.binary()),
+            ],
+            names=["doc_id", "n_tokens", "ids", "decoded"],
+        )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(
