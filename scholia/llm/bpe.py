@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: pre-tokens of a generation of a worker's memo; it has two.
-MEMO = 200_000
+MEMO = 120_000
 #: characters of text whose ids are held before they are handed on.
-HELD_CHARS = 4 << 20
+HELD_CHARS = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -111,16 +111,18 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
 
 def _featurise(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> dict[str, list[np.ndarray]]:
     """Word numbers of the sampled documents; chosen has at most the sampled ids, so it is broadcast."""
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    picked = picked.groupBy("id", "kind").agg(F.min("text").alias("text"))  # one text of an id that repeats
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "kind", "text")
 
     def run(batches):
         for b in batches:
             found = [hashed_words(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(found, pa.list_(pa.int32()))], names=["kind", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("kind"), pa.array(found, pa.list_(pa.int32()))], names=["id", "kind", "words"])
 
+    told = picked.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, kind string, words array<int>")
+    # one row of an id that repeats, in an order that is the same in each run
+    told = told.groupBy("id", "kind").agg(F.min("words").alias("words")).orderBy("kind", "id").select("kind", "words")
     out: dict[str, list[np.ndarray]] = {"p": [], "u": []}
-    for row in picked.mapInArrow(run, "kind string, words array<int>").toLocalIterator():
+    for row in told.collect():  # within the sample bounds
         out[row["kind"]].append(np.asarray(row["words"], np.int64))
     return out
 
