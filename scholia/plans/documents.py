@@ -479,7 +479,7 @@ SELECT doc_id, 1::INTEGER AS first, least(coalesce(body - 1, last), 150)::INTEGE
 add("t3_toc_from_body", lambda d, *_: toc.toc_from_body(lines_of(dressed(d))).select("doc_id", "line_no"), f"""
 WITH {DRESSED} SELECT doc_id, line_no::INTEGER AS line_no FROM d WHERE length(line) >= 2 AND regexp_matches(line, '(?i)^(第[一二三四五六七八九十0-9]+章|[0-9]+[.]|[A-Z]+|摘 *要|目 *录|参考文献|致 *谢|攻读|附 *录)')
   AND NOT regexp_matches(line, '图 *[0-9]+|表 *[0-9]+|^根据|^基于|^通过') AND regexp_matches(line, '(?i)第[一二三四五六七八九十0-9]+章|^[0-9]+[.] *[^0-9]|^[0-9]+[.][0-9]+ *[^0-9]|摘 *要|目 *录|参考文献|致 *谢|攻读|附 *录|绪 *论|总结|展望|结论|ABSTRACT|CONCLUSION|REFERENCE')""")
-add("t4_parse_toc_entries", lambda d, *_: entries(d), ENTRIES + " SELECT * FROM e")
+add("t4_parse_toc_entries", lambda d, *_: entries(d).withColumn("page", F.coalesce("page", F.lit(-1))), ENTRIES + " SELECT * REPLACE (coalesce(page, -1)::INTEGER AS page) FROM e")
 add("t5_parse_toc_formats", lambda d, *_: toc.parse_toc_formats(lines_of(dressed(d))).where("form = 'dotted'"), CHAP + " SELECT doc_id, i::INTEGER AS line_no, 'dotted' AS form, trim('第' || i || '章 ' || title) AS title, (i + 2)::INTEGER AS page FROM c")
 add("t6_dedupe_toc", lambda d, *_: toc.dedupe_toc(entries(d)).select("doc_id", "line_number", "number", "title"),
     ENTRIES + " SELECT doc_id, min(line_number) AS line_number, number, title FROM e GROUP BY doc_id, number, title")
@@ -492,9 +492,9 @@ SELECT doc_id, line_number, row_number() OVER (PARTITION BY doc_id ORDER BY k, l
 add("t9_canonical_titles", lambda d, *_: toc.canonical_titles(entries(d)).select("doc_id", "line_number", "title"), ENTRIES + """
 SELECT doc_id, line_number, CASE WHEN section_type = 'references' THEN '参考文献' WHEN section_type = 'acknowledgment' THEN '致谢' WHEN section_type IN ('achievements', 'author_profile') AND
   regexp_matches(title, '研究成果|学术成果|作者简介|个人简历') THEN regexp_extract(title, '研究成果|学术成果|作者简介|个人简历') ELSE title END AS title FROM e""")
-add("t10_nest_toc", lambda d, *_: toc.nest_toc(entries(d)).select("doc_id", F.size("chapters").alias("chapters"), F.size("special_sections").alias("special"), F.size("post_references").alias("post")), ENTRIES + """,
+add("t10_nest_toc", lambda d, *_: toc.nest_toc(entries(d)).select("doc_id", F.coalesce(F.size("chapters"), F.lit(0)).alias("chapters"), F.size("special_sections").alias("special"), F.size("post_references").alias("post")), ENTRIES + """,
 w AS (SELECT *, level = 1 AND section_type IN ('traditional_chapter', 'numeric_chapter', 'english_chapter', 'chapter') AS c, bool_or(section_type = 'references') OVER (PARTITION BY doc_id ORDER BY line_number) AS r FROM e)
-SELECT doc_id, nullif(count(*) FILTER (c), 0)::INTEGER AS chapters, count(*) FILTER (section_type IN ('abstract', 'conclusion', 'references'))::INTEGER AS special,
+SELECT doc_id, count(*) FILTER (c)::INTEGER AS chapters, count(*) FILTER (section_type IN ('abstract', 'conclusion', 'references'))::INTEGER AS special,
   count(*) FILTER (r AND section_type IN ('achievements', 'acknowledgment', 'author_profile', 'appendix', 'declaration', 'copyright'))::INTEGER AS post FROM w GROUP BY 1""")
 add("t11_toc_summary", lambda d, *_: toc.toc_summary(entries(d)), ENTRIES + SUMMARY)
 add("t12_toc_quality", lambda d, *_: toc.toc_quality(toc.toc_summary(entries(d))), ENTRIES + ", s AS (" + SUMMARY + """)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -23,7 +24,7 @@ def duck():
 def plain(df):
     out = []
     for row in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("~" if v is None or v != v else f"{v:.7g}" if isinstance(v, float) else str(v) for v in row))
+        out.append(tuple("~" if v is None or v is pd.NA or v != v else f"{v:.7g}" if isinstance(v, float) else str(v) for v in row))
     return sorted(out)
 
 
