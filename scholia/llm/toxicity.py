@@ -65,7 +65,9 @@ def choose_words(pos: list[np.ndarray], unl: list[np.ndarray], limit: int = FEAT
 
 
 def matrix(docs: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(docs), len(words)), np.float32)
+    """A row of zeros and ones per document: the words, then a one for the bias."""
+    x = np.zeros((len(docs), len(words) + 1), np.float32)
+    x[:, -1] = 1
     for k, d in enumerate(docs):
         x[k, np.searchsorted(words, np.intersect1d(d, words, assume_unique=True))] = 1
     return x
@@ -76,17 +78,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
-    """Of the risk; where its bracket is negative, of the bracket, upwards."""
-    sp, su = sigmoid(xp @ w), sigmoid(xu @ w)
+    """Of the risk; where its bracket is negative, of the bracket, upwards.  Only vectors change type, so that no matrix is copied."""
+    sp, su = (sigmoid((x @ w.astype(x.dtype)).astype(float)) for x in (xp, xu))
     as_negative = np.mean(-np.log(1 - np.clip(su, 0, 1 - 1e-9))) - prior * np.mean(-np.log(1 - np.clip(sp, 0, 1 - 1e-9)))
-    g_neg = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
-    return prior * (xp.T @ (sp - 1)) / len(xp) + g_neg if as_negative >= 0 else -g_neg
+    g_neg = xu.T @ su.astype(xu.dtype) / len(xu) - prior * (xp.T @ sp.astype(xp.dtype)) / len(xp)
+    return prior * (xp.T @ (sp - 1).astype(xp.dtype)) / len(xp) + g_neg if as_negative >= 0 else -g_neg
 
 
 def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4):
-    """Weights and bias of a linear model under the non-negative risk with the logistic loss (Adam)."""
-    w = np.zeros(xp.shape[1] + 1)
-    xp, xu = (np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(float) for x in (xp, xu))
+    """Weights and bias of a linear model under the non-negative risk with the logistic loss (Adam).
+
+    The last column of xp and xu is the bias's, all ones."""
+    w = np.zeros(xp.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -115,15 +118,14 @@ def _featurise(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -
 
     def run(batches):
         for b in batches:
-            found = [hashed_words(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("kind"), pa.array(found, pa.list_(pa.int32()))], names=["id", "kind", "words"])
+            found = [np.asarray(hashed_words(t.as_py()), np.int32).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("kind"), pa.array(found, pa.binary())], names=["id", "kind", "words"])
 
-    told = picked.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, kind string, words array<int>")
-    # one row of an id that repeats, in an order that is the same in each run
-    told = told.groupBy("id", "kind").agg(F.min("words").alias("words")).orderBy("kind", "id").select("kind", "words")
+    told = picked.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, kind string, words binary")
+    told = told.groupBy("id", "kind").agg(F.min("words").alias("words")).select("kind", "words")  # one row of an id that repeats
     out: dict[str, list[np.ndarray]] = {"p": [], "u": []}
-    for row in told.collect():  # within the sample bounds
-        out[row["kind"]].append(np.asarray(row["words"], np.int64))
+    for kind, words in sorted((r["kind"], bytes(r["words"])) for r in told.collect()):  # within the sample bounds, the same order in each run
+        out[kind].append(np.frombuffer(words, np.int32))
     return out
 
 
