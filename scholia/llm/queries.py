@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, chunk_dedup, decontaminate, exact_dedup, langid, preference, secret_scan, simhash, suffix_dedup, toxicity
+from scholia.llm import bpe, chunk_dedup, decontaminate, exact_dedup, filter_audit, langid, preference, secret_scan, simhash, suffix_dedup, toxicity, vafile, warc
 from scholia.llm.common import crc_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -78,6 +78,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = vafile.cluster(table(spark, sf_dir, "embeddings"))
+    text = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return told.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(text, 256).alias("centroid_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -89,6 +104,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_preference_format": op9_preference_format,
     "op10_decontamination": op10_decontamination,
+    "op11_warc": op11_warc,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroids": op13_centroids,
 }
 
 _RULE = """
@@ -98,6 +116,28 @@ _RULE = """
                regexp_split_to_array(t, '{p}') AS gs FROM d WHERE regexp_matches(t, '{p}')), range(1, len(ms) + 1) AS r(i)
   WHERE length(cs[i]) >= {least}"""
 
+
+
+def _centroid_sql(rounds: int = vafile.ROUNDS, clusters: int = vafile.CLUSTERS) -> str:
+    """The rounds of the clustering, written out one after the other."""
+    out = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT i, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {clusters}))"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT i, min(struct_pack(d, k)) AS b FROM (SELECT i, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r}) GROUP BY i)"""
+        if r < rounds:
+            out += f""",
+s{r} AS (SELECT b.k AS k, j, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN e USING (i) GROUP BY 1, 2),
+m{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))"""
+    return out + f"""
+SELECT vec_id, b.k::INTEGER AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.k)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (i) JOIN c{rounds} ON c{rounds}.k = b.k"""
+
+
 ORACLE_SQL = {
     "op1_secret_scan": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -155,4 +195,29 @@ q AS (SELECT conv_id, kind, other_id, n_shared, string_agg(line, '' ORDER BY i)
   string_agg((pos + 14) || ':' || (pos + length(line)), ',' ORDER BY i) FILTER (side = 'y' AND i > n_shared AND role = 'assistant') AS rm FROM o GROUP BY ALL)
 SELECT conv_id, kind, other_id, n_shared, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
   coalesce(cm, '') AS chosen_mask, coalesce(rm, '') AS rejected_mask FROM q""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT *, octet_length(b) AS n, CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) ELSE page_id END AS keep FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keep <> page_id THEN keep END AS refers_to FROM k""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, first < doc_id AS e FROM w),
+g AS (SELECT f.*, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM f LEFT JOIN labels USING (doc_id)),
+l AS (SELECT doc_id, unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([a, b, c, d, e]) AS fails FROM f),
+v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT v1.x || v2.x || v3.x || v4.x || v5.x AS filter_order FROM v v1, v v2, v v3, v v4, v v5
+  WHERE len(list_distinct([v1.x, v2.x, v3.x, v4.x, v5.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter FROM o, range(1, 6) AS r(step)),
+m AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS failed,
+  count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM g GROUP BY 1, 2),
+x AS (SELECT part, filter_order, step, letter, n, good, toxic, contains(failed, letter) AS fails, failed = letter AS only_here,
+  failed <> '' AND len(list_filter(range(1, step), lambda k: contains(failed, substr(filter_order, k, 1)))) > 0 AS gone FROM m, s),
+y AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (only_here), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM y""",
+    "op13_centroids": _centroid_sql(),
 }

@@ -110,7 +110,7 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
 
 
 def test_queries_have_an_entry_for_each_operator():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_preference_edges(spark):
