@@ -6,11 +6,15 @@ is the least later line that stops it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from scholia.functions.text import clean_abstract, format_keywords, guess_section_type, split_keywords, strip
 from scholia.operators.lines import doc_window, in_order, lines_of, once
+from scholia.operators.offsets import Places, first_sections
+from scholia.operators.titles import contents_by_title
 
 # Fixed patterns of chapter lines, in this order.
 CHAPTERS = (
@@ -85,26 +89,50 @@ def _newlines(c: Column) -> Column:
 
 
 def find_sections(docs: DataFrame, library: dict = LIBRARY, text_col: str = "text") -> DataFrame:
-    """doc_id, name, start_position, end_position (characters before the section's first and up to its end), content (trimmed): the
-    first match of each section's pattern.  One pass over the text, no shuffle."""
+    """doc_id, name, start_position, end_position (characters before the section's first and up to its end), start_line, end_line (from 1), content
+    (trimmed): the first match of each section's pattern.  The places of all heads and stops of a text are found once and bounded by bisection; no shuffle."""
+    located = _locator(dict(library))
     rows = docs.select("doc_id", F.col(text_col).alias("text"))
-    found = []
-    for name, p in library.items():
-        whole, at = first_match(F.col("text"), LINES + p)
-        found.append(F.struct(F.lit(name).alias("name"), (at - 1).alias("start_position"), whole.alias("whole")))
-    told = rows.withColumn("found", F.filter(F.array(*found), lambda x: x["whole"] != "")).select("doc_id", F.explode("found").alias("x"))
-    return told.select("doc_id", "x.name", "x.start_position", (F.col("x.start_position") + F.length("x.whole")).alias("end_position"), strip(F.col("x.whole")).alias("content"))
+    told = rows.where("text IS NOT NULL").withColumn("found", located("text")).select("doc_id", "text", F.explode("found").alias("x"))
+    content = F.substring("text", F.col("x.start_position") + 1, F.col("x.end_position") - F.col("x.start_position"))
+    return told.select("doc_id", "x.name", "x.start_position", "x.end_position", "x.start_line", "x.end_line", strip(content).alias("content"))
+
+
+_PLACES = ("name", "start_position", "end_position", "start_line", "end_line")
+
+
+def _locator(library: dict[str, str]):
+    kind = pa.list_(pa.struct([("name", pa.string()), *[(c, pa.int32()) for c in _PLACES[1:]]]))
+
+    @F.arrow_udf("array<struct<name string, start_position int, end_position int, start_line int, end_line int>>")
+    def located(texts: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(_PLACES, x)) for x in first_sections(t.as_py(), library)] for t in texts], kind)
+
+    return located
 
 
-def section_bounds(sections: DataFrame, docs: DataFrame) -> DataFrame:
-    """Sections with title, start_line, end_line (from 1) and content_length; the title is the first line of
-    under 100 characters."""
+def section_bounds(sections: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Sections with title, start_line, end_line (from 1) and content_length; the title is the first line of under 100 characters.
+    Sections that have no lines yet (others than find_sections') take them from the line breaks of docs, a text once."""
     named = F.filter(F.transform(F.split("content", "\n"), lambda x: strip(x)), lambda x: F.length(x).between(1, 99))
-    met = sections.join(docs.select("doc_id", "text"), "doc_id")
-    line = lambda c: _newlines(F.substring("text", F.lit(1), F.col(c))) + 1
-    return met.withColumns({
-        "title": F.get(named, F.lit(0)), "start_line": line("start_position"), "end_line": line("end_position"), "content_length": F.length("content"),
-    }).drop("text")
+    told = sections
+    if "start_line" not in sections.columns:
+        row = F.struct(*sections.columns)
+        listed = sections.groupBy("doc_id").agg(F.collect_list(row).alias("s"))
+        ends = lambda c: F.transform("s", lambda x: x[c])
+        met = listed.join(docs.select("doc_id", "text"), "doc_id")
+        lined = met.select(F.explode(F.arrays_zip("s", _lines_at("text", ends("start_position")).alias("a"), _lines_at("text", ends("end_position")).alias("b"))).alias("x"))
+        told = lined.select("x.s.*", F.col("x.a").alias("start_line"), F.col("x.b").alias("end_line"))
+    return told.withColumns({"title": F.get(named, F.lit(0)), "content_length": F.length("content")})
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _lines_at(texts: pa.Array, places: pa.Array) -> pa.Array:
+    out = []
+    for t, at in zip(texts, places):
+        told = Places(t.as_py() or "")
+        out.append([told.lines_before(x) + 1 for x in at.as_py()])
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def boundary_confidence(name: Column, content: Column, before: Column, after: Column) -> Column:
@@ -204,35 +232,68 @@ def first_level_chapters(chapters: DataFrame) -> DataFrame:
 
 def chapter_start_lines(chapters: DataFrame, lines: DataFrame, slack: int = 20) -> DataFrame:
     """Chapters with start_line, the first line that is the title or holds it and is at most `slack` characters longer;
-    0 if there is none.  The thanks are not found in 'thanks and declaration'."""
-    t = lines.select("doc_id", "line_no", strip("line").alias("line")).where("line != ''")
+    0 if there is none.  The thanks are not found in 'thanks and declaration'.
+
+    Titles are keys of an inverted index: a line gives those of its parts that are as long as a title of its document and begin
+    like one, each with the first line that has it, and the chapters look their titles up."""
+    known = chapters.where("title IS NOT NULL").groupBy("doc_id").agg(
+        F.collect_set(F.length("title")).alias("lengths"), F.array_join(F.collect_set(F.substring("title", 1, 1)), "").alias("firsts"))
+    t = lines.select("doc_id", "line_no", strip("line").alias("line")).where("line != ''").join(known, "doc_id")
+    size = F.length("line")
+    fitting = F.filter("lengths", lambda n: (n <= size) & (n >= size - slack))
+    part = lambda at, n: F.substring("line", at, n)
+    begun = lambda n: F.filter(F.sequence(F.lit(1), size - n + 1), lambda at: F.col("firsts").contains(part(at, F.lit(1))))
+    keys = F.flatten(F.transform(fitting, lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(begun(n), lambda at: part(at, n)))))
+    told = t.select("doc_id", "line_no", "line", F.explode(F.array_distinct(keys)).alias("title"))
     clash = (F.col("title") == "致谢") & F.col("line").contains("致谢与声明")
-    hit = F.col("line").contains(F.col("title")) & (F.length("line") <= F.length("title") + slack) & ~clash
-    keys = ["doc_id", "ord", "title", "number"]
-    found = chapters.join(t, "doc_id").where(hit).groupBy(*keys).agg(F.min("line_no").alias("s"))
-    return chapters.join(found, keys, "left").withColumn("start_line", F.coalesce("s", F.lit(0))).drop("s")
+    first = told.where(~clash).groupBy("doc_id", "title").agg(F.min("line_no").alias("s"))
+    return chapters.join(first, ["doc_id", "title"], "left").select(*chapters.columns, F.coalesce("s", F.lit(0)).alias("start_line"))
 
 
 def chapter_ranges(chapters: DataFrame, lines: DataFrame) -> DataFrame:
-    """Chapters with start_line, end_line (before the next one's start), blank lines at both ends left out."""
+    """Chapters with start_line, end_line (before the next one's start), blank lines at both ends left out.
+
+    A sweep: lines with text and the two ends of each range stand in one order, and windows carry the next such line back to
+    a range's start and the last one on to its end; as many rows move as there are lines and ranges."""
     order = Window.partitionBy("doc_id").orderBy("start_line", "ord")
     size = lines.groupBy("doc_id").agg(F.max("line_no").alias("last"))
     told = chapters.join(size, "doc_id").withColumn("stop", F.coalesce(F.lead("start_line").over(order) - 1, "last"))
     told = told.withColumn("stop", F.greatest("start_line", "stop"))
-    text = lines.where(strip("line") != "").select("doc_id", "line_no")
-    inner = told.join(text, "doc_id").where((F.col("line_no") > F.col("start_line")) & (F.col("line_no") <= F.col("stop")))
-    edges = inner.groupBy("doc_id", "ord").agg(F.min("line_no").alias("from_line"), F.max("line_no").alias("to_line"))
-    return told.join(edges, ["doc_id", "ord"], "left").select(
-        "doc_id", "ord", "title", "number", F.coalesce("from_line", "start_line").alias("start_line"), F.coalesce("to_line", "stop").alias("end_line")
+    chapter = F.struct("ord", "title", "number", "start_line", "stop")
+    # at one line: first its text, then the starts (which look beyond it) and the stops (which look back to it)
+    text = lines.where(strip("line") != "").select("doc_id", F.col("line_no").alias("at"), F.lit(0).alias("kind"), F.col("line_no").alias("full"))
+    ends = told.select("doc_id", F.inline(F.array(*[F.struct(F.col(c).alias("at"), F.lit(k).alias("kind"), chapter.alias("c")) for k, c in ((1, "start_line"), (2, "stop"))])))
+    events = text.unionByName(ends, allowMissingColumns=True)
+    at = Window.partitionBy("doc_id").orderBy("at", "kind")
+    met = events.withColumns({
+        "after": F.first("full", ignorenulls=True).over(at.rowsBetween(1, Window.unboundedFollowing)),
+        "before": F.last("full", ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1)),
+    }).where("kind > 0")
+    edges = met.groupBy("doc_id", "c").agg(F.max(F.when(F.col("kind") == 1, F.col("after"))).alias("f"), F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("t"))
+    inside = (F.col("f") <= F.col("c.stop")) & (F.col("t") > F.col("c.start_line"))
+    return edges.select(
+        "doc_id", "c.ord", "c.title", "c.number", F.when(inside, F.col("f")).otherwise(F.col("c.start_line")).alias("start_line"), F.when(inside, F.col("t")).otherwise(F.col("c.stop")).alias("end_line")
     )
 
 
 def chapter_contents(ranges: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, ord, title, content: the lines of each range, runs of blank lines cut to one."""
-    inner = ranges.join(lines, "doc_id").where("line_no BETWEEN start_line AND end_line")
-    before = F.lag("line").over(Window.partitionBy("doc_id", "ord").orderBy("line_no"))
-    kept = inner.withColumn("prev", before).where((strip("line") != "") | F.col("prev").isNull() | (strip("prev") != ""))
-    return kept.groupBy("doc_id", "ord", "title").agg(F.array_join(in_order(F.col("line"), "line_no"), "\n").alias("content"))
+    """doc_id, ord, title, content: the lines of each range, runs of blank lines cut to one.
+
+    A document's lines meet its ranges once, as arrays of one row, and a range is a slice of them: where line numbers have no
+    gaps, by position."""
+    blank = lambda x: strip(x["line"]) == ""
+    text = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    after_blank = F.transform(F.array("ls"), lambda a: F.transform(a, lambda x, i: F.struct(x["line_no"].alias("no"), x["line"].alias("line"), (blank(x) & (i > 0) & blank(F.get(a, i - 1))).alias("drop"))))
+    text = text.select("doc_id", F.get(after_blank, F.lit(0)).alias("ls"))
+    text = text.withColumns({"least": F.get("ls", F.lit(0))["no"], "whole": F.element_at("ls", -1)["no"] - F.get("ls", F.lit(0))["no"] + 1 == F.size("ls")})
+    listed = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "title", "start_line", "end_line")).alias("rs"))
+    met = text.join(listed, "doc_id").select("doc_id", "ls", "least", "whole", F.explode("rs").alias("r"))
+    begun = F.greatest(F.col("r.start_line"), F.col("least"))
+    slice_ = F.when(F.col("r.end_line") < begun, F.slice("ls", 1, 0)).otherwise(F.slice("ls", begun - F.col("least") + 1, F.greatest(F.col("r.end_line") - begun + 1, F.lit(0))))
+    inner = F.when(F.col("whole"), slice_).otherwise(F.filter("ls", lambda x: x["no"].between(F.col("r.start_line"), F.col("r.end_line"))))
+    told = met.select("doc_id", "r.ord", "r.title", inner.alias("x")).where(F.size("x") > 0)
+    kept = F.concat(F.slice("x", 1, 1), F.filter(F.slice("x", 2, F.size("x")), lambda x: ~x["drop"]))
+    return told.select("doc_id", "ord", "title", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("content"))
 
 
 # Fixed patterns of what may follow a chapter, in this order.
@@ -242,29 +303,29 @@ NEXT_CHAPTERS = (
 )
 
 
-def chapter_content_by_title(chapters: DataFrame, docs: DataFrame, least: int = 100) -> DataFrame:
+def chapter_content_by_title(chapters: DataFrame, docs: DataFrame, least: int = 100, past: int = 20) -> DataFrame:
     """doc_id, ord, title, content of chapters (doc_id, ord, title, number, level): from the first pattern of number and title that
-    matches, else from the title's first five word characters, to the first kind of next chapter found from 20 characters past
-    the title on.  Contents under `least` characters are dropped."""
-    told = chapters.join(docs.select("doc_id", "text"), "doc_id").where("title != ''")
-    quote = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    t, n = quote(F.col("title")), F.when(F.coalesce("number", F.lit("")) != "", F.col("number"))
-    level = F.col("level").cast("string")
-    patterns = [
-        F.concat(F.lit("第"), n, F.lit(r"章\s*"), t), F.concat(F.lit(r"Chapter\s+"), n, F.lit(r"\s*[：:]\s*"), t), F.concat(F.lit("^"), quote(n), F.lit(r"\s*"), t),
-        F.concat(F.lit("^"), quote(n), F.lit(r"\.\s*"), t), F.concat(F.lit("^"), quote(n), F.lit(r"[\s\.、]\s*"), t), F.concat(F.lit("^"), t, F.lit(r"\s*$")),
-        F.when(F.col("level") <= 3, F.concat(F.lit("#{"), level, F.lit(r",3}\s*"), t)), F.concat(F.lit(r"^\s*"), t, F.lit(r"\s*[：:]?\s*$")), t,
-    ]
-    place = lambda p: _place(F.col("text"), F.concat(F.lit(LINES), p))
-    bare = F.regexp_replace("title", r"(?U)[^\w\u4e00-\u9fff]", "")
-    fuzzy = F.when(F.length(bare) > 3, _place(F.col("text"), F.concat(F.lit(WHOLE + r"[^\w\u4e00-\u9fff]*"), quote(F.substring(bare, 1, 5)))))
-    known = F.aggregate(F.array_compact(F.array(*patterns)), F.lit(None).cast("int"), lambda a, p: F.coalesce(a, place(p)))
-    told = told.withColumn("at", F.coalesce(known, fuzzy)).where("at IS NOT NULL")
-    told = told.withColumn("from", F.col("at") + F.length("title") + 20).withColumn("rest", F.substring("text", F.col("from"), F.length("text")))
-    ends = F.aggregate(F.array(*[F.lit(LINES + p) for p in NEXT_CHAPTERS]), F.lit(None).cast("int"), lambda a, p: F.coalesce(a, _place(F.col("rest"), p)))
-    end = F.coalesce(F.col("from") + ends - 1, F.length("text") + 1)
-    content = strip(F.substring("text", F.col("at"), end - F.col("at")))
-    return told.select("doc_id", "ord", "title", content.alias("content")).where(F.length("content") >= least)
+    matches, else from the title's first five word characters, to the first kind of next chapter found from `past` characters past
+    the title on.  Contents under `least` characters are dropped.
+
+    The chapters of a document meet its text in one row; an automaton of their titles finds all places in one pass."""
+    row = F.struct("ord", "title", F.col("number").cast("string").alias("number"), F.col("level").cast("int").alias("level"))
+    listed = chapters.where("title != ''").groupBy("doc_id").agg(F.collect_list(row).alias("chapters"))
+    met = listed.join(docs.select("doc_id", "text").where("text IS NOT NULL"), "doc_id")
+    found = met.withColumn("found", _contents(tuple(NEXT_CHAPTERS), past)("text", "chapters")).select("doc_id", "text", "chapters", F.explode("found").alias("x"))
+    content = strip(F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")))
+    told = found.select("doc_id", F.get("chapters", F.col("x.k")).alias("c"), content.alias("content"))
+    return told.select("doc_id", "c.ord", "c.title", "content").where(F.length("content") >= least)
+
+
+def _contents(nexts: tuple[str, ...], past: int):
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf("array<struct<k int, start int, end int>>")
+    def contents(texts: pa.Array, chapters: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(("k", "start", "end"), x)) for x in contents_by_title(t.as_py(), c.as_py(), nexts, past)] for t, c in zip(texts, chapters)], kind)
+
+    return contents
 
 
 # Fixed words that tell running text from a title.
