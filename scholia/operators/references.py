@@ -115,18 +115,22 @@ def split_references(blocks: DataFrame) -> DataFrame:
 
 def filter_numbering(refs: DataFrame, tolerance: int = 5, largest: int = 1000, least: int = 20) -> DataFrame:
     """Entries whose number is at most `largest` and at most `tolerance` above the next one expected, which
-    grows with the entries accepted; a fold in order of position within one document."""
+    grows with the entries accepted: a fold over the numbers of a document in order of position (null: not accepted)."""
+    fits = (F.col("ref_no") <= largest) & (F.length("ref") >= least)
+    row = F.struct("pos", F.coalesce("ref_no", F.lit(0)).alias("no"), F.coalesce(fits, F.lit(False)).alias("fits"), F.struct(*refs.columns).alias("r"))
+    listed = refs.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rs"))
+    # 0 stands for no entry accepted yet: then any number will do
+    start = F.struct(F.lit(0).alias("expected"), F.array().cast("array<boolean>").alias("kept"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, keep, expected = pdf.sort_values("pos"), [], 1
-        for no, ref in zip(pdf["ref_no"], pdf["ref"]):
-            ok = no <= largest and not (any(keep) and no > expected + tolerance) and len(ref) >= least
-            keep.append(ok)
-            if ok:
-                expected = max(expected, no + 1)
-        return pdf[keep]
+    def step(acc: Column, x: Column) -> Column:
+        ok = x["fits"] & ((acc["expected"] == 0) | (x["no"] <= acc["expected"] + tolerance))
+        # the number expected is never below 1 once an entry was accepted
+        grown = F.greatest(acc["expected"], x["no"].cast("int") + 1, F.lit(1))
+        return F.struct(F.when(ok, grown).otherwise(acc["expected"]).alias("expected"), F.concat(acc["kept"], F.array(ok)).alias("kept"))
 
-    return refs.groupBy("doc_id").applyInPandas(fold, refs.schema)
+    kept = F.aggregate("rs", start, step, lambda acc: acc["kept"])
+    told = listed.select(F.explode(F.filter(F.arrays_zip("rs", kept.alias("kept")), lambda x: x["kept"])).alias("x"))
+    return told.select(*[F.col(f"x.rs.r.{c}").alias(c) for c in refs.columns])
 
 
 def _any(c: Column, words) -> Column:
@@ -249,4 +253,5 @@ def chunk_references(blocks: DataFrame, size: int = 15_000) -> DataFrame:
             rows = [(d, k, c) for d, t in zip(pdf["doc_id"], pdf["block"]) for k, c in enumerate(x for x in cut(t or "") if x)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])
 
-    return blocks.select("doc_id", "block").mapInPandas(run, "doc_id long, chunk_no int, chunk string")
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    return blocks.select("doc_id", "block").mapInPandas(run, f"doc_id {kind}, chunk_no int, chunk string")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from scholia.functions.text import blank_to_null, is_chinese, section_type, strip
+from scholia.functions.text import SPACE, blank_to_null, is_chinese, section_type, strip
 from scholia.operators.lines import doc_window, in_order, lines_of
 
 # Fixed patterns of title lines, in this order; the last two take unnumbered lines.
@@ -99,23 +99,48 @@ def parse_sections(docs: DataFrame, plain: bool = True, title: Column | None = N
     )
 
 
-def merge_small_sections(sections: DataFrame, least: int = 200) -> DataFrame:
-    """A section under `least` characters takes the next one in, unless that is the references; an
-    unknown type is taken over.  A fold within one document."""
+def _edges(c: Column) -> Column:
+    """What is needed of a text to know how long it is without white space at its ends, wherever it is joined to others."""
+    total, whole = F.length(c), strip(c)
+    lead = total - F.length(F.ltrim(c, F.lit(SPACE)))
+    return F.struct(total.alias("total"), lead.alias("lead"), F.when(whole == "", total).otherwise(total - lead - F.length(whole)).alias("trail"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        for r in pdf.sort_values("ord").to_dict("records"):
-            last = rows[-1] if rows else None
-            if last and len(last["content"].strip()) < least and r["section_type"] != "references":
-                last["content"] += f"\n\n## {r['title']}\n{r['content']}"
-                if last["section_type"] == "unknown":
-                    last["section_type"] = r["section_type"]
-            else:
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
 
-    return sections.groupBy("doc_id").applyInPandas(fold, sections.schema)
+def _joined(x: Column, y: Column) -> Column:
+    """The edges of two texts, one after the other."""
+    return F.struct(
+        (x["total"] + y["total"]).alias("total"), F.when(x["lead"] == x["total"], x["total"] + y["lead"]).otherwise(x["lead"]).alias("lead"),
+        F.when(y["trail"] == y["total"], y["total"] + x["trail"]).otherwise(y["trail"]).alias("trail"),
+    )
+
+
+def merge_small_sections(sections: DataFrame, least: int = 200) -> DataFrame:
+    """A section under `least` characters takes the next one in, unless that is the references; an
+    unknown type is taken over.  Which sections go together is a fold over their lengths and types, a document's sections
+    meet in one row for it, and their texts are joined once, when that is known."""
+    text = F.coalesce("content", F.lit(""))
+    piece = F.concat(F.lit("\n\n## "), F.coalesce("title", F.lit("")), F.lit("\n"), text)
+    row = F.struct("ord", F.struct(*sections.columns).alias("r"), _edges(text).alias("own"), _edges(piece).alias("piece"), piece.alias("text"), (F.col("section_type") == "references").alias("apart"))
+    listed = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("s"))
+    empty = F.struct(F.lit(0).alias("total"), F.lit(0).alias("lead"), F.lit(0).alias("trail"))
+    start = F.struct(empty.alias("at"), F.array().cast("array<int>").alias("groups"))
+
+    def step(acc: Column, x: Column) -> Column:
+        size = acc["at"]["total"] - acc["at"]["lead"] - acc["at"]["trail"]
+        more = (F.size(acc["groups"]) > 0) & (size < least) & ~F.coalesce(x["apart"], F.lit(False))
+        before = F.coalesce(F.get(acc["groups"], F.size(acc["groups"]) - 1), F.lit(-1))
+        return F.struct(
+            F.when(more, _joined(acc["at"], x["piece"])).otherwise(x["own"]).alias("at"), F.concat(acc["groups"], F.array(F.when(more, before).otherwise(before + 1))).alias("groups"))
+
+    folded = listed.withColumn("g", F.aggregate("s", start, step, lambda acc: acc["groups"]))
+    each = folded.select("doc_id", F.explode(F.arrays_zip("s", "g")).alias("x")).select("doc_id", "x.g", "x.s.ord", "x.s.r", "x.s.text")
+    groups = each.groupBy("doc_id", "g").agg(F.sort_array(F.collect_list(F.struct("ord", "r", "text"))).alias("s"))
+    first, known = F.get("s", F.lit(0))["r"], F.filter(F.transform("s", lambda x: x["r"]["section_type"]), lambda t: t.isNull() | (t != "unknown"))
+    made = {
+        "content": F.when(F.size("s") == 1, first["content"]).otherwise(F.concat(F.coalesce(first["content"], F.lit("")), F.array_join(F.transform(F.slice("s", 2, F.size("s")), lambda x: x["text"]), ""))),
+        "section_type": F.when(F.size(known) > 0, F.get(known, F.lit(0))).otherwise(F.lit("unknown")),
+    }
+    return groups.select(*[made.get(c, first[c]).alias(c) for c in sections.columns])
 
 
 def batch_sections(sections: DataFrame, budget: int = 10_000) -> DataFrame:

@@ -218,7 +218,15 @@ n AS (SELECT *, CASE WHEN p IN ('plain', 'type') THEN line ELSE trim(regexp_extr
 t AS (SELECT doc_id, line_no, title, {TYPES_SQL.format('title')} AS section_type, CASE WHEN p = 'type' OR contains(number, '.') THEN 2 ELSE 1 END AS level, p FROM n)
 SELECT doc_id, line_no::INTEGER AS line_no, title, section_type, level FROM t WHERE p <> 'type' OR section_type <> 'unknown'""")
 add("x4_parse_sections", lambda d, *_: sections.parse_sections(d, title=short()), SEC + " SELECT * FROM s WHERE content <> ''")
-add("x5_merge_small_sections", lambda d, *_: sections.merge_small_sections(sections.parse_sections(d, title=short())))
+SMALL = "length(trim(f.content)) < 200 AND q.section_type <> 'references'"
+add("x5_merge_small_sections", lambda d, *_: sections.merge_small_sections(sections.parse_sections(d, title=short())), SEC.replace("WITH", "WITH RECURSIVE", 1) + f""",
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM s WHERE content <> ''),
+f AS (SELECT doc_id, ord, title, content, section_type, level, i, 0 AS g FROM q WHERE i = 1
+  UNION ALL SELECT q.doc_id, CASE WHEN {SMALL} THEN f.ord ELSE q.ord END, CASE WHEN {SMALL} THEN f.title ELSE q.title END,
+    CASE WHEN {SMALL} THEN f.content || chr(10) || chr(10) || '## ' || q.title || chr(10) || q.content ELSE q.content END,
+    CASE WHEN {SMALL} AND f.section_type <> 'unknown' THEN f.section_type ELSE q.section_type END, CASE WHEN {SMALL} THEN f.level ELSE q.level END, q.i, CASE WHEN {SMALL} THEN f.g ELSE f.g + 1 END
+  FROM f JOIN q ON q.doc_id = f.doc_id AND q.i = f.i + 1)
+SELECT doc_id, ord, arg_max(title, i) AS title, arg_max(content, i) AS content, arg_max(section_type, i) AS section_type, arg_max(level, i) AS level FROM f GROUP BY doc_id, g, ord""")
 BATCHED = SEC.replace("WITH", "WITH RECURSIVE", 1) + """,
 q AS (SELECT doc_id, ord, title, content, length(content) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM s WHERE content <> ''),
 f AS (SELECT doc_id, ord, i, 0 AS batch, CASE WHEN n > 3000 THEN 0 ELSE n END AS used, n > 3000 AS big FROM q WHERE i = 1
@@ -305,7 +313,16 @@ g AS (SELECT doc_id, count(*) AS refs, avg(n) AS mean, string_agg(n, ',' ORDER B
 SELECT doc_id, round(bl.n / chars, 9) AS share, bl.n > 50000 AS block_long, refs > 300 AS many, mean > 500 AS entries_long, false AS runs_on, longest FROM g JOIN w USING (doc_id) JOIN ("""
   + REFS + r" SELECT doc_id, (sum(length(ref) + 1) + 5 + CASE WHEN regexp_matches(max(last), '#+\s*$') THEN length(regexp_extract(max(last), '#+\s*$')) + 1 ELSE 0 END)::INTEGER AS n FROM r SEMI JOIN k USING (doc_id) GROUP BY 1) bl USING (doc_id)")
 add("r14_numbering_styles", lambda d, *_: references.numbering_styles(block(d)), REFS + " SELECT doc_id, count(*)::INTEGER AS square, 0 AS round, 0 AS lenticular, 0 AS dot, 'square' AS style FROM r SEMI JOIN k USING (doc_id) GROUP BY 1")
-add("x10_chunk_references", lambda d, *_: references.chunk_references(block(d), 1500))
+# a limit is moved to the middle one of the marks in the zone around it
+ZONE = "greatest(e + 500, e + 1500 // 2)"
+X10 = REFS.replace("WITH", "WITH RECURSIVE", 1) + r""",
+t AS (SELECT doc_id, CASE WHEN regexp_matches(max(last), '#+\s*$') THEN regexp_extract(max(last), '#+\s*$') || chr(10) ELSE '' END || '参考文献' || chr(10) || string_agg(ref, chr(10) ORDER BY i) || chr(10) AS t FROM r SEMI JOIN k USING (doc_id) GROUP BY 1),
+z AS (SELECT doc_id, t, 0::BIGINT AS begun, 0::BIGINT AS e, -1 AS k FROM t UNION ALL
+  SELECT doc_id, t, e, CASE WHEN e + 1500 >= length(t) THEN length(t) WHEN len(m) = 0 THEN e + 1500 ELSE greatest(z + (list_sum(list_transform(g[1:len(m) // 2 + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:len(m) // 2], lambda x: length(x))), 0))::BIGINT, e + 1) END, k + 1
+  FROM (SELECT *, regexp_extract_all(w, '［[0-9]+］|\[[0-9]+\]|\n[0-9]+[.]') AS m, regexp_split_to_array(w, '［[0-9]+］|\[[0-9]+\]|\n[0-9]+[.]') AS g
+    FROM (SELECT *, {zone} AS z, substr(t, {zone} + 1, e + 2000 - {zone}) AS w FROM z WHERE e < length(t))))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS chunk_no, trim(substr(t, begun + 1, e - begun)) AS chunk FROM z WHERE k >= 0 AND trim(substr(t, begun + 1, e - begun)) <> ''""".replace("{zone}", ZONE)
+add("x10_chunk_references", lambda d, *_: references.chunk_references(block(d), 1500), X10)
 
 heading = "^第\\d+章"
 chapters = lambda d: ch.extract_chapters(dressed(d))
