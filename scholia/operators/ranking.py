@@ -17,6 +17,8 @@ from scholia.functions.text import blank_to_null, strip
 NATIONAL_FUNDS = ("国家自然科学基金", "国家重点研发")
 #: rows of a block of theses, rows of a slice of papers where all pairs or the best are kept, papers scored at a time.
 THESES, PAIR_PAPERS, BEST_PAPERS, STEP = 256, 4_096, 32_768, 256
+#: queries of a search that are broadcast (a few hundred bytes each), and the parts of a language beyond.
+MOST_QUERIES, SALTS = 10_000, 64
 KNOWN_INSTITUTIONS = ("清华", "北大", "中科院", "复旦", "上海交大", "浙大", "中南大学", "华中科技")
 
 
@@ -150,16 +152,24 @@ def matching_papers(queries: DataFrame, papers: DataFrame, fields: dict[str, lis
     one of `any` (if given) and none of `none`; every one, without a rank.
 
     queries: qid, lang, cutoff, field, all, any, none.  fields maps a field code to the columns it searches.
-    The join is by language; a query table is small by nature, and is broadcast only if Spark finds it so.
+    Papers stay where they are: up to MOST_QUERIES queries, counted first, are broadcast.  More of them meet the papers by
+    language and a paper's share of SALTS, so that no language is one task; terms are short-circuited either way, the
+    longest (the rarest, as a rule) first.
     """
     texts = papers.select("pos", "lang", "pub_date", *[F.lower(F.concat_ws("\n", *cols)).alias(f"f_{code}") for code, cols in fields.items()])
-    met = queries.join(texts, "lang").where(
-        F.date_format("pub_date", "yyyyMMdd") <= F.coalesce("cutoff", F.lit(default_cutoff))
-    )
+    lowered = {c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda w: F.lower(w)) for c in ("all", "any", "none")}
+    longest_first = lambda c: F.reverse(F.array_sort(F.transform(c, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))).getField("w")
+    asked = queries.select("qid", "lang", "field", F.coalesce("cutoff", F.lit(default_cutoff)).alias("cutoff"), *[longest_first(c).alias(k) for k, c in lowered.items()])
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        met = texts.join(F.broadcast(asked), "lang")
+    else:
+        share = F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = texts.withColumn("salt", share).join(asked.withColumn("salt", every), ["lang", "salt"])
+    met = met.where(F.date_format("pub_date", "yyyyMMdd") <= F.col("cutoff"))
     hay = F.coalesce(*[F.when(F.col("field") == code, F.col(f"f_{code}")) for code in fields])
-    has = lambda w: F.instr(hay, F.lower(w)) > 0
-    terms = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    ok = F.forall(terms("all"), has) & ((F.size(terms("any")) == 0) | F.exists(terms("any"), has)) & ~F.exists(terms("none"), has)
+    has = lambda w: F.instr(hay, w) > 0
+    ok = F.forall("all", has) & ((F.size("any") == 0) | F.exists("any", has)) & ~F.exists("none", has)
     return met.where(ok).select("qid", "pos", "pub_date")
 
 

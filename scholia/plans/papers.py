@@ -244,10 +244,26 @@ add("p20_fund_source", lambda p, *_: p.select("pos", fp.fund_source(F.concat(F.l
     f" SELECT pos, {_first_class('concat(' + chr(39) + '公司' + chr(39) + ', title)', [(n, w) for w, n in fp.FUND_SOURCES], chr(39) + fp.OTHER_FUND + chr(39))} AS a, {FUND.replace('fund,', 'title,')} AS b FROM p")
 add("p21_institution_type", lambda p, s, d: load(s, d, "nation").select("n_nationkey", fp.institution_type(F.concat("n_name", F.element_at(F.array(*map(F.lit, ("大学", "医院", "中心", ""))), (F.col("n_nationkey") % 4 + 1).cast("int")))).alias("type")),
     "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '大学' WHEN 1 THEN '医院' WHEN 2 THEN '中心' END AS type FROM nation", papers=False)
-REL = _first_class("lower(concat_ws(chr(10), keywords, title, abstract))", fp.RELEVANCE_WORDS, f"'{fp.OTHER_RELEVANCE}'")
-add("p26_paper_relevance", lambda p, *_: p.select("pos", fp.paper_relevance(F.col("KeyWords"), F.concat_ws("\n", "Title", "Abstract")).alias("relevance")), f" SELECT pos, {REL} AS relevance FROM p")
-LAY = ", ".join("(" + " OR ".join(f"contains(lower(concat_ws(' ', title, keywords, abstract)), '{w}')" for w in words) + f") AS is_{n}" for n, words in fp.LAYER_WORDS)
-add("p27_research_layers", lambda p, *_: p.select("pos", *[v.alias(k) for k, v in fp.research_layers().items()]), f" SELECT pos, {LAY} FROM p")
+
+
+def swapped(c, words):
+    """A text in lower case whose words are others, so that the rules find some of theirs in some rows."""
+    c = F.lower(c)
+    for a, w in words:
+        c = F.replace(c, F.lit(a), F.lit(w))
+    return c
+
+
+# words of the tables by words of the rules; the SQL says what each of them stands for
+RELEVANT = (("promo", "Algorithm"), ("economy", "框架"), ("standard", "Case Study"), ("small", "实践"), ("large", "Measurement"), ("medium", "创新"))
+LAYERED = (("promo", "Technique"), ("economy", "机制"), ("standard", "Clinical"), ("small", "Progress"), ("large", "Model strategy"), ("medium", "现状"))
+ALL_TEXT = "lower(concat_ws(' ', title, keywords, abstract))"
+has = lambda *words: "(" + " OR ".join(f"contains({ALL_TEXT}, '{w}')" for w in words) + ")"
+add("p26_paper_relevance", lambda p, *_: p.select("pos", fp.paper_relevance(swapped(F.col("KeyWords"), RELEVANT), swapped(F.concat_ws("\n", "Title", "Abstract"), RELEVANT)).alias("relevance")), f"""
+SELECT pos, CASE WHEN {has('promo')} THEN '研究方法与技术' WHEN {has('economy')} THEN '理论框架构建' WHEN {has('standard')} THEN '实证研究分析' WHEN {has('small')} THEN '应用实践研究'
+  WHEN {has('large')} THEN '分析评估方法' WHEN {has('medium')} THEN '优化改进研究' ELSE '相关理论研究' END AS relevance FROM p""")
+add("p27_research_layers", lambda p, *_: p.withColumns({c: swapped(F.col(c), LAYERED) for c in ("Title", "KeyWords", "Abstract")}).select("pos", *[v.alias(k) for k, v in fp.research_layers().items()]), f"""
+SELECT pos, {has('economy', 'large')} AS is_theory, {has('promo', 'large')} AS is_method, {has('standard')} AS is_application, {has('small', 'medium')} AS is_review FROM p""")
 add("p28_theme_category", lambda p, *_: p.select("pos", fp.theme_category(F.concat_ws(" ", "Title", "Abstract")).alias("category")), f" SELECT pos, {CAT.replace('lower(theme)', 'lower(concat_ws(' + chr(39) + ' ' + chr(39) + ', title, abstract))')} AS category FROM p")
 add("p30_paper_text", lambda p, *_: p.select("pos", fp.paper_text().alias("text")), " SELECT pos, concat_ws(' ', nullif(trim(title), ''), nullif(trim(keywords), ''), nullif(trim(abstract), '')) AS text FROM p")
 add("p35_citation_card", lambda p, *_: p.select("pos", *[v.alias(k) for k, v in fp.citation_card().items()]), """,

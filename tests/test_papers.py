@@ -1,5 +1,6 @@
 """Papers: normalising, dedupe, ranking, scores, and stored files."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -142,3 +143,30 @@ def test_query_verdict_counts_matches_without_ranking_them(spark):
 
     plan = plans.QUERIES["d6_query_verdict"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "10000000" not in plan
+
+
+def test_search_by_broadcast_and_by_salt(spark, monkeypatch):
+    import random
+
+    from scholia.operators import ranking
+
+    rnd = random.Random(3)
+    words = ["Deep", "nets", "graph", "Survey", "of", "steel", "brass"]
+    papers = [(k, rnd.choice(["zh", "en", "en", "en"]), dt.date(2000 + k % 30, 1 + k % 12, 3), " ".join(rnd.choices(words, k=4)), rnd.choice([None, "Graph nets"])) for k in range(400)]
+    queries = [(f"q{k}", rnd.choice(["zh", "en", "fr"]), rnd.choice([None, "20150101"]), rnd.choice(["T", "K"]), rnd.sample(words, rnd.randrange(3)), rnd.sample(words, rnd.randrange(3)), rnd.choice([None, ["OF"]])) for k in range(30)]
+    p = spark.createDataFrame(papers, "pos int, lang string, pub_date date, Title string, KeyWords string")
+    q = spark.createDataFrame(queries, "qid string, lang string, cutoff string, field string, all array<string>, any array<string>, none array<string>")
+    want = set()
+    for qid, lang, cutoff, field, every, some, none in queries:
+        for pos, of, date, title, keys in papers:
+            hay = ((title if field == "T" else keys) or "").lower()
+            has = lambda w: w.lower() in hay  # noqa: B023, E731
+            if of == lang and date.strftime("%Y%m%d") <= (cutoff or "20220101") and all(map(has, every)) and (not some or any(map(has, some))) and not any(map(has, none or [])):
+                want.add((qid, pos))
+    fields = {"T": ["Title"], "K": ["KeyWords"]}
+    got = lambda: {(r["qid"], r["pos"]) for r in ranking.matching_papers(q, p, fields).collect()}
+    assert got() == want and len(want) > 50
+    monkeypatch.setattr(ranking, "MOST_QUERIES", 5)
+    assert got() == want
+    plan = ranking.matching_papers(q, p, fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan
