@@ -1,18 +1,19 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the bytes (its value depends on the last 32 bytes) ends a
-chunk where its top bits are zero, from MIN_CHUNK bytes on and at MAX_CHUNK at the
-latest, so chunk borders move with the content when text is inserted before.
+A gear rolling hash over the bytes (its value depends on the last 32 bytes) ends a chunk
+where it is the least within REACH bytes to either side, so borders depend on what stands
+around them alone and move with the content when text is inserted before.  A piece at
+either end of a text that is no longer than REACH goes with its neighbour, so a chunk is
+longer than REACH unless the whole text is not: short lines that repeat make no chunk.
 Chunks meet on a 128-bit digest; of equal chunks the first place (least id, then
-first in the text) stays and the others are removed.
+first in the text) stays and all the others are removed.
 
 Chunks are cut once and written; digests are counted with partial aggregates, which are
 written too, and joined back by a join between two plain shuffles that Spark can split, so a
-chunk that a third of all documents hold is no hot spot.  A removed run (neighbouring chunks that
-lose) of fewer than MIN_RUN bytes stays: a stray short line is no passage.
+chunk that a third of all documents hold is no hot spot.
 
 Defined results: null texts are empty and have no chunks; ids may be of any type that Spark orders;
-places belong to a row key, a hash of id and text, so rows that share an id (or have none) are judged apart; of
+places belong to a row key, 128 bits of a digest of id and text, so rows that share an id (or have none) are judged apart; of
 equal rows one is judged and its result given once a row, the first with its first places and the
 others as copies; null ids come before all others; a chunk that occurs once stays; empty tables give no rows;
 extra columns are ignored.
@@ -28,13 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialise
+from scholia.llm.common import materialise, row_key
 
-MIN_CHUNK, AVERAGE_EXTRA, MAX_CHUNK = 32, 32, 512
+#: bytes to either side within which a border's hash is the least.
+REACH = 56
 _RANDOM = random.Random(20_240_229)
 GEAR = np.array([_RANDOM.getrandbits(32) for _ in range(256)], np.uint32)
-#: bytes of the shortest run that is removed.
-MIN_RUN = 128
 #: bytes hashed at a time.
 BLOCK = 1 << 20
 
@@ -49,33 +49,39 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(data: bytes) -> list[int]:
-    """Ends of the chunks of data, in order; the last is its length."""
-    if not data:
-        return []
-    raw, places = np.frombuffer(data, np.uint8), []
+def _least_around(h: np.ndarray, reach: int) -> np.ndarray:
+    """The least of h within `reach` places to either side, by minima from both ends of blocks of that width."""
+    width = 2 * reach + 1
+    ends = np.full(reach, np.iinfo(h.dtype).max, h.dtype)
+    padded = np.concatenate([ends, h, ends, np.full(-(len(h) + 2 * reach) % width, ends[0], h.dtype)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
+    behind = np.minimum.accumulate(padded, 1).ravel()
+    return np.minimum(ahead[: len(h)], behind[width - 1 : width - 1 + len(h)])
+
+
+def borders(data: bytes, reach: int = REACH) -> list[int]:
+    """Where the gear hash is the least within `reach` bytes to either side; of equal ones that close the first."""
+    raw, out = np.frombuffer(data, np.uint8), []
     for at in range(0, len(raw), BLOCK):
-        before = min(at, 31)
-        h = gear_hash(raw[at - before : at + BLOCK])[before:]
-        places.append(np.flatnonzero(h < np.uint32(2**32 // AVERAGE_EXTRA)) + at + 1)
-    cuts, last = [], 0
-    for p in np.concatenate(places).tolist():
-        if p - last < MIN_CHUNK:
-            continue
-        while p - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            cuts.append(last)
-        if p - last >= MIN_CHUNK:
-            last = p
+        begin = max(0, at - reach)
+        warm = max(0, begin - 31)
+        h = gear_hash(raw[warm : at + BLOCK + reach])[begin - warm :]
+        least = np.flatnonzero(h == _least_around(h, reach)) + begin
+        out.append(least[(least >= at) & (least < at + BLOCK)] + 1)
+    cuts, last = [], -reach - 1
+    for p in np.concatenate(out).tolist() if out else []:
+        if p - last > reach:
             cuts.append(p)
-    while len(data) - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        cuts.append(last)
-    if last < len(data):
-        cuts.append(len(data))
+            last = p
     return cuts
 
 
+def cut_points(data: bytes, reach: int = REACH) -> list[int]:
+    """Ends of the chunks of data, in order; the last is its length."""
+    cuts = [p for p in borders(data, reach) if reach < p < len(data) - reach]
+    return [*cuts, len(data)] if data else []
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -109,7 +115,7 @@ def chunk_table(texts: DataFrame) -> DataFrame:
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "h", "text").mapInArrow(
-        run, f"doc_id {kind}, h long, at int, size int, d1 long, d2 long, first boolean"
+        run, f"doc_id {kind}, h binary, at int, size int, d1 long, d2 long, first boolean"
     )
 
 
@@ -124,21 +130,21 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
 
 
 def removed_runs(lost: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs (from, to) of neighbouring (at, size), those of MIN_RUN bytes or more."""
+    """Maximal runs (from, to) of neighbouring (at, size)."""
     runs: list[list[int]] = []
     for at, size in lost:
         if runs and runs[-1][1] == at:
             runs[-1][1] = at + size
         else:
             runs.append([at, at + size])
-    return [(x, y) for x, y in runs if y - x >= MIN_RUN]
+    return [(x, y) for x, y in runs]
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_shared (bytes in chunks that occur elsewhere too), n_removed, n_spans, kept (binary)."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = texts.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    texts = texts.withColumn("h", row_key("doc_id", "text"))
     places = repeated_chunks(texts).groupBy("h").agg(F.collect_set(F.struct("at", "size", "removed")).alias("places"))
     # equal rows are one row with their number; the text moves once, for this and for the join
     held = texts.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: folders written by materialise(), for discard().
-_written: list[str] = []
+#: the list that materialise() adds its folders to, within scope().
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The folders that materialise() writes within the block, for discard(); what is written outside of it, or within another
+    block (of this thread or another), is not among them."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield mine
+    finally:
+        _scope.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,19 +53,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (mine := _scope.get()) is not None:
+        mine.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Remove folders: those given, or all that materialise() wrote.  Only for a caller that has
-    written the results it needs; DataFrames over these folders can't be read again."""
-    taken = paths if paths is not None else _written[:]
-    for path in taken:
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders.  Only for a caller that has written the results it needs; DataFrames over these folders can't be read again."""
+    for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    if paths is None:
-        _written.clear()
+    paths.clear()
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a digest of a row's id and text: rows that differ in either have keys of their own.  A null text counts as empty."""
+    name = F.col(id_col).cast("string")
+    told = F.concat(F.coalesce(F.concat(F.octet_length(name).cast("string"), F.lit(":"), name), F.lit(":")), text_or_empty(text_col))
+    return F.substring(F.unhex(F.sha2(told, 256)), 1, 16)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm import bpe, chunk_dedup, decontaminate, exact_dedup, filter_audit, langid, preference, secret_scan, simhash, suffix_dedup, toxicity, vafile, warc
-from scholia.llm.common import crc_mod, table
+from scholia.llm.common import crc_mod, shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two snapshots through one ledger: the half of the documents that was known first, then all of them."""
-    docs = table(spark, sf_dir, "documents")
-    findings, ledger = secret_scan.scan(docs.where(crc_mod("doc_id", 2) == 0))
-    findings, _ = secret_scan.scan(docs, ledger, findings)
+    """Two snapshots through one ledger: the half of the documents that was known first, then all of them, with the ledger
+    stored and opened again in between."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    secret_scan.store(*secret_scan.scan(docs.where(crc_mod("doc_id", 2) == 0)), path)
+    history, ledger = secret_scan.reopen(spark, path)
+    findings, _ = secret_scan.scan(docs, ledger, history)
     found = secret_scan.findings_by_path(docs, findings)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.common import materialise, text_or_empty
@@ -123,6 +123,17 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, history: DataFrame |
     return findings, scanned
 
 
+def store(findings: DataFrame, ledger: DataFrame, path: str) -> None:
+    """Write the findings and the ledger of a scan to a folder of its own, for the next one."""
+    findings.write.parquet(f"{path}/findings")
+    ledger.write.parquet(f"{path}/ledger")
+
+
+def reopen(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The findings and the ledger that store() wrote."""
+    return spark.read.parquet(f"{path}/findings"), spark.read.parquet(f"{path}/ledger")
+
+
 def current(findings: DataFrame, rules=RULES) -> DataFrame:
     """Findings of the rules' present versions."""
     now = F.lit(False)
@@ -141,6 +152,8 @@ def findings_by_path(docs: DataFrame, findings: DataFrame, rules=RULES, id_col:
         "blob_id", *[f"n_{r.kind}" for r in rules],
         F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
     )
+    # written first, so that a blob that many paths hold can be split in the join
+    spans = materialise(spans, "ledger-spans")
     paths = docs.select(F.col(id_col).alias("doc_id"), blob_id(text_col).alias("blob_id"))
     return paths.join(spans, "blob_id", "left").select(
         "doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules],

@@ -17,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialise, text_or_empty
+from scholia.llm.common import materialise, row_key
 from scholia.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -46,7 +46,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k (hash of id and text), fp for every row."""
+    """doc_id, k (digest of id and text), fp for every row."""
 
     def run(batches):
         for b in batches:
@@ -55,11 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, k long, fp long")
-
-
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), text_or_empty(text_col))
+    return rows.mapInArrow(run, f"doc_id {kind}, k binary, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -79,17 +75,21 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k, fp, component (its least fingerprint), component_id for every row."""
+    """doc_id, k, fp, component (of its least node), component_id for every row.
+
+    A node is a fingerprint with its least id before it, so that the least node of a component has the component's id
+    and no component meets in one place, however large it is."""
     fps = materialise(fingerprints(docs, shingle, seed, id_col, text_col), "simhash-fps")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    node = F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("fp"))
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", node.alias("node")), "simhash-distinct")
     # the rows are small, but each becomes 65: they are dealt out by their number, not by their bytes
     spread = distinct.select("fp").repartition(distinct.count() // FINGERPRINTS_A_TASK + 1)
-    nodes = connected_components(links(spread))
-    placed = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = materialise(placed.join(ids, "component").select("fp", "component", "component_id"), "simhash-components")
+    found = materialise(links(spread), "simhash-links")
+    ends = {c: distinct.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in ("u", "v")}
+    edges = found.join(ends["u"], "u").join(ends["v"], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    nodes = connected_components(edges)
+    placed = distinct.join(nodes, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    of_fp = materialise(placed.withColumn("component_id", F.col("component.least")), "simhash-components")
     return fps.join(of_fp, "fp").select("doc_id", "k", "fp", "component", "component_id")
 
 
@@ -101,5 +101,5 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_co
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: that with the least id; of rows that share it, the one with the least hash."""
     stay = _grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("k").alias("__k"))
-    marked = docs.withColumn("__k", row_key())
+    marked = docs.withColumn("__k", row_key("doc_id", "text"))
     return marked.join(materialise(stay.select("__k"), "simhash-stay"), "__k", "left_semi").dropDuplicates(["__k"]).select(docs.columns)

@@ -129,14 +129,24 @@ def _featurise(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -
     return out
 
 
+def _least(ids: DataFrame, most: int) -> DataFrame:
+    """The `most` ids with the least hashes.  The rows are counted first, and only those under a hash that about twice as many
+    are under are sorted, so that what meets in one task does not grow with the number of partitions."""
+    h, n = F.xxhash64("id"), ids.count()
+    if n > 2 * most:
+        near = ids.where(h < F.lit(int(-(2**63) + 2 * most / n * 2**64)))
+        if near.count() >= most:  # always, but for ids that repeat without measure
+            ids = near
+    return ids.orderBy(h, "id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the training folds.  The prior is the share of toxic among the labelled rows there."""
     known = labels.where(crc_mod(id_col, FOLDS) != 0).select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic"))
     prior = known.where("toxic IS NOT NULL").agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
-    order = [F.xxhash64("id"), F.col("id")]
-    positive = known.where("toxic = 1").select("id").distinct().orderBy(*order).limit(SAMPLE_POSITIVE).withColumn("kind", F.lit("p"))
+    positive = _least(known.where("toxic = 1").select("id").distinct(), SAMPLE_POSITIVE).withColumn("kind", F.lit("p"))
     pool = docs.where(crc_mod(id_col, FOLDS) != 0).select(F.col(id_col).alias("id")).where("id IS NOT NULL")
-    unlabelled = pool.orderBy(*order).limit(SAMPLE_UNLABELLED).distinct().withColumn("kind", F.lit("u"))
+    unlabelled = _least(pool, SAMPLE_UNLABELLED).distinct().withColumn("kind", F.lit("u"))
     sample = _featurise(docs, materialise(positive.unionByName(unlabelled), "toxicity-sample"), id_col, text_col)
     return fit(sample["p"], sample["u"], prior)
 

@@ -72,7 +72,7 @@ def test_chunks_rebuild_and_resist_shifts():
     data = bytes(rnd.randrange(256) for _ in range(20_000)) + b"x" * 3_000
     cuts = chunk_dedup.cut_points(data)
     sizes = np.diff([0, *cuts])
-    assert cuts[-1] == len(data) and sizes.max() <= chunk_dedup.MAX_CHUNK and sizes[:-1].min() >= chunk_dedup.MIN_CHUNK
+    assert cuts[-1] == len(data) and sizes.min() > chunk_dedup.REACH and 80 < sizes[: len(sizes) // 2].mean() < 160
     pieces = lambda d: {d[x:y] for x, y in zip([0, *chunk_dedup.cut_points(d)], chunk_dedup.cut_points(d))}
     assert len(pieces(data) & pieces(b"inserted " + data)) >= 0.9 * len(pieces(data))
 
@@ -86,6 +86,23 @@ def test_gear_hash_is_the_rolling_one():
     assert chunk_dedup.gear_hash(data).tolist() == want
 
 
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_borders_are_the_least_hashes_around(monkeypatch, block):
+    monkeypatch.setattr(chunk_dedup, "BLOCK", block)
+    rnd = random.Random(block)
+    for n, letters in ((0, 256), (1, 256), (57, 256), (300, 256), (5_000, 256), (3_000, 2), (2_000, 1)):
+        data = bytes(rnd.randrange(letters) for _ in range(n))
+        h = chunk_dedup.gear_hash(np.frombuffer(data, np.uint8)).tolist() if n else []
+        want, last = [], -1_000
+        for i in range(n):
+            if h[i] == min(h[max(0, i - 56) : i + 57]) and i + 1 - last > 56:
+                want.append(i + 1)
+                last = i + 1
+        assert chunk_dedup.borders(data) == want
+        ends = [p for p in want if 56 < p < n - 56]
+        assert chunk_dedup.cut_points(data) == ([*ends, n] if n else [])
+
+
 def test_chunk_dedup_against_brute_force(spark):
     texts = [*texts_with_copies(), None, ""]
     seen, want = set(), {}
@@ -97,22 +114,56 @@ def test_chunk_dedup_against_brute_force(spark):
         cut[k] = [raw[x:y] for x, y in zip([0, *ends], ends)]
         everywhere.update(cut[k])
     for k, parts in cut.items():
-        loses = []
-        for c in parts:
-            loses.append(c in seen)
+        kept = []
+        for c in parts:  # every later place of a chunk goes
+            if c not in seen:
+                kept.append(c)
             seen.add(c)
-        kept, run = [], b""
-        for c, lost in zip([*parts, b""], [*loses, False]):
-            if lost:
-                run += c
-                continue
-            kept += [run if len(run) < chunk_dedup.MIN_RUN else b"", c]
-            run = b""
         want[k] = (b"".join(kept), sum(len(c) for c in parts if everywhere[c] > 1))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: (bytes(r["kept"]), r["n_shared"]) for r in chunk_dedup.deduplicate(df).collect()} == want
 
 
+def test_passages_of_fifty_words_are_found_again(spark):
+    """Passages of over 50 words, each in two texts at other places: nearly all are cut out of the second one, and texts with repeated short lines keep them."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 11)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(rnd.randrange(51, 120)) for _ in range(300)]
+    rows = [(k, text(rnd.randrange(5, 90)) + " " + p + " " + text(rnd.randrange(5, 90))) for k, p in enumerate(passages)]
+    rows += [(1_000 + k, text(rnd.randrange(5, 90)) + " " + p + " " + text(rnd.randrange(5, 90))) for k, p in enumerate(passages)]
+    line = "All rights reserved. Read the terms before use."
+    rows += [(2_000 + k, f"{text(60)}\n{line}\n{text(60)}") for k in range(200)]
+    got = {r["doc_id"]: r["n_removed"] for r in chunk_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()}
+    assert sum(got[1_000 + k] > 0 for k in range(300)) >= 0.9 * 300
+    assert all(got[k] == 0 for k in range(300)) and sum(got[2_000 + k] > 0 for k in range(200)) <= 4
+
+
+def colliding_rows():
+    """Two rows whose ids and texts have the same 64-bit hash by xxhash64, and unlike texts."""
+    mask, p1, p2, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5
+    i1, i2 = pow(p1, -1, 1 << 64), pow(p2, -1, 1 << 64)
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & mask
+    seeds = [xxhash.xxh64_intdigest(str(k).encode(), 42) for k in (1, 2)]
+    rnd = random.Random(5)
+    while True:  # a text of eight bytes is one lane, which a hash leads back to
+        one = bytes(rnd.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(8))
+        lane = turn(int.from_bytes(one, "little") * p2 & mask, 31) * p1 & mask
+        lane ^= ((seeds[0] + p5 + 8) & mask) ^ ((seeds[1] + p5 + 8) & mask)
+        other = (turn(lane * i1 & mask, 33) * i2 & mask).to_bytes(8, "little")
+        if all(0x20 <= b < 0x7F for b in other):
+            return (1, one.decode()), (2, other.decode())
+
+
+def test_rows_with_the_same_64_bit_hash_stay_apart(spark):
+    rows = colliding_rows()
+    a, b = (xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(str(k).encode(), 42)) for k, t in rows)
+    assert a == b and rows[0][1] != rows[1][1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], bytes(r["kept"]).decode()) for r in chunk_dedup.deduplicate(df).collect()} == set(rows)
+    assert {tuple(r) for r in simhash.deduplicate(df).collect()} == set(rows)
+
+
 def reference_encoder():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

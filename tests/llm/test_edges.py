@@ -11,6 +11,8 @@ from scholia.llm import bpe, chunk_dedup, decontaminate, exact_dedup, langid, pr
 
 import public_tokenizers
 
+from scholia.llm.common import discard, scope
+
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, row string, fp long, path string, "
     "kinds string, words string, blob_id string, id long, h long, places string, spans string"
@@ -148,6 +150,51 @@ def test_neighbours_are_paired_once_within_buckets(spark):
     assert 900 < len(met) < 1_000 and max(n.values()) <= 2 and len(n) > 990
 
 
+def test_results_that_are_held_outlive_the_pipeline(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"words of text {k % 20}", "en", "s", 10) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "nothing like it")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    held = [simhash.near_groups(docs), exact_dedup.exact_groups(docs), secret_scan.scan(docs)[0], chunk_dedup.deduplicate(docs)]
+    first, second = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    assert first.count() == second.count() > 0
+    assert [h.count() for h in held] == [60, 60, 0, 60]
+    with scope() as mine:
+        inner = exact_dedup.exact_groups(docs)
+        with scope() as other:
+            exact_dedup.exact_groups(docs)
+    assert mine and other and not set(mine) & set(other)
+    discard(spark, other)
+    assert other == [] and inner.count() == 60
+
+
+def test_a_ledger_that_is_stored_scans_nothing_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "password = abcdef123"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    secret_scan.store(*secret_scan.scan(docs), path)
+    history, ledger = secret_scan.reopen(spark, path)
+    assert secret_scan.unseen_pairs(docs, ledger).count() == 0
+    more = docs.union(spark.createDataFrame([(4, "token: zzzzzz99"), (5, "password = abcdef123")], docs.schema))
+    assert secret_scan.unseen_pairs(more, ledger).select("blob_id").distinct().count() == 1
+    findings, _ = secret_scan.scan(more, ledger, history)
+    assert {r["doc_id"]: r["n_assign"] for r in secret_scan.findings_by_path(more, findings).collect()} == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+def test_the_sample_is_the_same_with_and_without_the_first_cut(spark):
+    ids = spark.range(5_000)
+    want = sorted(r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(300).collect())
+    assert sorted(r["id"] for r in toxicity._least(ids, 300).collect()) == want
+    assert toxicity._least(spark.createDataFrame([(7,)] * 3_000, "id long"), 100).count() == 100
+    assert toxicity._least(ids.limit(0), 5).count() == 0 and toxicity._least(ids, 6_000).count() == 5_000
+
+
+def test_near_groups_of_ids_that_repeat_or_are_missing(spark):
+    rows = [(5, "alpha beta gamma delta"), (5, "another text altogether here"), (None, "alpha beta gamma delta"), (None, "only without an id"), (9, "alpha beta gamma delta"), (2, "another text altogether here")]
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 5), (2, 2), (5, 2), (5, 5), (9, 5)]
+
+
 def test_chunk_dedup_of_rows_that_share_an_id(spark):
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
