@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from scholia.llm.common import discard, shared_dir, table
+from scholia.llm.common import discard, scope, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result.  A stage's inputs are removed once its rows are written."""
+    """The last stage's result.  What a stage read and wrote on its way is removed once its rows are written."""
     docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        discard(spark)
+        with scope() as used:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, used)
         discard(spark, before)
         docs, before = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
