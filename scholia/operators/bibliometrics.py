@@ -74,7 +74,8 @@ def author_stats(p: DataFrame, n: int = 20, n_corresponding: int = 10) -> DataFr
     metric = F.explode(F.array_compact(F.array(F.lit("author"), F.when(F.col("corresponding"), "corresponding"))))
     counts = named.select(metric.alias("metric"), "name").groupBy("metric", "name").agg(F.count(F.lit(1)).alias("n"))
     return _ranked(counts, {"author": n, "corresponding": n_corresponding}).unionByName(
-        _totals(counts, distinct_authors=F.count_if(F.col("metric") == "author"), distinct_corresponding=F.count_if(F.col("metric") == "corresponding"))
+        # of the same columns as above, so that the counts are shuffled once for both
+        _totals(counts, distinct_authors=F.count_if((F.col("metric") == "author") & (F.col("n") > 0)), distinct_corresponding=F.count_if((F.col("metric") == "corresponding") & (F.col("n") > 0)))
     )
 
 
@@ -143,7 +144,8 @@ def author_network(p: DataFrame) -> DataFrame:
     )
     counts = p.select("FirstAuthor", F.coalesce("Authors", F.array().cast(p.schema["Authors"].dataType)).alias("Authors")).select(F.explode(told).alias("x")).groupBy("x.metric", "x.name").agg(F.count(F.lit(1)).alias("n"))
     of = lambda m: F.sum(F.when(F.col("metric") == m, F.col("n")))
-    return _ranked(counts.where("metric != 'paper'"), {"author": 8, "corresponding": 5, "first_author": 5}).unionByName(
+    # the metric without a limit drops out of the ranking, not of the counts, which are shuffled once for both parts
+    return _ranked(counts, {"author": 8, "corresponding": 5, "first_author": 5}).unionByName(
         _totals(counts, papers_with_authors=of("paper"), corresponding_total=of("corresponding"))
     )
 
@@ -181,11 +183,14 @@ def funding_profile(p: DataFrame) -> DataFrame:
 
 def impact_profile(p: DataFrame) -> DataFrame:
     """Over positive counts: sum, mean, maximum and how many exceed twice the mean."""
-    values = p.select(F.explode(F.create_map(
+    found = p.select(F.explode(F.create_map(
         F.lit("downloads"), F.col("Metrics.download_count").cast("long"), F.lit("citations"), F.col("Metrics.citation_count").cast("long")
     )).alias("metric", "v")).where("v > 0")
-    base = values.groupBy("metric").agg(F.sum("v").alias("total"), F.avg("v").alias("mean"), F.max("v").alias("largest"), F.count(F.lit(1)).alias("papers"))
-    high = values.join(F.broadcast(base), "metric").groupBy("metric").agg(F.count_if(F.col("v") > 2 * F.col("mean")).alias("high"))  # base has two rows
+    # papers by value, counted once: both steps below read these counts
+    values = found.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum(F.col("v") * F.col("n"))
+    base = values.groupBy("metric").agg(total.alias("total"), (total / F.sum("n")).alias("mean"), F.max("v").alias("largest"), F.sum("n").alias("papers"))
+    high = values.join(F.broadcast(base.select("metric", "mean")), "metric").groupBy("metric").agg(F.sum(F.when(F.col("v") > 2 * F.col("mean"), F.col("n")).otherwise(0)).alias("high"))  # base has two rows
     return base.join(high, "metric")
 
 
