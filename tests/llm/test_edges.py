@@ -87,6 +87,35 @@ def test_weak_digest_falls_back_on_bytes(spark):
     assert got == {0: (0, 2), 1: (1, 2), 2: (0, 2), 3: (3, 1), 4: (1, 2), 5: (5, 1), 6: (6, 1)}
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_levels_of_runs_give_the_groups_and_filters_let_single_texts_pass(spark, keep):
+    rnd = random.Random(4)
+    rows = [(k, f"text {rnd.randrange(400) if rnd.random() < 0.3 else 1_000 + k}") for k in range(3_000)] + [(None, "text 7"), (None, "alone"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(23)
+    index = exact_dedup.build_index(docs, keep=keep, runs=9, fanout=3)
+    assert [lv.number for lv in index.levels] == [9, 3, 1]
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(hashlib.sha256((t or "").encode()).digest(), []).append(k)
+    pick = {"smallest": min, "largest": max}[keep]
+    want = {(d, pick((k for k in ks if k is not None), default=None), len(ks)) for d, ks in groups.items()}
+    assert {(bytes(r["digest"]), r["keep_id"], r["n"]) for r in index.top.collect()} == want
+    for lv in index.levels:
+        assert lv.runs.groupBy("run", "digest").count().where("count > 1").isEmpty()
+    for looked_up, passed in index.passed():  # most digests are in one run, and no filter of another holds them
+        assert 0.6 * looked_up < passed < looked_up
+
+
+def test_a_full_filter_lets_all_through_and_changes_nothing(spark, monkeypatch):
+    rows = [(k, f"text {k % 700}") for k in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    told = lambda: {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()}
+    want = {(k, k % 700, 2 if k % 700 < 300 else 1) for k in range(1_000)}
+    assert told() == want
+    monkeypatch.setattr(exact_dedup, "_slot", lambda digest, bits: F.pmod(F.xxhash64(digest), F.lit(3)))  # three bits for all digests
+    assert told() == want
+
+
 def test_probe_finds_known_texts(spark):
     old = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
     new = spark.createDataFrame([(100, "text 7"), (101, "new"), (102, None)], "doc_id long, text string")
