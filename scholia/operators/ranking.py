@@ -29,6 +29,49 @@ def dedupe_papers(papers: DataFrame, title: str = "Title", year: str = "Publicat
     return papers.withColumn("__key", key).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__key", "__rn")
 
 
+def _prefix_keys(titles: DataFrame, most: int, q: int) -> DataFrame:
+    """pos, title, key: the rarest parts of q characters of each title, one more than `most` edits can change.  A part that a title has
+    several times counts as several parts."""
+    # characters are split off once; an array of one element binds them
+    letters = F.array(F.split("title", ""))
+    parts = F.transform(letters, lambda a: F.transform(F.slice(a, 1, F.size(a) - q + 1), lambda c, i: F.concat(c, *[F.get(a, i + k) for k in range(1, q)])))
+    rows = titles.select("pos", F.explode(F.get(parts, F.lit(0))).alias("part")).groupBy("pos", "part").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = rows.select("pos", "part", F.explode(F.sequence(F.lit(1), "n")).alias("no"))
+    count = rows.groupBy("part", "no").agg(F.count(F.lit(1)).alias("titles"))
+    # the same order for all titles: by rarity, then by the part
+    rare = Window.partitionBy("pos").orderBy("titles", "part", "no")
+    first = rows.join(count, ["part", "no"]).withColumn("r", F.row_number().over(rare)).where(F.col("r") <= most * q + 1)
+    return first.select("pos", F.concat_ws("\x00", "part", F.col("no").cast("string")).alias("key")).join(titles, "pos")
+
+
+def _deletion_keys(titles: DataFrame, most: int) -> DataFrame:
+    """pos, title, key: each title with up to `most` characters left out."""
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    keys = F.array("title")
+    for _ in range(most):
+        keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, without))))
+    return titles.select("pos", "title", F.explode(keys).alias("key"))
+
+
+def near_titles(papers: DataFrame, most: int = 2, title: str = "Title", order: str = "pos", q: int = 3) -> DataFrame:
+    """D1, as an extra: pos, other, distance: pairs of unlike titles (trimmed, in lower case; each by its first row in `order`) that at most
+    `most` edits tell apart; all of them, and no others.
+
+    Titles within so many edits share one of their rarest parts of q characters, of which one more is taken than the edits
+    can change; short ones, which have too few parts, share what is left when up to `most` characters are taken out.
+    Candidates meet on these keys and by length, and are verified by an edit distance that stops at `most`.  Copies of a
+    title are one; blank and null titles have no partner."""
+    folded = F.lower(strip(title))
+    titles = papers.select(F.col(order).alias("pos"), folded.alias("title")).where("title != ''").groupBy("title").agg(F.min("pos").alias("pos"))
+    size, least = F.length("title"), (most + 1) * q  # from this length on a title has enough parts
+    keys = _prefix_keys(titles.where(size >= least), most, q).select("pos", "title", F.lit(0).alias("kind"), "key").unionByName(
+        _deletion_keys(titles.where(size < least + most), most).select("pos", "title", F.lit(1).alias("kind"), "key"))
+    one, two = (keys.select("kind", "key", F.col("pos").alias(f"p{k}"), F.col("title").alias(f"t{k}")) for k in (1, 2))
+    met = one.join(two, ["kind", "key"]).where((F.col("p1") < F.col("p2")) & (F.abs(F.length("t1") - F.length("t2")) <= most))
+    told = met.select("p1", "p2", "t1", "t2").dropDuplicates(["p1", "p2"]).withColumn("distance", F.levenshtein("t1", "t2", most))
+    return told.where("distance >= 0").select(F.col("p1").alias("pos"), F.col("p2").alias("other"), "distance")
+
+
 def union_languages(by_lang: dict[str, DataFrame]) -> DataFrame:
     """All rows, with their language as a column."""
     out = None

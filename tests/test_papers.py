@@ -170,3 +170,40 @@ def test_search_by_broadcast_and_by_salt(spark, monkeypatch):
     assert got() == want
     plan = ranking.matching_papers(q, p, fields)._jdf.queryExecution().optimizedPlan().toString()
     assert "salt" in plan
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_titles_are_all_pairs_within_two_edits(spark):
+    import random
+
+    from scholia.operators import ranking
+
+    rnd = random.Random(8)
+    titles = ["aaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaa", "aaaaaaa", "", None, "  ", "ab", "b", "ba", "Ünï côdé tïtle", "ünï code tïtle"]
+    while len(titles) < 1_000:
+        if rnd.random() < 0.5 and len(titles) > 20:
+            t = list(rnd.choice([x for x in titles if x]))
+            for _ in range(rnd.randrange(4)):
+                k = rnd.randrange(len(t) + 1)
+                t[k : k + rnd.randrange(2)] = rnd.choice([[], [rnd.choice("abc ")]])
+            titles.append("".join(t))
+        else:
+            titles.append("".join(rnd.choice("abcdef ") for _ in range(rnd.choice([3, 6, 8, 9, 10, 11, 12, 20, 40]))))
+    first = {}
+    for k, t in enumerate(titles):
+        if t and t.strip():
+            first.setdefault(t.strip().lower(), k)
+    rows = list(first.items())
+    want = {(min(i, j), max(i, j), d) for x, (a, i) in enumerate(rows) for b, j in rows[:x] if abs(len(a) - len(b)) < 3 and (d := edits(a, b)) <= 2}
+    df = spark.createDataFrame(list(enumerate(titles)), "pos int, Title string")
+    got = [tuple(r) for r in ranking.near_titles(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 300
+    assert ranking.near_titles(df.limit(0)).count() == 0
