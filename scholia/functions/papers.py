@@ -69,7 +69,9 @@ def paper_keywords() -> Column:
 
 def is_person_name(c: Column) -> Column:
     """Filled, at most 50 characters, no word of an institution."""
-    return F.coalesce((c != "") & (F.length(c) <= 50) & ~contains_any(F.lower(c), [w.lower() for w in INSTITUTION_WORDS]), F.lit(False))
+    # one pattern, so that a name is put into lower case once
+    institution = "|".join(f"\\Q{w.lower()}\\E" for w in INSTITUTION_WORDS)
+    return F.coalesce((c != "") & (F.length(c) <= 50) & ~F.lower(c).rlike(institution), F.lit(False))
 
 
 def fund_source(c: Column) -> Column:

@@ -138,10 +138,11 @@ def author_network(p: DataFrame) -> DataFrame:
     row = lambda metric, name: F.struct(F.lit(metric).alias("metric"), name.alias("name"))
     people = F.filter("Authors", lambda a: is_person_name(a["name"]))
     first = F.when((F.size("Authors") > 0) & is_person_name(F.col("FirstAuthor")), blank_to_null(F.col("FirstAuthor")))
-    told = F.concat(
-        F.transform(people, lambda a: row("author", a["name"])), F.transform(F.filter(people, lambda a: a["corresponding"]), lambda a: row("corresponding", a["name"])),
-        F.array_compact(F.array(F.when(first.isNotNull(), row("first_author", first)), F.when(F.size(people) > 0, row("paper", F.lit(""))))),
+    told = lambda found: F.concat(
+        F.transform(found, lambda a: row("author", a["name"])), F.transform(F.filter(found, lambda a: a["corresponding"]), lambda a: row("corresponding", a["name"])),
+        F.array_compact(F.array(F.when(first.isNotNull(), row("first_author", first)), F.when(F.size(found) > 0, row("paper", F.lit(""))))),
     )
+    told = F.get(F.transform(F.array(people), told), F.lit(0))  # the people are found once a paper
     counts = p.select("FirstAuthor", F.coalesce("Authors", F.array().cast(p.schema["Authors"].dataType)).alias("Authors")).select(F.explode(told).alias("x")).groupBy("x.metric", "x.name").agg(F.count(F.lit(1)).alias("n"))
     of = lambda m: F.sum(F.when(F.col("metric") == m, F.col("n")))
     # the metric without a limit drops out of the ranking, not of the counts, which are shuffled once for both parts
