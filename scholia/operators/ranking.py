@@ -53,9 +53,9 @@ def _deletion_keys(titles: DataFrame, most: int) -> DataFrame:
     return titles.select("pos", "title", F.explode(keys).alias("key"))
 
 
-def near_titles(papers: DataFrame, most: int = 2, title: str = "Title", order: str = "pos", q: int = 3) -> DataFrame:
+def near_titles(papers: DataFrame, most: int = 2, title: str = "Title", order: str = "pos", q: int = 3, in_bytes: bool = False) -> DataFrame:
     """D1, as an extra: pos, other, distance: pairs of unlike titles (trimmed, in lower case; each by its first row in `order`) that at most
-    `most` edits tell apart; all of them, and no others.
+    `most` edits tell apart; all of them, and no others.  An edit is one of a character, or of a byte in UTF-8 if `in_bytes`.
 
     Titles within so many edits share one of their rarest parts of q characters, of which one more is taken than the edits
     can change; short ones, which have too few parts, share what is left when up to `most` characters are taken out.
@@ -63,6 +63,8 @@ def near_titles(papers: DataFrame, most: int = 2, title: str = "Title", order: s
     title are one; blank and null titles have no partner."""
     folded = F.lower(strip(title))
     titles = papers.select(F.col(order).alias("pos"), folded.alias("title")).where("title != ''").groupBy("title").agg(F.min("pos").alias("pos"))
+    if in_bytes:  # each byte as a character of its own
+        titles = titles.select(F.decode(F.encode("title", "UTF-8"), "ISO-8859-1").alias("title"), "pos")
     size, least = F.length("title"), (most + 1) * q  # from this length on a title has enough parts
     keys = _prefix_keys(titles.where(size >= least), most, q).select("pos", "title", F.lit(0).alias("kind"), "key").unionByName(
         _deletion_keys(titles.where(size < least + most), most).select("pos", "title", F.lit(1).alias("kind"), "key"))

@@ -207,3 +207,14 @@ def test_near_titles_are_all_pairs_within_two_edits(spark):
     got = [tuple(r) for r in ranking.near_titles(df).collect()]
     assert set(got) == want and len(got) == len(want) > 300
     assert ranking.near_titles(df.limit(0)).count() == 0
+
+
+def test_near_titles_by_bytes(spark):
+    from scholia.operators import ranking
+
+    titles = ["kühle", "kéhle", "kahle", "kahl", "Übersicht der Verfahren", "übersicht dér verfahren", "ubersicht der verfahren", "übérsicht dér verfahren"]
+    rows = list(enumerate(t.lower().encode().decode("latin-1") for t in titles))
+    want = {(i, j, d) for i, a in rows for j, b in rows if i < j and (d := edits(a, b)) <= 2}
+    df = spark.createDataFrame(list(enumerate(titles)), "pos int, Title string")
+    assert {tuple(r) for r in ranking.near_titles(df, in_bytes=True).collect()} == want
+    assert (1, 3) not in {(a, b) for a, b, _ in want} and (1, 3, 2) in {tuple(r) for r in ranking.near_titles(df).collect()}
