@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholia.operators import bibliometrics, logs, quality, ranking, scoring
@@ -218,3 +219,15 @@ def test_near_titles_by_bytes(spark):
     df = spark.createDataFrame(list(enumerate(titles)), "pos int, Title string")
     assert {tuple(r) for r in ranking.near_titles(df, in_bytes=True).collect()} == want
     assert (1, 3) not in {(a, b) for a, b, _ in want} and (1, 3, 2) in {tuple(r) for r in ranking.near_titles(df).collect()}
+
+
+def test_blocks_of_theses_are_large_so_that_papers_are_seldom_repeated(spark, monkeypatch):
+    v = spark.range(9_000).selectExpr("id", "array(cast(id AS float), 1f) AS embedding", "'x' AS lang")
+    t, p = v.selectExpr("id AS thesis_id", "embedding"), v.limit(3).selectExpr("id AS paper_id", "lang", "embedding")
+    sent = []
+    kind = type(v)
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **k: (sent.append(df), whole(df, *a, **k))[1])
+    got = ranking.all_similarities(t, p)
+    assert got.count() == 27_000
+    assert sent[0].count() <= 9_000 + 3 * 2
