@@ -195,23 +195,21 @@ def impact_profile(p: DataFrame) -> DataFrame:
     return base.join(high, "metric")
 
 
-def _keyword_rows(p: DataFrame) -> DataFrame:
-    return p.select("pos", "lang", "PublicationYear", F.explode(paper_keywords()).alias("keyword"))
-
-
 def keyword_trends(p: DataFrame, n: int = 12, years: int = 3, per_year: int = 3) -> DataFrame:
     """Top keywords with percent of papers, and the top of each of the latest years."""
-    counts = _keyword_rows(p).groupBy(F.col("PublicationYear").alias("year"), F.col("keyword").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    papers = p.agg(F.count(F.lit(1)).alias("papers"))
-    overall = top(counts.groupBy("name").agg(F.sum("n").alias("n")), n).crossJoin(F.broadcast(papers)).select(  # one row
-        F.lit("all").alias("scope"), "name", "n", F.round(F.col("n") * 100.0 / F.col("papers"), 6).alias("percent")
-    )
-    by_year = counts.where(blank_to_null(F.col("year")).isNotNull())
-    latest = by_year.select("year").distinct().orderBy(F.col("year").desc()).limit(years)
-    ranked = by_year.join(F.broadcast(latest), "year").withColumn(  # a row a year, `years` at most
-        "r", F.row_number().over(Window.partitionBy("year").orderBy(F.col("n").desc(), "name"))
-    )
-    return overall.unionByName(ranked.where(F.col("r") <= per_year).select(F.col("year").alias("scope"), "name", "n", F.lit(None).cast("double").alias("percent")))
+    # papers are gone through once: a null name stands for the paper itself
+    names = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(paper_keywords(), F.array().cast("array<string>")))
+    counts = p.select(F.col("PublicationYear").alias("year"), F.explode(names).alias("name")).groupBy("year", "name").agg(F.count(F.lit(1)).alias("n"))
+    scope = lambda whole, c: F.struct(F.lit(whole).alias("whole"), c.alias("scope"))
+    scopes = F.array_compact(F.array(scope(True, F.lit("all")), F.when(blank_to_null(F.col("year")).isNotNull(), scope(False, F.col("year")))))
+    sums = counts.select(F.explode(scopes).alias("s"), "name", "n").groupBy("s.whole", "s.scope", "name").agg(F.sum("n").alias("n")).withColumn("paper", F.col("name").isNull())
+    best = Window.partitionBy("whole", "scope", "paper").orderBy(F.col("n").desc(), "name")
+    ranked = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(n, per_year)).where(F.col("r") <= F.when(F.col("whole"), n).otherwise(per_year))
+    # what is left are a few rows a year
+    told = ranked.withColumn("papers", F.max(F.when(F.col("whole") & F.col("paper"), F.col("n"))).over(Window.partitionBy(F.lit(0)))).where("NOT paper")
+    latest = F.dense_rank().over(Window.partitionBy("whole").orderBy(F.col("scope").desc()))
+    return told.withColumn("d", latest).where(F.col("whole") | (F.col("d") <= years)).select(
+        "scope", "name", "n", F.when(F.col("whole"), F.round(F.col("n") * 100.0 / F.col("papers"), 6)).alias("percent"))
 
 
 def theme_rows(p: DataFrame) -> DataFrame:
@@ -253,13 +251,15 @@ def stage_counts(stages: DataFrame) -> DataFrame:
 
 def metadata_report(p: DataFrame) -> DataFrame:
     """Latest ten years; top authors and affiliations of more than one paper; top subjects."""
-    years = p.select(year_of(F.col("PublicationYear")).alias("y")).where("y IS NOT NULL").groupBy(F.col("y").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    authors = top(counted(_authors(p), F.col("name")), 10).where("n > 1")
-    places = top(counted(p.select(F.explode("Affiliations.name").alias("name")), F.col("name")), 10).where("n > 1")
-    return _union(
-        _tagged("year", years.orderBy(F.col("name").desc()).limit(10)), _tagged("author", authors), _tagged("affiliation", places),
-        _tagged("subject_1", top(counted(p, F.col("Repository.subject_category_1")), 8)),
-    )
+    # papers are gone through once
+    item = lambda metric, c: F.struct(F.lit(metric).alias("metric"), c.cast("string").alias("name"))
+    items = lambda metric, c: F.coalesce(F.transform(c, lambda x: item(metric, x)), F.array().cast("array<struct<metric string, name string>>"))
+    own = F.array(item("year", year_of(F.col("PublicationYear"))), item("subject_1", F.col("Repository.subject_category_1")))
+    named = p.select(F.explode(F.concat(own, items("author", F.col("Authors.name")), items("affiliation", F.col("Affiliations.name")))).alias("x"))
+    counts = named.select("x.metric", blank_to_null(F.col("x.name")).alias("name")).where("name IS NOT NULL").groupBy("metric", "name").agg(F.count(F.lit(1)).alias("n"))
+    latest = F.when(F.col("metric") == "year", F.col("name")).desc()
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(latest, F.col("n").desc(), "name"))).where("r <= 10")
+    return ranked.where(F.when(F.col("metric") == "subject_1", F.col("r") <= 8).otherwise((F.col("metric") == "year") | (F.col("n") > 1))).select("metric", "name", "n")
 
 
 def theme_lookup(p: DataFrame, terms: list[str]) -> DataFrame:

@@ -231,3 +231,12 @@ def test_blocks_of_theses_are_large_so_that_papers_are_seldom_repeated(spark, mo
     got = ranking.all_similarities(t, p)
     assert got.count() == 27_000
     assert sent[0].count() <= 9_000 + 3 * 2
+
+
+@pytest.mark.parametrize("name", ["a14_keyword_trends", "a29_metadata_report"])
+def test_papers_are_gone_through_once(spark, name):
+    from scholia import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    (lines,) = [x for x in plan.split("\n") if "collect_list(" in x]
+    assert ("p_type" in lines, "s_name" in lines) == (name == "a14_keyword_trends", name == "a29_metadata_report")
