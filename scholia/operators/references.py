@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
-from scholia.operators.lines import in_order, lines_of, once
+from scholia.operators.lines import each_text, in_order, lines_of, once
 
 # Headings and end markers, in the order in which they are tried.
 BLOCK_HEADINGS = (r"#+\s*参考文献\s*\n", r"参考文献\s*\n", r"References\s*\n", r"REFERENCES\s*\n", r"参\s*考\s*文\s*献")
@@ -245,13 +244,8 @@ def chunk_references(blocks: DataFrame, size: int = 15_000) -> DataFrame:
                 places = [m.start() for m in marker.finditer(text[zone : end + 500])]
                 if places:
                     end = max(zone + places[len(places) // 2], at + 1)
-            yield text[at:end].strip()
+            if piece := text[at:end].strip():
+                yield piece
             at = end
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(d, k, c) for d, t in zip(pdf["doc_id"], pdf["block"]) for k, c in enumerate(x for x in cut(t or "") if x)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])
-
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    return blocks.select("doc_id", "block").mapInPandas(run, f"doc_id {kind}, chunk_no int, chunk string")
+    return each_text(blocks.select("doc_id", F.col("block").alias("text")), lambda t: enumerate(cut(t)), chunk_no="int", chunk="string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from scholia.functions.text import SPACE, blank_to_null, is_chinese, section_type, strip
-from scholia.operators.lines import doc_window, in_order, lines_of
+from scholia.operators.lines import doc_window, each_text, in_order, lines_of
 
 # Fixed patterns of title lines, in this order; the last two take unnumbered lines.
 NUMBERED_TITLES = (
@@ -193,12 +193,7 @@ def chunk_text(docs: DataFrame, size: int = 32_000, look: int = 1000) -> DataFra
         if at < len(text) or not text:
             yield text[at:]
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(d, k, c) for d, t in zip(pdf["doc_id"], pdf["text"]) for k, c in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, chunk string")
+    return each_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda t: enumerate(cut(t)), chunk_no="int", chunk="string")
 
 
 def chunk_by_words(docs: DataFrame, words: int = 1000) -> DataFrame:

@@ -251,3 +251,19 @@ def test_next_section_has_its_title_on_its_line(spark):
     text = "start\n摘要\nsome words\n46895.\nmore words here\n12. Numbered part\nend"
     (row,) = chapters.locate_section(docs(spark, text), "摘要").collect()
     assert (row["end_pos"], row["next_section"]) == (text.index("\n12."), "12. Numbered part")
+
+
+def test_rows_of_texts_are_handed_on_by_size(spark, monkeypatch):
+    from scholia.operators import lines
+
+    sent = []
+    whole = lines.pa.RecordBatch
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema: sent.append(f))
+    lines.each_text(docs(spark, "x"), lambda t: enumerate(t.split()), chunk_no="int", chunk="string")
+    batch = whole.from_pydict({"doc_id": list(range(5)), "text": ["a b " * (1 << 17), "", None, "c", "d"]})
+    got = list(sent[0](iter([batch])))
+    assert sum(x.num_rows for x in got) == (1 << 18) + 2
+    monkeypatch.setattr(lines, "HELD_CHARS", 1000)
+    assert len(list(sent[0](iter([batch])))) == 2
+    assert [(r["doc_id"], r["chunk"]) for x in sent[0](iter([batch])) for r in x.to_pylist()][-2:] == [(3, "c"), (4, "d")]
