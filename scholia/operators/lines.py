@@ -27,9 +27,9 @@ def once(df: DataFrame, *keep: str, **made: Column) -> DataFrame:
 
 
 def each_text(docs: DataFrame, rows: Callable[[str], Iterable[tuple]], **columns: str) -> DataFrame:
-    """doc_id and the columns (int or string), a row for each tuple that rows(text) gives of docs' texts, a null one being empty.  They are
+    """doc_id and the columns (int, double or string), a row for each tuple that rows(text) gives of docs' texts, a null one being empty.  They are
     handed on whenever the texts reach HELD_CHARS, so what a task holds does not follow its rows."""
-    kinds = [{"int": pa.int32(), "string": pa.string()}[k] for k in columns.values()]
+    kinds = [{"int": pa.int32(), "double": pa.float64(), "string": pa.string()}[k] for k in columns.values()]
 
     def run(batches):
         for batch in batches:

@@ -439,11 +439,8 @@ LOCATED = (("结论", "结论", 2.0), ("中文摘要", "摘要", 2.0), ("Abstrac
 
 
 def located(d):
-    out, texts = None, marks(d)
-    for asked, _, _ in LOCATED:
-        told = ch.locate_section(texts, asked).select(F.lit(asked).alias("section"), "doc_id", "title", "score", "start_pos", "end_pos", "start_line", "end_line", "next_section", F.md5("content").alias("digest"))
-        out = told if out is None else out.unionByName(told)
-    return out
+    told = ch.locate_sections(marks(d), [asked for asked, _, _ in LOCATED])
+    return told.withColumn("digest", F.md5("content")).drop("content")
 
 
 add("x17_locate_section", lambda d, *_: located(d), f"WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents)" + " UNION ALL ".join(f"""

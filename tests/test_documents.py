@@ -277,3 +277,23 @@ def test_chapters_are_numbered_as_in_the_contents_list(spark):
     # without a list, or where it has no numbers, every kind counts
     assert len(said(body)) == len(said("目录\nAlpha....3\n" + body)) == 7
     assert len(said("目 录\n第1章 Alpha....3")) == 1
+
+
+def test_first_chapter_is_no_number_of_another_kind(spark):
+    text = "1.17.5.93 Foo bar\n1.2 Background of it\n1.\nsome words here\n绪论\nbody\n参考文献\n"
+    (row,) = chapters.locate_section(docs(spark, text), "第一章").collect()
+    assert (row["title"], row["score"], row["start_line"], row["next_section"]) == ("绪论", 1.8, 5, "参考文献")
+    (row,) = chapters.locate_section(docs(spark, text + "1. A real title\nx"), "第一章").collect()
+    assert (row["title"], row["score"], row["end_line"]) == ("A real title", 1.9, 9)
+
+
+def test_sections_are_located_together(spark):
+    text = "intro\n \n 中文摘要 \nwords\n\n\n3. Part three\nAbstract\nmore\n结 论\n附录"
+    got = {r["section"]: (r["title"], r["score"], r["start_pos"], r["end_pos"], r["next_section"], r["content"]) for r in chapters.locate_sections(docs(spark, text, None, ""), ["摘要", "abstract", "结论", "第二章", "more"]).collect()}
+    at = text.index
+    assert got == {
+        "摘要": ("中文摘要", 2.0, at(" \n 中"), at("\n\n\n3"), "3. Part three", "中文摘要 \nwords"), "abstract": ("Abstract", 2.0, at("Abstract"), at("\n结"), "结 论", "Abstract\nmore"),
+        "结论": ("结 论", 2.0, at("结"), at("\n附"), "附录", "结 论"), "more": ("more", 2.0, at("more"), at("\n结"), "结 论", "more"),
+    }
+    blank = "\n" * 200_000  # gone through once
+    assert chapters.locate_section(docs(spark, blank + "摘要" + blank), "摘要").first()["start_pos"] == 0
