@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import blank_to_null, strip
+from scholia.sources.io import scratch
 
 # Fixed words of the composite score.
 NATIONAL_FUNDS = ("国家自然科学基金", "国家重点研发")
+#: letters that are counted in titles: an edit changes at most two of the counts, each by one.
+COUNTED = " aeinrt"
 #: rows of a block of theses, rows of a slice of papers where all pairs or the best are kept, theses and papers scored at a time.
 THESES, PAIR_PAPERS, BEST_PAPERS, STEP = 8_192, 16_384, 32_768, 256
 #: slices of papers (all pairs) or blocks of theses (the best) made if there are rows enough, so that few rows are spread too; the most
@@ -32,49 +35,63 @@ def dedupe_papers(papers: DataFrame, title: str = "Title", year: str = "Publicat
     return papers.withColumn("__key", key).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__key", "__rn")
 
 
-def _prefix_keys(titles: DataFrame, most: int, q: int) -> DataFrame:
-    """pos, title, key: the rarest parts of q characters of each title, one more than `most` edits can change.  A part that a title has
-    several times counts as several parts."""
-    # characters are split off once; an array of one element binds them
-    letters = F.array(F.split("title", ""))
-    parts = F.transform(letters, lambda a: F.transform(F.slice(a, 1, F.size(a) - q + 1), lambda c, i: F.concat(c, *[F.get(a, i + k) for k in range(1, q)])))
-    rows = titles.select("pos", F.explode(F.get(parts, F.lit(0))).alias("part")).groupBy("pos", "part").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    rows = rows.select("pos", "part", F.explode(F.sequence(F.lit(1), "n")).alias("no"))
-    count = rows.groupBy("part", "no").agg(F.count(F.lit(1)).alias("titles"))
-    # the same order for all titles: by rarity, then by the part
-    rare = Window.partitionBy("pos").orderBy("titles", "part", "no")
-    first = rows.join(count, ["part", "no"]).withColumn("r", F.row_number().over(rare)).where(F.col("r") <= most * q + 1)
-    return first.select("pos", F.concat_ws("\x00", "part", F.col("no").cast("string")).alias("key")).join(titles, "pos")
+def _part_keys(titles: DataFrame, most: int, probe: bool) -> DataFrame:
+    """pos, key: a title's parts of about equal length, one more than `most`, each with its number and the title's length; or (probe) what
+    stands where such a part may stand in it for a partner that is up to `most` shorter, and whether the partner is shorter."""
+    size, keys, n = F.col("size"), [], most + 1
+    for less in range(n if probe else 1):
+        whole = size - less
+        base, first = F.floor(whole / n).cast("int"), n - whole % n  # from part `first` on they are a character longer
+        for k in range(n):
+            length = base + (first <= k).cast("int")
+            begun = base * k + F.greatest(k - first, F.lit(0))
+            # edits left of a part are at most k where the parts before it all differ, and those right of it at most n - 1 - k
+            for by in range(max(-k, less - (most - k)), min(k, less + most - k) + 1) if probe else [0]:
+                at = begun + by
+                key = F.when((at >= 0) & (at + length <= size), F.xxhash64(F.lit(k), whole, F.substring("title", at + 1, length)))
+                keys.append(F.struct(key.alias("key"), *([F.lit(less > 0).alias("shorter")] if probe else [])))
+    return titles.select("pos", F.inline(F.array_distinct(F.array(*keys)))).where("key IS NOT NULL")
 
 
 def _deletion_keys(titles: DataFrame, most: int) -> DataFrame:
-    """pos, title, key: each title with up to `most` characters left out."""
+    """pos, key: each title with up to `most` characters left out."""
     without = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
     keys = F.array("title")
     for _ in range(most):
         keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, without))))
-    return titles.select("pos", "title", F.explode(keys).alias("key"))
+    return titles.select("pos", F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("key"))
 
 
-def near_titles(papers: DataFrame, most: int = 2, title: str = "Title", order: str = "pos", q: int = 3, in_bytes: bool = False) -> DataFrame:
+def near_titles(papers: DataFrame, most: int = 2, title: str = "Title", order: str = "pos", part: int = 6, in_bytes: bool = False) -> DataFrame:
     """D1, as an extra: pos, other, distance: pairs of unlike titles (trimmed, in lower case; each by its first row in `order`) that at most
     `most` edits tell apart; all of them, and no others.  An edit is one of a character, or of a byte in UTF-8 if `in_bytes`.
 
-    Titles within so many edits share one of their rarest parts of q characters, of which one more is taken than the edits
-    can change; short ones, which have too few parts, share what is left when up to `most` characters are taken out.
-    Candidates meet on these keys and by length, and are verified by an edit distance that stops at `most`.  Copies of a
-    title are one; blank and null titles have no partner."""
+    Of the parts of the shorter of two titles within so many edits, one more than the edits, one stands unchanged in the longer,
+    near its own place.  So a title gives a fixed number of keys, however long it is; only keys and positions are shuffled, and the titles
+    of those that meet.  Titles with parts of fewer than `part` characters share what is left when up to `most` characters are taken out.
+    Candidates whose letters differ by no more than that are verified by an edit distance that stops at `most`.  Copies of a title are one; blank and null titles have no
+    partner."""
+    spark = papers.sparkSession
     folded = F.lower(strip(title))
     titles = papers.select(F.col(order).alias("pos"), folded.alias("title")).where("title != ''").groupBy("title").agg(F.min("pos").alias("pos"))
     if in_bytes:  # each byte as a character of its own
         titles = titles.select(F.decode(F.encode("title", "UTF-8"), "ISO-8859-1").alias("title"), "pos")
-    size, least = F.length("title"), (most + 1) * q  # from this length on a title has enough parts
-    keys = _prefix_keys(titles.where(size >= least), most, q).select("pos", "title", F.lit(0).alias("kind"), "key").unionByName(
-        _deletion_keys(titles.where(size < least + most), most).select("pos", "title", F.lit(1).alias("kind"), "key"))
-    one, two = (keys.select("kind", "key", F.col("pos").alias(f"p{k}"), F.col("title").alias(f"t{k}")) for k in (1, 2))
-    met = one.join(two, ["kind", "key"]).where((F.col("p1") < F.col("p2")) & (F.abs(F.length("t1") - F.length("t2")) <= most))
-    told = met.select("p1", "p2", "t1", "t2").dropDuplicates(["p1", "p2"]).withColumn("distance", F.levenshtein("t1", "t2", most))
-    return told.where("distance >= 0").select(F.col("p1").alias("pos"), F.col("p2").alias("other"), "distance")
+    counts = F.array(*[F.length("title") - F.length(F.replace("title", F.lit(c), F.lit(""))) for c in COUNTED])
+    titles = titles.withColumns({"size": F.length("title"), "counts": counts})
+    titles.write.parquet(path := scratch(spark, "titles"))
+    titles = spark.read.schema(titles.schema).parquet(path)
+    least = (most + 1) * part
+    long, short = titles.where(F.col("size") >= least), _deletion_keys(titles.where(F.col("size") < least + most), most)
+    own, tried = (_part_keys(long, most, probe).withColumnRenamed("pos", p) for p, probe in (("a", False), ("b", True)))
+    left, right = (short.withColumnRenamed("pos", p) for p in "ab")
+    met = own.join(tried, "key").where("shorter OR a < b").select("a", "b").unionByName(left.join(right, "key").where("a < b").select("a", "b"))
+    # few bytes but much work: not to be put into few tasks
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = met.select(F.least("a", "b").alias("pos"), F.greatest("a", "b").alias("other")).repartition(spread, "pos", "other").distinct()
+    one, two = (titles.select(F.col("pos").alias(p), F.col("title").alias(t), F.col("counts").alias(c)) for p, t, c in (("pos", "x", "cx"), ("other", "y", "cy")))
+    unlike = F.aggregate(F.zip_with("cx", "cy", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
+    told = pairs.join(one, "pos").join(two, "other").where(unlike <= 2 * most).withColumn("distance", F.levenshtein("x", "y", most))
+    return told.where("distance >= 0").select("pos", "other", "distance")
 
 
 def union_languages(by_lang: dict[str, DataFrame]) -> DataFrame:

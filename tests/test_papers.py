@@ -210,6 +210,36 @@ def test_near_titles_are_all_pairs_within_two_edits(spark):
     assert ranking.near_titles(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_near_titles_of_long_texts(spark, most):
+    import random
+
+    from scholia.operators import ranking
+
+    rnd, titles = random.Random(most), ["ab" * 20, "ab" * 21, "ba" * 20, "a" * 30, "a" * 31, "a" * 33]
+    for n in (17, 18, 19, 20, 23, 24, 25, 26, 30, 40) * 4:
+        word = [rnd.choice("ab") for _ in range(n)]
+        titles.append("".join(word))
+        for _ in range(5):
+            t = list(word)
+            for _ in range(rnd.randrange(1, most + 2)):
+                k = rnd.randrange(len(t))
+                t[k : k + rnd.randrange(2)] = rnd.choice([[], [rnd.choice("ab")]])
+            titles.append("".join(t))
+    rows = [(t, k) for k, t in enumerate(titles) if t not in titles[:k]]
+    want = {(min(i, j), max(i, j), d) for x, (a, i) in enumerate(rows) for b, j in rows[:x] if abs(len(a) - len(b)) <= most and (d := edits(a, b)) <= most}
+    got = ranking.near_titles(spark.createDataFrame(list(enumerate(titles)), "pos int, Title string"), most=most)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+def test_near_titles_give_no_more_keys_for_longer_titles(spark):
+    from scholia.operators import ranking
+
+    titles = spark.createDataFrame([(0, "abcdefghijklmnopqrs"), (1, "".join(map(str, range(3_000))))], "pos int, title string").withColumn("size", F.length("title"))
+    for probe, n in ((False, 3), (True, 12)):
+        assert [r["count"] for r in ranking._part_keys(titles, 2, probe).groupBy("pos").count().orderBy("pos").collect()] == [n, n]
+
+
 def test_near_titles_by_bytes(spark):
     from scholia.operators import ranking
 
